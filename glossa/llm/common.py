@@ -72,12 +72,14 @@ def prefix_sums(steps: Column) -> Column:
     return let(steps, lambda x: F.when(F.size(x) == 0, x).otherwise(from_blocks(x)))
 
 
-def find_spans(text: Column, pattern: str) -> Column:
+def find_spans(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value, left, right>>.
 
     Positions are code points, the end exclusive; ``left`` and ``right`` are the text up to the
     neighbouring matches.  The text between the matches is split off only where there is a match.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
     def placed(m: Column) -> Column:
         return let(F.split(text, pattern, -1), lambda gaps: let(
             prefix_sums(F.transform(m, lambda _, i: (F.char_length(F.get(gaps, i)) + F.when(i > 0, F.char_length(F.get(m, i - 1))).otherwise(0)).cast("long"))),
@@ -85,7 +87,7 @@ def find_spans(text: Column, pattern: str) -> Column:
                 F.get(starts, i).alias("start"), (F.get(starts, i) + F.char_length(v)).alias("end"), v.alias("value"),
                 F.get(gaps, i).alias("left"), F.get(gaps, i + 1).alias("right")))))
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty))
 
 
 def joined(spans: Column) -> Column:
