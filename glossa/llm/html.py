@@ -1,0 +1,302 @@
+"""Main text of web pages by minimum-cut labelling.
+
+A page is read into blocks of text.  The evidence for a block, from its markup and from a
+classifier over its text, becomes a capacity from the source (content) or to the sink
+(boilerplate); neighbouring blocks and blocks under one parent are tied by smoothness edges.  The
+minimum cut labels all blocks at once.
+
+The classifier is a logistic regression, trained on blocks of a bounded sample of pages whose
+markup says what they are.
+"""
+from __future__ import annotations
+
+import html
+import math
+import re
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+#: Pages that the classifier is trained on: those with the smallest hashes of their ids.
+MAX_TRAINING_PAGES = 1_000
+#: Most that the text of a block can weigh against its markup.
+_TEXT_LIMIT = 1.5
+
+# Element names of the HTML standard by their role here.
+RAW = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp", "template", "noscript", "svg", "math", "object", "video", "audio", "canvas", "select", "datalist")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr", "rp", "rt")
+BOILERPLATE_TAGS = ("nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset")
+CONTENT_TAGS = ("article", "main")
+BOILERPLATE_NAMES = ("ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget")
+CONTENT_NAMES = ("article", "content", "entry", "main", "post", "story")
+BOILERPLATE_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "form")
+
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements that end an open one of the same group.
+_CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
+@dataclass
+class Block:
+    text: str = ""
+    linked: int = 0
+    #: Evidence of the markup: -1 boilerplate, 1 content, 0 unknown.
+    markup: int = 0
+    tag: str = "body"
+    #: Numbers of the open elements, outermost first.
+    path: tuple[int, ...] = ()
+
+
+@dataclass
+class _Element:
+    tag: str
+    number: int
+    markup: int
+
+
+def _evidence(tag: str, attributes: str) -> int:
+    if tag in BOILERPLATE_TAGS:
+        return -1
+    found = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    if tag not in ("body", "html"):
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
+            return -1
+        if found.get("role", "").lower() in BOILERPLATE_ROLES:
+            return -1
+        named = [n for n in f"{found.get('class', '')} {found.get('id', '')}".lower().split()]
+        names = {w for n in named if not n.startswith(("has-", "with-", "no-", "has_", "with_", "no_")) for w in _NAME.findall(n)}
+        if names.intersection(BOILERPLATE_NAMES):
+            return -1
+        if names.intersection(CONTENT_NAMES):
+            return 1
+    return 1 if tag in CONTENT_TAGS or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody" else 0
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    """The blocks of text of a page, in order; white space is one blank, references are decoded."""
+    page = page or ""
+    done: list[Block] = []
+    stack: list[_Element] = [_Element("", 0, 0)]
+    text: list[str] = []
+    linked = number = in_link = 0
+    at = 0
+
+    def flush() -> None:
+        nonlocal text, linked
+        if text:
+            joined = " ".join("".join(text).split())
+            if joined:
+                known = [e.markup for e in stack if e.markup]
+                done.append(Block(joined, linked, -1 if -1 in known else 1 if known else 0, next((e.tag for e in reversed(stack) if e.tag and e.tag not in INLINE), "body"), tuple(e.number for e in stack if e.tag not in INLINE)))
+        text, linked = [], 0
+
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if not tag:
+            if not m[0].startswith(("<!", "<?")):
+                piece = html.unescape(m[0])
+                text.append(piece)
+                linked += len(piece) if in_link else 0
+            continue
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag not in INLINE:
+            flush()
+        if closing:
+            if any(e.tag == tag for e in stack):
+                while stack[-1].tag != tag:
+                    in_link -= stack.pop().tag == "a"
+                in_link -= stack.pop().tag == "a"
+            continue
+        if tag in RAW:
+            if not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        if tag in VOID or attributes.endswith("/") and tag in INLINE:
+            continue
+        if tag in _CLOSES:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in _CLOSES[tag]:
+                    in_link -= sum(e.tag == "a" for e in stack[k:])
+                    del stack[k:]
+                    break
+                if stack[k].tag not in INLINE:
+                    break
+        number += 1
+        markup = _evidence(tag, attributes)
+        if tag == "header" and not markup:
+            markup = 0 if any(e.tag in CONTENT_TAGS for e in stack) else -1
+        stack.append(_Element(tag, number, markup))
+        in_link += tag == "a"
+    flush()
+    return done
+
+
+def text_features(b: Block, place: float) -> list[float]:
+    n = max(1, len(b.text))
+    return [math.log1p(n), min(1.0, b.linked / n), sum(c in ".,;:!?" for c in b.text) / n * 10, float(b.text[-1] in ".!?"), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag in ("li", "td", "th")), abs(place - 0.5)]
+
+
+_WIDTH = 7
+
+
+def page_features(blocks: list[Block]) -> np.ndarray:
+    return np.array([text_features(b, i / max(1, len(blocks) - 1)) for i, b in enumerate(blocks)]).reshape(len(blocks), _WIDTH)
+
+
+def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Whether each node is on the source's side of a minimum cut (Dinic's algorithm).
+
+    A positive score is the capacity from the source, a negative one that to the sink.
+    """
+    n = len(score)
+    s, t = n, n + 1
+    head: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    left: list[float] = []
+
+    def tie(a: int, b: int, forth: float, back: float) -> None:
+        head[a].append(len(to))
+        to.append(b)
+        left.append(forth)
+        head[b].append(len(to))
+        to.append(a)
+        left.append(back)
+    for i, v in enumerate(score):
+        if v > 0:
+            tie(s, i, v, 0.0)
+        elif v < 0:
+            tie(i, t, -v, 0.0)
+    for a, b, w in edges:
+        tie(a, b, w, w)
+    tiny = 1e-9
+    while True:
+        level = [-1] * (n + 2)
+        level[s] = 0
+        queue = deque([s])
+        while queue:
+            a = queue.popleft()
+            for e in head[a]:
+                if left[e] > tiny and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        nxt = [0] * (n + 2)
+        path: list[int] = []
+        a = s
+        while True:
+            if a == t:
+                flow = min(left[e] for e in path)
+                for e in path:
+                    left[e] -= flow
+                    left[e ^ 1] += flow
+                keep = next(i for i, e in enumerate(path) if left[e] <= tiny)
+                a = to[path[keep] ^ 1]
+                del path[keep:]
+                continue
+            while nxt[a] < len(head[a]):
+                e = head[a][nxt[a]]
+                if left[e] > tiny and level[to[e]] == level[a] + 1:
+                    break
+                nxt[a] += 1
+            else:
+                if not path:
+                    break
+                a = to[path.pop() ^ 1]
+                nxt[a] += 1
+                continue
+            path.append(e)
+            a = to[e]
+
+
+@dataclass(frozen=True)
+class CutWeights:
+    markup: float = 6.0
+    prior: float = 0.2
+    neighbour: float = 0.5
+    sibling: float = 0.8
+
+
+def label(blocks: list[Block], model: tuple[np.ndarray, np.ndarray, np.ndarray] | None, weights: CutWeights) -> list[bool]:
+    """Whether each block is content."""
+    if not blocks:
+        return []
+    text = np.zeros(len(blocks))
+    if model is not None:
+        centre, scale, beta = model
+        text = np.clip(np.column_stack([(page_features(blocks) - centre) / scale, np.ones(len(blocks))]) @ beta, -_TEXT_LIMIT, _TEXT_LIMIT)
+    some = any(b.markup > 0 for b in blocks)
+    # Where the page says what its content is, blocks outside are less likely to be content.
+    score = [weights.markup * b.markup + float(x) + (weights.prior if b.markup or not some else -1.0) for b, x in zip(blocks, text)]
+    edges = []
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if i:
+            shared = next((k for k, (x, y) in enumerate(zip(b.path, blocks[i - 1].path)) if x != y), min(len(b.path), len(blocks[i - 1].path)))
+            apart = len(b.path) + len(blocks[i - 1].path) - 2 * shared
+            edges.append((i - 1, i, weights.neighbour / (1 + apart)))
+        parent = b.path[-2] if len(b.path) > 1 else 0
+        if parent in last:
+            edges.append((last[parent], i, weights.sibling))
+        last[parent] = i
+    return minimum_cut(score, edges)
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z, beta = np.column_stack([(x - centre) / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        beta -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(beta)), z.T @ (p - y) + beta)
+    return centre, scale, beta
+
+
+def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The block classifier, or None if the sample has not both kinds of blocks."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(block.markup > 0, x.tolist()) for page in b["html"] for blocks in [blocks_of(page)] for block, x in zip(blocks, page_features(blocks)) if block.markup]
+            yield pd.DataFrame(rows, columns=["content", "x"])
+    ids = pages.where("page_id is not null").select(F.col("page_id").alias("id")).orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+    sample = pages.join(F.broadcast(materialise(ids)), F.col("page_id") == F.col("id"), "left_semi").select("html")
+    rows = sample.mapInPandas(read, "content boolean, x array<double>").toPandas()
+    if not len(rows) or rows["content"].all() or not rows["content"].any():
+        return None
+    return _fit(np.array(rows["x"].tolist()), rows["content"].to_numpy(dtype=float))
+
+
+def extract(pages: DataFrame, weights: CutWeights | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars), a row for each row of ``pages`` (page_id, url, html).
+
+    The text is that of the content blocks, joined by one blank.  A null or empty page has an empty
+    text; repeated rows and nulls in page_id and url stay; an empty table gives an empty result;
+    further columns are ignored.
+    """
+    weights = weights or CutWeights()
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
+    model = train(pages)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for page in b["html"]:
+                blocks = blocks_of(page)
+                texts.append(" ".join(x.text for x, kept in zip(blocks, label(blocks, model, weights)) if kept))
+            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    return pages.mapInPandas(work, "page_id long, url string, text string, n_chars long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, pii, quality, secrets, simhash, toxicity, urls
+from . import chat, decontam, html, packing, pii, quality, secrets, simhash, toxicity, urls
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -33,6 +33,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -61,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules, "op2_url_filter": op2_url_filter, "op3_pii": op3_pii, "op5_chat_format": op5_chat_format,
+    "op1_quality_rules": op1_quality_rules, "op2_url_filter": op2_url_filter, "op3_pii": op3_pii, "op4_html_text": op4_html_text, "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash,
 }
 
