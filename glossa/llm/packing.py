@@ -8,6 +8,7 @@ padding: each bin is full or has a power of two of ids.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks whose ids a task remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 700_000
 #: Characters that are tokenised at a time.
 _SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -27,26 +28,74 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class ChunkTokenizer:
     """Ids of whole texts from the ids of their chunks between blanks, tabs and line feeds.
 
-    The vocabulary drops white space and never merges over it, so the chunks' ids in a row are the
-    text's ids; chunks recur, and only new ones reach the tokenizer.
+    The vocabulary drops white space, lower-cases and never merges letters with other characters, so
+    the ids of the chunks, and within a chunk of its letters and what follows them, are the text's
+    ids in a row.  Both recur; new runs of letters reach the tokenizer many at a time.
     """
 
+    #: Letters whose lower case and normal form are plain, then marks other than the apostrophe.
+    _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def of_worker(cls, path: str) -> ChunkTokenizer:
+        """The one of this Python worker, which keeps what earlier tasks have learned."""
+        held = cls.__dict__.get("_held")
+        if held is None or held[0] != path:
+            cls._held = held = (path, cls(path))
+        return held[1]
+
+    @staticmethod
+    def _folded(text: str) -> str:
+        """Lower case where that surely is what the tokenizer does first."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text if "<|" in text else text.lower()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of runs of lower-case letters: each is a word, so its last id is the next that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u2")
+        to = np.nonzero(self.ends[ids])[0] + 1
+        if len(to) != len(parts):
+            raise ValueError("the vocabulary has no word ends")
+        raw, at = ids.tobytes(), 0
+        for p, end in zip(parts, to.tolist()):
+            self.parts[p] = raw[2 * at:2 * end]
+            at = end
+
+    def _single(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
+            into[c] = np.array(e.ids, dtype="<u2").tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.known
+        chunks = [self._folded(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        known, parts = self.known, self.parts
         if len(known) > _REMEMBERED:
             known.clear()
-        new = list({c for cs in chunks for c in cs if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, dtype="<u2").tobytes()
+        if len(parts) > _REMEMBERED:
+            parts.clear()
+            parts[""] = b""
+        new = set().union(*chunks).difference(known)
+        plain = {c: (m[1].lower(), m[2]) for c in new if (m := self._PLAIN.fullmatch(c))}
+        if runs := list({w for w, _ in plain.values()}.difference(parts)):
+            self._learn(runs)
+        self._single(list({t for _, t in plain.values()}.difference(parts)), parts)
+        self._single(list(new.difference(plain)), known)
+        for c, (w, t) in plain.items():
+            known[c] = parts[w] + parts[t]
         return [np.frombuffer(b"".join(map(known.__getitem__, cs)), dtype="<u2") for cs in chunks]
 
 
@@ -112,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         raise ValueError("capacity must be a power of two")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, bins = ChunkTokenizer(tokenizer_path), Bins(capacity, TaskContext.get().partitionId() << 32)
+        tokens, bins = ChunkTokenizer.of_worker(tokenizer_path), Bins(capacity, TaskContext.get().partitionId() << 32)
         frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
         for some, texts in (x for batch in batches for x in slices(batch["doc_id"], batch["text"])):
             out: list[tuple] = []
