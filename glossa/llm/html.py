@@ -255,7 +255,9 @@ def label(blocks: list[Block], model: tuple[np.ndarray, np.ndarray, np.ndarray]
         if parent in last:
             edges.append((last[parent], i, weights.sibling))
         last[parent] = i
-    return minimum_cut(score, edges)
+    kept = minimum_cut(score, edges)
+    # A page has some content, unless its markup says that all of it is boilerplate.
+    return kept if any(kept) else [b.markup >= 0 for b in blocks]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
