@@ -33,9 +33,9 @@ class QualityLimits:
     min_words: int = 50
     #: Characters and words from which a histogram is judged.
     min_chars: int = 200
-    min_judged_words: int = 50
-    max_char_distance: float = 0.30
-    max_word_distance: float = 0.50
+    min_judged_words: int = 150
+    max_char_distance: float = 0.28
+    max_word_distance: float = 0.30
     languages: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(COMMON_WORDS))
 
 
