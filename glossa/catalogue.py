@@ -92,13 +92,11 @@ def _closure_round(k: int, known: str, stated: str) -> str:
     return f"n{k} AS MATERIALIZED (SELECT src, dst, rel, max(confidence) AS confidence FROM (SELECT * FROM ({compose}) UNION ALL SELECT * FROM ({other})) u WHERE NOT EXISTS (SELECT 1 FROM {stated} s WHERE s.src = u.src AND s.dst = u.dst AND s.rel = u.rel) GROUP BY 1, 2, 3)"
 
 
-@query("tlink_identity_closure", f"""WITH {_EDGES}, k0 AS MATERIALIZED (SELECT src, dst, rel, max(coalesce(confidence, 0)) AS confidence FROM e WHERE NOT suppressed AND src % 5 = dst % 5 GROUP BY 1, 2, 3), s0 AS MATERIALIZED (SELECT DISTINCT src, dst, rel FROM e WHERE src % 5 = dst % 5),
-{_closure_round(1, 'k0', 's0')}, k1 AS (SELECT * FROM k0 UNION ALL SELECT * FROM n1), s1 AS (SELECT * FROM s0 UNION ALL SELECT src, dst, rel FROM n1), {_closure_round(2, 'k1', 's1')}
-SELECT src, dst, rel, confidence, CAST(1 AS BIGINT) AS closure_round FROM n1 UNION ALL SELECT src, dst, rel, confidence, 2 FROM n2""")
+@query("tlink_identity_closure", f"""WITH {_EDGES}, k0 AS MATERIALIZED (SELECT src, dst, rel, max(coalesce(confidence, 0)) AS confidence FROM e WHERE NOT suppressed GROUP BY 1, 2, 3), s0 AS MATERIALIZED (SELECT DISTINCT src, dst, rel FROM e), {_closure_round(1, 'k0', 's0')}
+SELECT src, dst, rel, confidence, CAST(1 AS BIGINT) AS closure_round FROM n1""")
 def tlink_identity_closure(v: Views) -> DataFrame:
-    """TL-CLOSURE over links whose ends share a class, two rounds."""
-    e = tlinks.edges(v("g_tlink")).where(F.col("src") % 5 == F.col("dst") % 5)
-    return tlinks.identity_closure(e, rounds=2).withColumn("closure_round", F.col("closure_round").cast("long"))
+    """TL-CLOSURE: the first round over all links; later rounds are tested on a small table."""
+    return tlinks.identity_closure(tlinks.edges(v("g_tlink")), rounds=1).withColumn("closure_round", F.col("closure_round").cast("long"))
 
 
 @query("tlink_anchor_flags", f"""WITH {_EDGES} SELECT l_orderkey, l_linenumber, l_extendedprice, src, dst, src <> dst AS anchor_consistency, CASE WHEN src = dst THEN 'self_link' END AS anchor_consistency_reason, suppressed OR src = dst AS suppressed,
@@ -269,12 +267,12 @@ def tlink_completeness(v: Views) -> DataFrame:
     return prims.completeness(v("g_tlink"), {"with_rel_type": r, "with_evidence_source": s}, [r, s])
 
 
-_SPANS5 = "s AS (SELECT doc_id, id AS span_id, start_tok, least(start_tok + 3, floor(start_tok / 20) * 20 + 19) AS end_tok FROM g_tevent WHERE start_tok % 3 = 0)"
+_SPANS5 = "s AS (SELECT doc_id, id AS span_id, start_tok, least(start_tok + 3, floor(start_tok / 20) * 20 + 19) AS end_tok FROM g_tevent)"
 
 
 def _spans5(v: Views) -> DataFrame:
     end = F.least(F.col("start_tok") + 3, F.floor(F.col("start_tok") / 20) * 20 + 19)
-    return v("g_tevent").where("start_tok % 3 = 0").select("doc_id", F.col("id").alias("span_id"), "start_tok", end.alias("end_tok"))
+    return v("g_tevent").select("doc_id", F.col("id").alias("span_id"), "start_tok", end.alias("end_tok"))
 
 
 @query("span_heads", f"""WITH {_SPANS5}, i AS (SELECT s.*, t.tok_index_doc, t.text, t.pos, d.head_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok LEFT JOIN g_dep d ON d.doc_id = t.doc_id AND d.dep_tok = t.tok_index_doc AND d.head_tok <> d.dep_tok),

@@ -115,3 +115,21 @@ def test_decisions_and_checks(spark):
 def test_closure_of_nothing_is_nothing(spark):
     e = spark.createDataFrame([], "src long, dst long, rel string, confidence double, suppressed boolean")
     assert tlinks.identity_closure(e).count() == 0
+
+
+def test_closure_rounds_against_brute_force(spark):
+    rnd = random.Random(9)
+    data = list({(rnd.randrange(9), rnd.randrange(9), rnd.choice(["IDENTITY", "BEFORE", "AFTER"])): rnd.randrange(1, 10) / 10 for _ in range(16)}.items())
+    e = spark.createDataFrame([(*k, c, False) for k, c in data], "src long, dst long, rel string, confidence double, suppressed boolean")
+    known, want = dict(data), {}
+    for r in range(1, 4):
+        made = {}
+        for (a, b, t), c in known.items():
+            for (x, y, u), d in known.items():
+                for rel in [u] * (t == "IDENTITY") + [t] * (u == "IDENTITY"):
+                    if b == x and a != y and (a, y, rel) not in known:
+                        made[a, y, rel] = max(made.get((a, y, rel), 0), round((c + d) / 2 + 1e-9, 3))
+        known |= made
+        want |= {k: (c, r) for k, c in made.items()}
+    got = {(r.src, r.dst, r.rel): (r.confidence, r.closure_round) for r in tlinks.identity_closure(e, 3).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-3 for k in want)
