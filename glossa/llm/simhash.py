@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise
+from .common import LOWER, UPPER, materialise, sized
 from .components import connected_components
 
 BITS = 64
 #: Shingles that are hashed and counted at a time, so that a very long text takes little memory.
 _BATCH = 1 << 14
 _SEED = 42
+#: Rows of a table of one long that are broadcast at most.
+_IDS = 500_000
 
 
 def fingerprint_of(text: str | None, shingle_words: int, distinct: bool = False) -> int:
@@ -65,12 +67,16 @@ def _mask(first: int, width: int) -> int:
 
 
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """All pairs (a < b) of the distinct longs in column ``fp`` that differ in at most ``max_bits`` bits."""
-    parts = segments(max_bits)
+    """All pairs (a < b) of the distinct longs in column ``fp`` that differ in at most ``max_bits`` bits.
+
+    With a column ``part``, pairs of one part are left out: they are joined already.
+    """
+    parts, apart = segments(max_bits), "part" in fps.columns
+    fps = fps if apart else fps.withColumn("part", F.lit(0))
     keys = [F.struct(F.lit(s * 100 + j).alias("wiped"), F.col("fp").bitwiseAND(F.lit(_mask(*parts[s]) & ~_mask(parts[s][0] + j, 1))).alias("rest"))
             for s in range(len(parts)) for j in range(parts[s][1])]
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.wiped", "k.rest")
-    a, b = index.select(F.col("fp").alias("a"), "wiped", "rest"), index.select(F.col("fp").alias("b"), "wiped", "rest")
+    index = fps.select("fp", "part", F.explode(F.array(*keys)).alias("k")).select("fp", "part", "k.wiped", "k.rest")
+    a, b = index.select(F.col("fp").alias("a"), "part", "wiped", "rest"), index.select(F.col("fp").alias("b"), "part", "wiped", "rest")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(-1)  # the first key that both have
     for s in reversed(range(len(parts))):
@@ -80,8 +86,8 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         for j in range(1, width):
             bit = F.when(here == F.lit(_mask(low + j, 1)), j).otherwise(bit)
         first = F.when(F.bit_count(here) <= 1, F.lit(s * 100) + bit).otherwise(first)
-    met = a.join(b, (a["wiped"] == b["wiped"]) & (a["rest"] == b["rest"]) & (F.col("a") < F.col("b")) & (F.bit_count(differing) <= max_bits) & (a["wiped"] == first))
-    return met.select("a", "b")
+    close = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= max_bits) & (a["wiped"] == first)
+    return a.join(b, (a["wiped"] == b["wiped"]) & (a["rest"] == b["rest"]) & (close & (a["part"] != b["part"]) if apart else close)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, distinct: bool = False) -> DataFrame:
@@ -101,3 +107,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = linked.join(smallest, "root").select(F.col("fp").alias("linked_fp"), "component_id")
     by_fp = least.join(inner, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sketch_of(text: str | None, shingle_words: int, size: int) -> np.ndarray:
+    """The smallest hashes of the distinct word shingles, all of them if there are few."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(UPPER, LOWER)))
+    least = np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - shingle_words + 1) if words else 0
+    for at in range(0, n, _BATCH):
+        h = [xxhash.xxh64_intdigest(" ".join(words[i:i + shingle_words]), _SEED) for i in range(at, min(n, at + _BATCH))]
+        least = np.unique(np.concatenate([least, np.array(h, dtype=np.uint64)]))[:size]
+    return least.view(np.int64)
+
+
+def _similarity(a: Column, b: Column, size: int) -> Column:
+    """Jaccard similarity of two shingle sets from their sketches, exact if both together fit into one."""
+    union = F.array_union(a, b)
+    # Among the smallest of both: unsigned order is signed order with the upper bit turned.
+    turned = F.transform(F.slice(F.array_sort(F.transform(union, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))), 1, size), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
+    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), turned)) / F.least(F.size(union), F.lit(size)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, bits: tuple[int, int] = (4, 7), sketch_size: int = 256) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose word shingles are similar, by the smallest id.
+
+    Candidates are texts whose fingerprints of distinct words differ in few bits.  The close ones are
+    verified and joined first; then candidates up to the second number of bits are sought between
+    groups only, so that a large group of copies does not meet itself again.  The similarity is
+    that of the shingle sets, from samples of their smallest hashes where they are large.  Nulls,
+    empty texts, repeated rows and empty tables are treated as in ``near_duplicates``.
+    """
+    @F.pandas_udf("struct<fp: long, sketch: array<long>>")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": [fingerprint_of(t, 1, True) for t in texts], "sketch": [sketch_of(t, shingle_words, sketch_size) for t in texts]})
+
+    marked = materialise(docs.select(F.col(id_col).alias("doc_id"), mark(F.col(text_col)).alias("m")).select("doc_id", "m.fp", "m.sketch", F.xxhash64("m.fp", "m.sketch").alias("node")))
+    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes that are similar; only the sketches of these nodes are moved."""
+        pairs = materialise(pairs)
+        wanted = materialise(pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct())
+        sketches = materialise(marked.join(sized(wanted, _IDS), F.col("node") == F.col("wanted"), "left_semi").select("node", "sketch").dropDuplicates(["node"]))
+        side = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(_similarity(F.col("a_sketch"), F.col("b_sketch"), sketch_size) >= similarity).select("a", "b")
+
+    def of_nodes(pairs: DataFrame) -> DataFrame:
+        side = lambda x: nodes.select(F.col("fp").alias(f"{x}_fp"), F.col("node").alias(x))
+        return pairs.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(side("a"), "a_fp").join(side("b"), "b_fp").select("a", "b")
+
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(fps, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = materialise(alike(same.union(of_nodes(links(fps.select("fp"), bits[0])))))
+    found = connected_components(close)
+    part = fps.join(found, fps["first"] == found["node"], "left").select("fp", F.coalesce("root", "first").alias("part"))
+    far = materialise(alike(of_nodes(links(materialise(part), bits[1]))))
+    roots = connected_components(close.union(far))
+    linked = nodes.select("node", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_node = linked.join(by_root, "root").select(F.col("node").alias("of_node"), "component_id")
+    return marked.select("doc_id", "node").join(by_node, F.col("node") == F.col("of_node")).select("doc_id", "component_id")

@@ -236,3 +236,36 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     secret = spark.read.parquet(str(tmp_path / "3")).where(F.col("doc_id") == 10**6 + 50).first()
     assert secret.text == "<SECRET> in a text" and secret.n_chars == 18
     assert docs.select("doc_id").distinct().count() == spark.read.parquet(str(tmp_path / "3")).select("doc_id").distinct().count()
+
+
+def test_near_copies_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rnd.choices(vocabulary, k=rnd.randrange(120, 240))
+        texts.append(" ".join(base))
+        for edits in (0, 1, 2, 3, 12):
+            words = list(base)
+            for _ in range(edits):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["", None, " ", "short text", "short text", "Short text"]
+    sets = [frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or (sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert len(got) == len(texts)
+    assert all(find(i) == find(got[i]) for i in got)  # nothing is joined that should be apart
+    apart = sum(got[i] != find(i) for i in got)
+    assert apart <= 0.03 * len(texts)  # candidates within seven bits miss few
+    assert simhash.near_copies(df.limit(0)).count() == 0
