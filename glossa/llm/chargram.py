@@ -18,7 +18,7 @@ START, END = "\x02", "\x03"
 ORDER = 5
 DISCOUNT = 0.75
 #: Words whose scores a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def grams(word: str) -> list[tuple[str, str]]:
@@ -46,14 +46,17 @@ class LikelihoodRatio:
                 shared[h][c] += 1
             level = {(h, c) for h, c, _ in level}
         top_sums = [{h: (dict(cs), sum(cs.values())) for h, cs in t.items()} for t in top]
-        self.load((top_sums, {h: (dict(cs), sum(cs.values())) for h, cs in shared.items()}))
+        self.load((top_sums, {h: (dict(cs), sum(cs.values())) for h, cs in shared.items()}, {}, {}))
 
     def load(self, state: tuple) -> LikelihoodRatio:
-        """Take over plain counts, as ``state`` has them; these travel to the tasks."""
+        """Take over plain counts, as ``state`` has them, and what has been scored with them.
+
+        The state travels to the tasks as a broadcast, so a Python worker's later tasks find what
+        its earlier ones have scored.
+        """
         self.state = state
-        self.top, self.shared = state
+        self.top, self.shared, self.steps, self.known = state
         self.floor = 1 / (1 + len(self.shared.get("", ({}, 0))[0]))
-        self.known: dict[str, float] = {}
         return self
 
     def _lower(self, h: str, c: str) -> float:
@@ -64,15 +67,22 @@ class LikelihoodRatio:
         cs, n = found
         return (max(cs.get(c, 0) - DISCOUNT, 0) + DISCOUNT * len(cs) * below) / n
 
+    def _log_ratio(self, h: str, c: str) -> float:
+        seen = [t.get(h) for t in self.top]
+        if seen[0] is None and seen[1] is None:
+            return 0.0  # both back off to the same
+        below = self._lower(h[1:], c)
+        logs = [math.log(below if s is None else (max(s[0].get(c, 0) - DISCOUNT, 0) + DISCOUNT * len(s[0]) * below) / s[1]) for s in seen]
+        return logs[0] - logs[1]
+
     def __call__(self, word: str) -> float:
-        total = 0.0
-        for h, c in grams(word):
-            seen = [t.get(h) for t in self.top]
-            if seen[0] is None and seen[1] is None:
-                continue  # both back off to the same
-            below = self._lower(h[1:], c)
-            logs = [math.log(below if s is None else (max(s[0].get(c, 0) - DISCOUNT, 0) + DISCOUNT * len(s[0]) * below) / s[1]) for s in seen]
-            total += logs[0] - logs[1]
+        s, steps, total = START + word + END, self.steps, 0.0
+        for i in range(2, len(s) + 1):
+            key = s[max(0, i - ORDER):i]
+            step = steps.get(key)
+            if step is None:
+                step = steps[key] = self._log_ratio(key[:-1], key[-1])
+            total += step
         return total
 
     def features(self, text: str) -> np.ndarray:
@@ -83,6 +93,8 @@ class LikelihoodRatio:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        if len(self.steps) > REMEMBERED:
+            self.steps.clear()
         for w in set(words):
             if w not in known:
                 known[w] = self(w)
