@@ -70,23 +70,26 @@ def _terms(text: Column) -> Column:
 
 def disclosing_terms(spans: DataFrame, docs: DataFrame, limits: Disclosure) -> DataFrame:
     """(entity, term, share) above the first threshold; ``spans`` has h, entity and near, ``docs`` text."""
-    # Surroundings are told apart by the smallest hash of their other terms, which copies with small changes mostly share.
-    others = lambda c: F.array_min(F.transform(F.filter("terms", lambda t: t != c), lambda t: F.xxhash64(t)))
+    # Surroundings are told apart by their outermost other terms, which copies with small changes mostly share.
+    def others(c):
+        return let(F.filter("terms", lambda t: t != c), lambda x: F.xxhash64(F.get(x, F.lit(0)), F.get(x, F.size(x) - 1)))
     around = spans.select("entity", _terms(F.col("near")).alias("terms")).select("entity", "terms", F.explode("terms").alias("term")).select("entity", "term", others(F.col("term")).alias("around")).distinct()
     known = materialise(around.groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= limits.support))
-    wanted = known.select("term").distinct()
-    n_known = known.count()
-    if not n_known:
+    if known.isEmpty():
         return known.select("entity", "term", F.lit(0.0).alias("share"))
     n_docs = docs.count()
-    wanted = F.broadcast(wanted) if n_known <= BROADCAST_ROWS else wanted
-    df = docs.select(F.explode(_terms(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
     entities = spans.groupBy("entity", "h").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("with_entity"))
-    pairs = (spans.join(sized(known.select("entity").distinct()), "entity", "left_semi").select("entity", "h", "copies", F.explode(_terms(F.col("near"))).alias("term"))
+    near = spans.select("entity", "h", "copies", F.explode(_terms(F.col("near"))).alias("term"))
+    pairs = (near.join(sized(known.select("entity").distinct()), "entity", "left_semi")
              .groupBy("entity", "term", "h").agg(F.max("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("with_both")))
-    share = F.log2(F.col("with_both") * F.lit(n_docs) / (F.col("with_entity") * F.col("with_term"))) / F.log2(F.lit(n_docs) / F.col("with_entity"))
-    return (known.select("entity", "term").join(pairs, ["entity", "term"]).join(entities, "entity").join(df, "term")
-            .where(F.col("with_entity") < n_docs).select("entity", "term", share.alias("share")).where(F.col("share") >= limits.generalise))
+    # A term is in at least as many documents as it has beside entities, so common words fall out before the corpus is counted.
+    at_least = near.groupBy("term", "h").agg(F.max("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("at_least"))
+    share = lambda with_term: F.log2(F.col("with_both") * F.lit(n_docs) / (F.col("with_entity") * F.col(with_term))) / F.log2(F.lit(n_docs) / F.col("with_entity"))
+    hopeful = materialise(known.select("entity", "term").join(pairs, ["entity", "term"]).join(entities, "entity").join(at_least, "term")
+                          .where(F.col("with_entity") < n_docs).where(share("at_least") >= limits.generalise))
+    wanted = sized(materialise(hopeful.select("term").distinct()))
+    df = docs.select(F.explode(_terms(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    return hopeful.join(df, "term").select("entity", "term", share("with_term").alias("share")).where(F.col("share") >= limits.generalise)
 
 
 def scan(docs: DataFrame, limits: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
