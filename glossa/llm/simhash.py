@@ -67,16 +67,12 @@ def _mask(first: int, width: int) -> int:
 
 
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """All pairs (a < b) of the distinct longs in column ``fp`` that differ in at most ``max_bits`` bits.
-
-    With a column ``part``, pairs of one part are left out: they are joined already.
-    """
-    parts, apart = segments(max_bits), "part" in fps.columns
-    fps = fps if apart else fps.withColumn("part", F.lit(0))
+    """All pairs (a < b) of the distinct longs in column ``fp`` that differ in at most ``max_bits`` bits."""
+    parts = segments(max_bits)
     keys = [F.struct(F.lit(s * 100 + j).alias("wiped"), F.col("fp").bitwiseAND(F.lit(_mask(*parts[s]) & ~_mask(parts[s][0] + j, 1))).alias("rest"))
             for s in range(len(parts)) for j in range(parts[s][1])]
-    index = fps.select("fp", "part", F.explode(F.array(*keys)).alias("k")).select("fp", "part", "k.wiped", "k.rest")
-    a, b = index.select(F.col("fp").alias("a"), "part", "wiped", "rest"), index.select(F.col("fp").alias("b"), "part", "wiped", "rest")
+    index = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.wiped", "k.rest")
+    a, b = index.select(F.col("fp").alias("a"), "wiped", "rest"), index.select(F.col("fp").alias("b"), "wiped", "rest")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(-1)  # the first key that both have
     for s in reversed(range(len(parts))):
@@ -87,7 +83,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
             bit = F.when(here == F.lit(_mask(low + j, 1)), j).otherwise(bit)
         first = F.when(F.bit_count(here) <= 1, F.lit(s * 100) + bit).otherwise(first)
     close = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= max_bits) & (a["wiped"] == first)
-    return a.join(b, (a["wiped"] == b["wiped"]) & (a["rest"] == b["rest"]) & (close & (a["part"] != b["part"]) if apart else close)).select("a", "b")
+    return a.join(b, (a["wiped"] == b["wiped"]) & (a["rest"] == b["rest"]) & close).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, distinct: bool = False) -> DataFrame:
@@ -128,14 +124,13 @@ def _similarity(a: Column, b: Column, size: int) -> Column:
     return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), turned)) / F.least(F.size(union), F.lit(size)))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, bits: tuple[int, int] = (4, 7), sketch_size: int = 256) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 4, sketch_size: int = 256) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles are similar, by the smallest id.
 
-    Candidates are texts whose fingerprints of distinct words differ in few bits.  The close ones are
-    verified and joined first; then candidates up to the second number of bits are sought between
-    groups only, so that a large group of copies does not meet itself again.  The similarity is
-    that of the shingle sets, from samples of their smallest hashes where they are large.  Nulls,
-    empty texts, repeated rows and empty tables are treated as in ``near_duplicates``.
+    Candidates are texts whose fingerprints of distinct words differ in at most ``max_bits`` bits;
+    each is verified.  The similarity is that of the shingle sets, from samples of their smallest
+    hashes where they are large.  Nulls, empty texts, repeated rows and empty tables are treated as
+    in ``near_duplicates``.
     """
     @F.pandas_udf("struct<fp: long, sketch: array<long>>")
     def mark(texts: pd.Series) -> pd.DataFrame:
@@ -158,11 +153,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(fps, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    close = materialise(alike(same.union(of_nodes(links(fps.select("fp"), bits[0])))))
-    found = connected_components(close)
-    part = fps.join(found, fps["first"] == found["node"], "left").select("fp", F.coalesce("root", "first").alias("part"))
-    far = materialise(alike(of_nodes(links(materialise(part), bits[1]))))
-    roots = connected_components(close.union(far))
+    roots = connected_components(alike(same.union(of_nodes(links(fps.select("fp"), max_bits)))))
     linked = nodes.select("node", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = linked.join(by_root, "root").select(F.col("node").alias("of_node"), "component_id")
