@@ -67,7 +67,7 @@ class ChunkTokenizer:
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of runs of lower-case letters: each is a word, so its last id is the next that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u2")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u2")
         to = np.nonzero(self.ends[ids])[0] + 1
         if len(to) != len(parts):
             raise ValueError("the vocabulary has no word ends")
@@ -89,7 +89,12 @@ class ChunkTokenizer:
             parts.clear()
             parts[""] = b""
         new = set().union(*chunks).difference(known)
-        plain = {c: (m[1].lower(), m[2]) for c in new if (m := self._PLAIN.fullmatch(c))}
+        plain = {}
+        for c in new:
+            if c.isascii() and c.isalpha():
+                plain[c] = (c.lower(), "")
+            elif m := self._PLAIN.fullmatch(c):
+                plain[c] = (m[1].lower(), m[2])
         if runs := list({w for w, _ in plain.values()}.difference(parts)):
             self._learn(runs)
         self._single(list({t for _, t in plain.values()}.difference(parts)), parts)
