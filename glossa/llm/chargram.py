@@ -18,7 +18,7 @@ START, END = "\x02", "\x03"
 ORDER = 5
 DISCOUNT = 0.75
 #: Words whose scores a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 
 
 def grams(word: str) -> list[tuple[str, str]]:
