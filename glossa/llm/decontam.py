@@ -35,8 +35,7 @@ _CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class Search:
-    #: Dimensions of the latent space, and of the sketch beyond them.
-    rank: int = 128
+    #: Dimensions of the sketch beyond those of the latent space, which has one for each passage of a block.
     oversampling: int = 16
     #: Cosine from which a window is a candidate.
     min_cosine: float = 0.45
@@ -49,8 +48,8 @@ class Search:
     min_words: int = 8
     #: Longer items are cut into passages of about so many words.
     max_words: int = 96
-    #: Passages that are searched for in one reading of the documents.
-    block: int = 1_000
+    #: Passages that are searched for in one reading of the documents, about.
+    block: int = 128
 
 
 def normal(token: str) -> str:
@@ -148,9 +147,10 @@ def _vector(bucket: Buckets, words: list[str], idf: np.ndarray) -> tuple[np.ndar
     return ids, v / norm if norm else v
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, search: Search) -> np.ndarray:
+def latent_space(passages: DataFrame, rank: int, idf: np.ndarray, vocabulary: np.ndarray, search: Search) -> np.ndarray:
     """Right singular vectors over ``vocabulary`` of the passages' TF-IDF matrix, by randomised SVD.
 
+    ``rank`` is the number of passages, so that the space holds each of them whole.
     Tasks multiply their own passages with the sketch and return sums over the vocabulary, which is
     that of one block of passages; the driver only orthogonalises.
     """
@@ -158,7 +158,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, s
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
     shared = sc.broadcast((idf.astype(np.float32), place))
-    width = min(search.rank + search.oversampling, len(vocabulary))
+    width = min(rank + search.oversampling, len(vocabulary))
 
     def gram_times(q: np.ndarray) -> np.ndarray:
         sketch = sc.broadcast(q.astype(np.float32))
@@ -188,7 +188,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, s
     for _ in range(2):
         q = np.linalg.qr(gram_times(q))[0]
     values, turn = np.linalg.eigh(q.T @ gram_times(q))
-    order = np.argsort(values)[::-1][:search.rank]
+    order = np.argsort(values)[::-1][:rank]
     return (q @ turn[:, order[values[order] > 1e-9]]).astype(np.float32)
 
 
@@ -276,7 +276,7 @@ def candidates(index: DataFrame, passages: DataFrame, idf: np.ndarray, search: S
     bucket = Buckets()
     vocabulary = np.unique(np.concatenate([bucket(w) for w in block.values()]))
     vocabulary = vocabulary[(vocabulary >= 0) & (idf[vocabulary] > 0)]
-    v = latent_space(passages, idf, vocabulary, search)
+    v = latent_space(passages, len(block), idf, vocabulary, search)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
     classes: dict[int, tuple[list, list]] = {}
@@ -339,6 +339,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search | None =
     idf = np.where(df > max(1, search.max_share * n_docs), 0.0, np.log((2 + n_docs) / (1 + df)))
     for i in range(blocks):
         some = passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i)
+        if some.isEmpty():
+            continue
         met = materialise(candidates(index, some, idf, search))
         ids = sized(materialise(met.select(F.col("doc_id").alias("met_id")).distinct()))
         texts = materialise(docs.join(ids, F.col("doc_id") == F.col("met_id"), "left_semi").select(F.col("doc_id").alias("text_id"), "text").distinct())
