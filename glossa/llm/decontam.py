@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages are TF-IDF vectors over hashed words, with document frequencies of the whole
-corpus.  A distributed randomised SVD of them gives the latent space.  Windows of every document,
+Benchmark passages are TF-IDF vectors over hashed words, with document frequencies of the
+distinct texts of the whole corpus.  A distributed randomised SVD of them gives the latent space.  Windows of every document,
 as long as the passages, are compared with them by cosine in that space; a window whose share in the
 space cannot reach the threshold is passed over, which loses nothing.
 Candidates are then held against the passage by their longest common subsequence of words, and
@@ -39,8 +39,6 @@ class Search:
     oversampling: int = 16
     #: Cosine from which a window is a candidate.
     min_cosine: float = 0.45
-    #: Words in more than this share of all documents have no weight.
-    max_share: float = 0.05
     #: Share of a passage's words in common order: a copy, or a paraphrase if the answer is there too.
     copied: float = 0.8
     paraphrased: float = 0.6
@@ -125,20 +123,34 @@ def indexed(docs: DataFrame) -> DataFrame:
 
 
 def document_frequencies(index: DataFrame) -> np.ndarray:
-    """Documents of the whole corpus by bucket: each task counts its own, Spark adds them up."""
+    """Distinct texts of the whole corpus by bucket: each task counts its own, Spark adds them up.
+
+    Each of n copies counts as the nth part of a text, so only the hashes of texts are grouped.
+    """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(BUCKETS, dtype=np.int64)
+        df = np.zeros(BUCKETS)
         for b in batches:
-            for words in b["words"]:
-                df[np.unique(np.frombuffer(words, dtype="<i4"))] += 1
+            for words, part in zip(b["words"], b["part"]):
+                df[np.unique(np.frombuffer(words, dtype="<i4"))] += part
         hit = np.nonzero(df)[0]
         yield pd.DataFrame({"bucket": hit, "n": df[hit]})
     total = np.zeros(BUCKETS)
-    rows = index.select("words").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    key = F.xxhash64("words")
+    copies = sized(materialise(index.groupBy(key.alias("text_key")).agg(F.count("*").alias("copies")).where("copies > 1")))
+    parts = index.join(copies, key == F.col("text_key"), "left").select("words", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    rows = parts.mapInPandas(count, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
     total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return total
 
 
+def weights(df: np.ndarray, n_texts: int) -> np.ndarray:
+    """Weights of words by their document frequencies, from 0.8 for a word of every text; none is zero.
+
+    The root keeps a passage of frequent words visible among rare ones.
+    """
+    return np.sqrt(np.log1p((1 + n_texts) / (1 + df)))
+
+
 def _vector(bucket: Buckets, words: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, counts = np.unique(bucket(words), return_counts=True)
     ids, counts = ids[idf[ids] > 0], counts[idf[ids] > 0]
@@ -335,8 +347,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search | None =
         return result
     blocks = max(1, math.ceil(n / search.block))
     index = materialise(indexed(docs))
-    n_docs, df = index.count(), document_frequencies(index)
-    idf = np.where(df > max(1, search.max_share * n_docs), 0.0, np.log((2 + n_docs) / (1 + df)))
+    idf = weights(document_frequencies(index), index.select(F.xxhash64("words")).distinct().count())
     for i in range(blocks):
         some = passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i)
         if some.isEmpty():

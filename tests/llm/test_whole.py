@@ -14,3 +14,15 @@ def test_copies_of_over_a_thousand_passages_are_found(spark):
     docs = [(i, " ".join(rnd.choices(vocabulary, k=30) + [text] + rnd.choices(vocabulary, k=30))) for i, text in items]
     found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
     assert found == {(i, i) for i, _ in items}
+
+
+def test_copied_texts_and_frequent_words_keep_their_weight(spark):
+    rnd = random.Random(12)
+    rare, frequent = [f"w{i}" for i in range(5000)], [f"the{i}" for i in range(60)]
+    items = [(0, " ".join(rnd.choices(rare, k=30))), (1, " ".join(rnd.choices(frequent, k=30)))]
+    text = lambda: rnd.choices(rare, k=40) + rnd.choices(frequent, k=40)
+    docs = [(i, " ".join(text())) for i in range(200)]
+    copied = " ".join(text() + [items[0][1]] + text())
+    docs += [(1000 + i, copied) for i in range(100)] + [(2000, " ".join(text() + [items[0][1]] + text())), (2001, " ".join(text() + [items[1][1]] + rnd.choices(rare, k=40)))]
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert found == {(1000 + i, 0) for i in range(100)} | {(2000, 0), (2001, 1)}
