@@ -4,7 +4,7 @@ Benchmark passages are TF-IDF vectors over hashed words, with document frequenci
 distinct texts of the whole corpus.  A distributed randomised SVD of them gives the latent space.  Windows of every document,
 as long as the passages, are compared with them by cosine in that space; a window whose share in the
 space cannot reach the threshold is passed over, which loses nothing.
-Candidates are then held against the passage by their longest common subsequence of words, and
+All candidates are then held against the passage by their longest common subsequence of words, and
 paraphrases also by whether the passage's answer, its last sentence, is there.
 """
 from __future__ import annotations
@@ -213,21 +213,36 @@ class Finder:
     """Candidate windows of documents for a block of passages."""
 
     def __init__(self, state: tuple) -> None:
-        idf2, place, weighted, self.classes, self.min_cosine = state
+        idf2, place, weighted, most, self.classes, self.words, self.min_cosine, self.min_share = state
         # The last bucket stands for the blank space between documents.
         self.idf2, self.place, self.weighted = np.append(idf2, np.float32(0)), np.append(place, np.int32(-1)), weighted
+        # No passage gains more by a word than this.
+        self.gain = np.append(most, np.float32(0))[self.place] * np.sqrt(self.idf2)
         self.longest = max(self.classes, default=0)
 
-    def __call__(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, int, int]]:
-        """(number of the text, passage, cosine, first word, last word), the best window of each text and passage."""
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    def __call__(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, list[float], list[int], list[int]]]:
+        """(number of the text, passage, cosines, first words, last words) with every window of a text and passage.
+
+        Windows without enough of the passage's words, in whatever order, cannot hold it and are left out.
+        """
+        met: dict[tuple[int, int], dict[tuple[int, int], float]] = {}
         for pieces in self._pieces(texts):
-            for number, at, p, c, a, b in self._windows(pieces):
-                if (number, p) not in best or c > best[number, p][0]:
-                    best[number, p] = (c, at + a, at + b)
-        for (number, p), (c, a, b) in best.items():
-            half = (b - a) // 2
-            yield number, p, c, max(0, a - half), b + half
+            for number, at, p, dot, a, b in self._windows(pieces):
+                a, b = at + a, at + b
+                half = (b - a) // 2
+                first, last = max(0, a - half), b + half
+                if self._shared(p, texts[number][first:last]) >= self.min_share:
+                    own, counts = np.unique(texts[number][a:b], return_counts=True)
+                    met.setdefault((number, p), {})[first, last] = dot / math.sqrt((counts ** 2 * self.idf2[own]).sum())
+        for (number, p), windows in met.items():
+            yield number, p, list(windows.values()), [a for a, _ in windows], [b for _, b in windows]
+
+    def _shared(self, passage: int, there: np.ndarray) -> float:
+        """The part of the passage's words, each as often as it stands in it, that is there."""
+        ids, counts = self.words[passage]
+        own, n = np.unique(there, return_counts=True)
+        at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+        return np.where(own[at] == ids, np.minimum(n[at], counts), 0).sum() / counts.sum()
 
     def _pieces(self, texts: list[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
         """Runs of (number, first word, buckets) of about _CHUNK words; long texts are cut with an overlap."""
@@ -249,40 +264,50 @@ class Finder:
         for (*_, own), at in zip(pieces, begins):
             ids[at:at + len(own)] = own
         steps = len(ids) // STEP
-        weight, rows = self.idf2[ids], self.place[ids]
-        energy, shared = np.zeros(steps + 1), np.zeros(steps + 1)
-        np.cumsum(weight.reshape(steps, STEP).sum(axis=1), out=energy[1:])
-        np.cumsum((weight * (rows >= 0)).reshape(steps, STEP).sum(axis=1), out=shared[1:])
-        mine = np.nonzero(rows >= 0)[0]
+        rows = self.place[ids]
+        energy, gain = np.zeros(steps + 1), np.zeros(steps + 1)
+        np.cumsum(self.idf2[ids].reshape(steps, STEP).sum(axis=1), out=energy[1:])
+        np.cumsum(self.gain[ids].reshape(steps, STEP).sum(axis=1), out=gain[1:])
+        # The energy counts a recurring word once for each time, which is at most the square of the
+        # window's norm: no window above the threshold is lost.
+        hopeful, wanted = {}, np.zeros(steps + 1, dtype=np.int32)
+        for length in self.classes:
+            n = length // STEP
+            norm2 = energy[n:] - energy[:-n]
+            most = gain[n:] - gain[:-n]
+            hopeful[length] = maybe = np.nonzero((most >= 0.99 * self.min_cosine * np.sqrt(np.maximum(norm2, 0))) & (norm2 > 1e-3))[0]
+            np.add.at(wanted, maybe, 1)
+            np.add.at(wanted, maybe + n, -1)
+        mine = np.nonzero((rows >= 0) & np.repeat(np.cumsum(wanted)[:-1] > 0, STEP))[0]
         if not len(mine):
             return
-        # Latent sums of each step, then of everything before it.
+        # Latent sums of each step in such windows, then of everything before it.
         step = mine // STEP
         first = np.nonzero(np.diff(step, prepend=-1))[0]
         latent = np.zeros((steps + 1, self.weighted.shape[1]), dtype=np.float32)
         latent[step[first] + 1] = np.add.reduceat(self.weighted[rows[mine]], first, axis=0)
         np.cumsum(latent, axis=0, out=latent)
         for length, (numbers, passages) in self.classes.items():
-            n = length // STEP
-            norm2 = energy[n:] - energy[:-n]
-            # No cosine exceeds the part of the window that lies in the benchmark's vocabulary (half
-            # of it allows for words that recur), or else in the latent space.
-            maybe = np.nonzero((shared[n:] - shared[:-n] >= 0.5 * self.min_cosine ** 2 * norm2) & (norm2 > 1e-3))[0]
+            n, maybe = length // STEP, hopeful[length]
+            norm2 = energy[maybe + n] - energy[maybe]
+            # No cosine exceeds the part of the window that lies in the latent space.
             inside = latent[maybe + n] - latent[maybe]
-            near = np.einsum("ij,ij->i", inside, inside) >= self.min_cosine ** 2 * norm2[maybe]
+            near = np.einsum("ij,ij->i", inside, inside) >= self.min_cosine ** 2 * norm2
             if not near.any():
                 continue
-            inside, near = inside[near], maybe[near]
-            cosines = (inside @ passages.T) / np.sqrt(norm2[near])[:, None]
-            for i, j in zip(*np.nonzero(cosines >= self.min_cosine)):
+            inside, norm, near = inside[near], np.sqrt(norm2[near]), maybe[near]
+            dots = inside @ passages.T
+            for i, j in zip(*np.nonzero(dots >= self.min_cosine * norm[:, None])):
                 start = int(near[i]) * STEP
                 k = int(np.searchsorted(begins, start, side="right")) - 1
                 number, at, own = pieces[k]
-                yield number, at, int(numbers[j]), float(cosines[i, j]), start - int(begins[k]), min(len(own), start - int(begins[k]) + length)
+                if start - begins[k] >= len(own):  # begins in the blank space
+                    continue
+                yield number, at, int(numbers[j]), float(dots[i, j]), start - int(begins[k]), min(len(own), start - int(begins[k]) + length)
 
 
 def candidates(index: DataFrame, passages: DataFrame, idf: np.ndarray, search: Search) -> DataFrame:
-    """(doc_id, passage, cosine, first, last): the best window of each document for each passage it may hold."""
+    """(doc_id, passage, cosines, firsts, lasts): all windows of each document for each passage it may hold."""
     sc = index.sparkSession.sparkContext
     block = {r["passage"]: r["words"] for r in passages.collect()}  # one block of passages
     bucket = Buckets()
@@ -292,33 +317,45 @@ def candidates(index: DataFrame, passages: DataFrame, idf: np.ndarray, search: S
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
     classes: dict[int, tuple[list, list]] = {}
+    most, known = np.zeros(len(vocabulary), dtype=np.float32), {}
     for number, words in block.items():
+        known[number] = np.unique(bucket(words), return_counts=True)
         ids, x = _vector(bucket, words, idf)
+        np.maximum.at(most, place[ids], x)
         numbers, latent = classes.setdefault(window_of(len(words)), ([], []))
         numbers.append(number)
         z = x @ v[place[ids]]
         latent.append(z / max(np.linalg.norm(z), 1e-9))
     weighted = (v * idf[vocabulary][:, None]).astype(np.float32)
-    state = sc.broadcast(((idf ** 2).astype(np.float32), place, weighted, {n: (np.array(a), np.array(b, dtype=np.float32)) for n, (a, b) in classes.items()}, search.min_cosine))
+    state = sc.broadcast(((idf ** 2).astype(np.float32), place, weighted, most, {n: (np.array(a), np.array(b, dtype=np.float32)) for n, (a, b) in classes.items()}, known, search.min_cosine, min(search.copied, search.paraphrased)))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(state.value)
         for b in batches:
             ids = b["doc_id"].tolist()
             rows = [(ids[number], *found) for number, *found in finder([np.frombuffer(w, dtype="<i4") for w in b["words"]])]
-            yield pd.DataFrame(rows, columns=["doc_id", "passage", "cosine", "first", "last"]).astype({"doc_id": "int64", "passage": "int64", "cosine": "float64", "first": "int64", "last": "int64"})
-    return index.mapInPandas(find, "doc_id long, passage long, cosine double, first long, last long")
-
-
-def _overlap(*columns: str) -> Column:
-    """Of a document's text between two of its words with a passage and its answer."""
-    @F.pandas_udf("struct<share:double,answered:boolean>")
-    def of(texts: pd.Series, firsts: pd.Series, lasts: pd.Series, passages: pd.Series, answers: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, first, last, p, a in zip(texts, firsts, lasts, passages, answers):
-            there, a = words_of(t)[first:last], list(a)
-            rows.append((common_subsequence(list(p), there) / len(p), bool(a) and common_subsequence(a, there) >= 0.9 * len(a)))
-        return pd.DataFrame(rows, columns=["share", "answered"])
+            yield pd.DataFrame(rows, columns=["doc_id", "passage", "cosines", "firsts", "lasts"]).astype({"doc_id": "int64", "passage": "int64"})
+    return index.mapInPandas(find, "doc_id long, passage long, cosines array<double>, firsts array<long>, lasts array<long>")
+
+
+def _overlap(search: Search, *columns: str) -> Column:
+    """Of a document's text with a passage and its answer: the best of all windows, one that holds the passage first."""
+    @F.pandas_udf("struct<cosine:double,share:double,answered:boolean>")
+    def of(texts: pd.Series, cosines: pd.Series, firsts: pd.Series, lasts: pd.Series, passages: pd.Series, answers: pd.Series) -> pd.DataFrame:
+        rows, split, words = [], None, []
+        for t, cs, fs, ls, p, a in zip(texts, cosines, firsts, lasts, passages, answers):
+            if t != split:
+                split, words = t, words_of(t)
+            p, a, best = list(p), list(a), None
+            for c, first, last in sorted(zip(cs, fs, ls), reverse=True):
+                there = words[first:last]
+                share, answered = common_subsequence(p, there) / len(p), bool(a) and common_subsequence(a, there) >= 0.9 * len(a)
+                held = share >= search.copied or share >= search.paraphrased and answered
+                best = max(best or (False, -1.0, 0.0, False), (held, share, c, answered))
+                if share == 1 and answered:
+                    break
+            rows.append((best[2], best[1], best[3]))
+        return pd.DataFrame(rows, columns=["cosine", "share", "answered"])
     return of(*map(F.col, columns))
 
 
@@ -356,7 +393,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search | None =
         ids = sized(materialise(met.select(F.col("doc_id").alias("met_id")).distinct()))
         texts = materialise(docs.join(ids, F.col("doc_id") == F.col("met_id"), "left_semi").select(F.col("doc_id").alias("text_id"), "text").distinct())
         held = met.join(some.withColumnRenamed("passage", "held"), F.col("passage") == F.col("held")).join(texts, F.col("doc_id") == F.col("text_id"))
-        sure = held.select("doc_id", "item_id", "cosine", _overlap("text", "first", "last", "words", "answer").alias("o")).select("doc_id", "item_id", "cosine", "o.*")
+        sure = held.select("doc_id", "item_id", _overlap(search, "text", "cosines", "firsts", "lasts", "words", "answer").alias("o")).select("doc_id", "item_id", "o.*")
         result = result.union(sure.where((F.col("share") >= search.copied) | ((F.col("share") >= search.paraphrased) & F.col("answered"))))
     best = F.max(F.struct("share", "cosine", "answered")).alias("b")
     return result.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.share", "b.answered")

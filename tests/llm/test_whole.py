@@ -26,3 +26,14 @@ def test_copied_texts_and_frequent_words_keep_their_weight(spark):
     docs += [(1000 + i, copied) for i in range(100)] + [(2000, " ".join(text() + [items[0][1]] + text())), (2001, " ".join(text() + [items[1][1]] + rnd.choices(rare, k=40)))]
     found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
     assert found == {(1000 + i, 0) for i in range(100)} | {(2000, 0), (2001, 1)}
+
+
+def test_a_run_of_one_word_does_not_hide_a_copy(spark):
+    rnd = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rnd.sample(vocabulary, 25))) for i in range(30)]
+    docs = [(i, " ".join(rnd.choices(vocabulary, k=200) + [text] + rnd.choices(vocabulary, k=200) + [text.split()[7]] * 32 + rnd.choices(vocabulary, k=200))) for i, text in items]
+    docs += [(1000 + i, " ".join([text.split()[7]] * 400)) for i, text in items]
+    rows = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i, _ in items}
+    assert all(r.share == 1 and 0.45 <= r.cosine <= 1.0001 for r in rows)
