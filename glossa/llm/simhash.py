@@ -10,16 +10,17 @@ form); index, join, verification and components are DataFrame operations.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise, sized
+from .common import LOWER, UPPER, materialise, sized, text_or_empty
 from .components import connected_components
 
 BITS = 64
@@ -28,6 +29,8 @@ _BATCH = 1 << 14
 _SEED = 42
 #: Rows of a table of one long that are broadcast at most.
 _IDS = 500_000
+#: Texts, about, whose shingles tell which are frequent, and such shingles at most.
+_SAMPLE, _FREQUENT = 10_000, 100_000
 
 
 def fingerprint_of(text: str | None, shingle_words: int, distinct: bool = False) -> int:
@@ -105,55 +108,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch_of(text: str | None, shingle_words: int, size: int) -> np.ndarray:
-    """The smallest hashes of the distinct word shingles, all of them if there are few."""
+def shingles_of(text: str | None, shingle_words: int) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles."""
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(UPPER, LOWER)))
-    least = np.zeros(0, dtype=np.uint64)
     n = max(1, len(words) - shingle_words + 1) if words else 0
-    for at in range(0, n, _BATCH):
-        h = [xxhash.xxh64_intdigest(" ".join(words[i:i + shingle_words]), _SEED) for i in range(at, min(n, at + _BATCH))]
-        least = np.unique(np.concatenate([least, np.array(h, dtype=np.uint64)]))[:size]
-    return least.view(np.int64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i:i + shingle_words]), _SEED) for i in range(n)], dtype=np.uint64)).view(np.int64)
+
+
+def least_common(size: int | Column, similarity: float) -> int | Column:
+    """Shingles that a set has in common at least with any that is so similar."""
+    share = size * similarity - 1e-9
+    return F.ceil(share) if isinstance(size, Column) else math.ceil(share)
 
 
-def _similarity(a: Column, b: Column, size: int) -> Column:
-    """Jaccard similarity of two shingle sets from their sketches, exact if both together fit into one."""
-    union = F.array_union(a, b)
-    # Among the smallest of both: unsigned order is signed order with the upper bit turned.
-    turned = F.transform(F.slice(F.array_sort(F.transform(union, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))), 1, size), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), turned)) / F.least(F.size(union), F.lit(size)))
+def frequent_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample share, ascending, and in how many; they only order the keys."""
+    n = texts.count()
+    sample = texts.where(F.pmod(F.xxhash64(text_or_empty()), F.lit(1_000_000)) < F.lit(max(1, 1_000_000 * _SAMPLE // max(n, 1))))
 
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"shingle": shingles_of(t, shingle_words)})
+    rows = sample.select("text").distinct().mapInPandas(explode, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(_FREQUENT).toPandas()  # _FREQUENT rows at most
+    rows = rows.sort_values("shingle")
+    return rows["shingle"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 4, sketch_size: int = 256) -> DataFrame:
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles are similar, by the smallest id.
 
-    Candidates are texts whose fingerprints of distinct words differ in at most ``max_bits`` bits;
-    each is verified.  The similarity is that of the shingle sets, from samples of their smallest
-    hashes where they are large.  Nulls, empty texts, repeated rows and empty tables are treated as
-    in ``near_duplicates``.
+    Sets of shingles with a Jaccard similarity of at least ``similarity`` are linked, all of them: of
+    each set the rarest shingles, as many as it may lack in a similar one and one more, are its keys,
+    and similar sets share a key.  Pairs are verified by their whole sets.  Within a key texts are
+    first held against one of them; what that leaves in different groups meets pair by pair.  Nulls,
+    empty texts, repeated rows and empty tables are treated as in ``near_duplicates``.
     """
-    @F.pandas_udf("struct<fp: long, sketch: array<long>>")
-    def mark(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": [fingerprint_of(t, 1, True) for t in texts], "sketch": [sketch_of(t, shingle_words, sketch_size) for t in texts]})
-
-    marked = materialise(docs.select(F.col(id_col).alias("doc_id"), mark(F.col(text_col)).alias("m")).select("doc_id", "m.fp", "m.sketch", F.xxhash64("m.fp", "m.sketch").alias("node")))
-    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known, counts = frequent_shingles(texts, shingle_words)
+    shared = docs.sparkSession.sparkContext.broadcast((known, counts))
+
+    @F.pandas_udf("struct<node: long, size: long, keys: array<long>>")
+    def mark(batch: pd.Series) -> pd.DataFrame:
+        (seen, often), rows = shared.value, []
+        for t in batch:
+            own = shingles_of(t, shingle_words)
+            keep = len(own) - least_common(len(own), similarity) + 1 if len(own) else 0
+            if len(seen):
+                at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+                order = np.lexsort((own, np.where(seen[at] == own, often[at], 0)))
+            else:
+                order = np.arange(len(own))
+            rows.append((xxhash.xxh64_intdigest(own.tobytes(), _SEED) - (1 << 63), len(own), own[order[:keep]]))
+        return pd.DataFrame(rows, columns=["node", "size", "keys"])
+
+    marked = materialise(texts.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), mark(F.col("text")).alias("m")).select("doc_id", "text_key", "m.*"))
+    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")))
+    keys = marked.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
+    by_key = Window.partitionBy("key")
+    members = materialise(keys.withColumn("n", F.count("*").over(by_key)).withColumn("hub", F.min(F.struct("node", "size")).over(by_key)).where("n > 1").drop("n"))
+    wanted = sized(materialise(members.select(F.col("node").alias("wanted")).distinct().join(nodes, F.col("wanted") == nodes["node"]).select("wanted", F.col("text_key").alias("wanted_key"))), _IDS)
+
+    @F.pandas_udf("array<long>")
+    def whole(batch: pd.Series) -> pd.Series:
+        return pd.Series([shingles_of(t, shingle_words) for t in batch])
+    held = texts.join(wanted, F.xxhash64(text_or_empty()) == F.col("wanted_key")).select("wanted", "text").dropDuplicates(["wanted"])
+    sets = materialise(held.select(F.col("wanted").alias("node"), whole("text").alias("shingles")))
+
+    def may(a: str, b: str) -> Column:
+        return F.least(a, b) >= least_common(F.greatest(a, b), similarity)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes that are similar; only the sketches of these nodes are moved."""
-        pairs = materialise(pairs)
-        wanted = materialise(pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct())
-        sketches = materialise(marked.join(sized(wanted, _IDS), F.col("node") == F.col("wanted"), "left_semi").select("node", "sketch").dropDuplicates(["node"]))
-        side = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"{x}_sketch"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(_similarity(F.col("a_sketch"), F.col("b_sketch"), sketch_size) >= similarity).select("a", "b")
-
-    def of_nodes(pairs: DataFrame) -> DataFrame:
-        side = lambda x: nodes.select(F.col("fp").alias(f"{x}_fp"), F.col("node").alias(x))
-        return pairs.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(side("a"), "a_fp").join(side("b"), "b_fp").select("a", "b")
-
-    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    same = nodes.join(fps, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    roots = connected_components(alike(same.union(of_nodes(links(fps.select("fp"), max_bits)))))
+        """Those of the pairs of nodes that are similar."""
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        both = F.size("a_set") + F.size("b_set")
+        return materialise(pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), both.alias("both"))
+                           .where(F.col("common") >= (F.col("both") - F.col("common")) * similarity - 1e-9).select("a", "b"))
+
+    def grouped(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, root) of linked nodes, and the members of keys that more than one group shares."""
+        roots = materialise(connected_components(found))
+        rooted = members.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        ends = F.min("root").over(by_key) != F.max("root").over(by_key)
+        return roots, materialise(rooted.withColumn("open", ends).where("open").drop("open"))
+
+    found = alike(members.where((F.col("node") != F.col("hub.node")) & may("size", "hub.size")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+    roots, open_ = grouped(found)
+    # Another one of each key, a different one for every key, before all pairs.
+    chance = F.struct(F.xxhash64("node", "key").alias("chance"), "node", "size", "root")
+    drawn = open_.withColumn("hub", F.min(chance).over(by_key)).where((F.col("root") != F.col("hub.root")) & may("size", "hub.size"))
+    found = found.union(alike(drawn.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))))
+    roots, open_ = grouped(found)
+    groups = open_.select("key", "root").distinct()
+    crossed = groups.select("key", F.col("root").alias("a_root")).join(groups.select("key", F.col("root").alias("b_root")), "key").where("a_root < b_root")
+    side = lambda x: open_.select("key", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("size").alias(f"{x}_size"))
+    rest = crossed.join(side("a"), ["key", "a_root"]).join(side("b"), ["key", "b_root"]).where(may("a_size", "b_size")).select("a", "b")
+    roots = connected_components(found.union(alike(rest)))
     linked = nodes.select("node", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = linked.join(by_root, "root").select(F.col("node").alias("of_node"), "component_id")

@@ -1,7 +1,7 @@
 """Whole jobs: cases that a cut in the search would lose."""
 import random
 
-from glossa.llm import decontam
+from glossa.llm import decontam, simhash
 
 ITEMS = "item_id long, text string"
 DOCS = "doc_id long, text string"
@@ -37,3 +37,35 @@ def test_a_run_of_one_word_does_not_hide_a_copy(spark):
     rows = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i, _ in items}
     assert all(r.share == 1 and 0.45 <= r.cosine <= 1.0001 for r in rows)
+
+
+def similar_groups(texts):
+    """Components of the texts whose five-word shingles are similar, by all pairs."""
+    sets = [frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited(rnd, words, vocabulary, edits):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), edits):
+        words[at] = rnd.choice(vocabulary)
+    return " ".join(words)
+
+
+def test_no_near_copy_is_missed(spark):
+    rnd = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for length in [12, 30, 60, 60, 120, 200] * 4:
+        base = rnd.choices(vocabulary, k=length)
+        texts += [edited(rnd, base, vocabulary, rnd.randrange(1 + length // 40)) for _ in range(6)] + [" ".join(base[:-1])]
+    line = " ".join(rnd.choices(vocabulary, k=8))
+    texts += [" ".join([line, *rnd.choices(vocabulary, k=rnd.randrange(6))]) for _ in range(20)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == similar_groups(texts)
