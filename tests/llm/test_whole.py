@@ -69,3 +69,16 @@ def test_no_near_copy_is_missed(spark):
     texts += [" ".join([line, *rnd.choices(vocabulary, k=rnd.randrange(6))]) for _ in range(20)]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert [got[i] for i in range(len(texts))] == similar_groups(texts)
+
+
+def test_long_texts_are_compared_whole(spark):
+    rnd = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rnd.choices(vocabulary, k=1500)
+        texts.append(" ".join(base))
+        for cut in (1215, 1195):  # similarities of 0.81 and just below 0.8
+            texts.append(" ".join(base[:cut]))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == similar_groups(texts)
