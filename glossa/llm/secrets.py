@@ -23,7 +23,7 @@ PATTERNS = {
     "access": "AKIA[A-Z0-9]{16,}+",
     "hex": "(?<![0-9a-f])[0-9a-f]{24,}+",
     "account": rf"(?i)(?<![a-z0-9])(?:user|username|user_id|login|account|client_id|access_key_id){_SAID}[a-z0-9_.@+-]{{3,}}+",
-    "mixed": rf"(?<!{_TOKEN})(?=[^0-9\s]{{0,63}}[0-9]){_TOKEN}{{20,64}}+(?!{_TOKEN})",
+    "mixed": rf"(?<!{_TOKEN}){_TOKEN}{{20,}}+",
     "endpoint": r"(?i)(?<![a-z0-9])(?:https?|ftp|jdbc:[a-z]{1,16}|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]++",
 }
 #: Which part of a credential a kind is.
@@ -36,7 +36,7 @@ def _holds(kind: str, value: Column) -> Column:
     if kind == "assign":
         return F.char_length(F.regexp_extract(value, rf"(?s)^[A-Za-z_]+{_SAID}(.*)$", 1)) >= 6
     if kind == "mixed":
-        return value.rlike("[a-z]") & value.rlike("[A-Z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
+        return value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
     return F.lit(True)
 
 

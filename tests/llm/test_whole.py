@@ -1,7 +1,7 @@
 """Whole jobs: cases that a cut in the search would lose."""
 import random
 
-from glossa.llm import decontam, simhash
+from glossa.llm import decontam, secrets, simhash
 
 ITEMS = "item_id long, text string"
 DOCS = "doc_id long, text string"
@@ -82,3 +82,12 @@ def test_long_texts_are_compared_whole(spark):
             texts.append(" ".join(base[:cut]))
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert [got[i] for i in range(len(texts))] == similar_groups(texts)
+
+
+def test_long_keys_are_linked(spark):
+    rnd = random.Random(16)
+    key = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=86)) + "=="
+    late = "aB" * 50 + "cdefghijk7"
+    texts = [f"account=store1 with {key} beside", f"see https://store.example.org and {late} there", f"nothing beside {key} here", "account=store1 with " + "aB" * 50]
+    spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start:s.end]) for s in r.weak] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert spans == {0: [("account", "account=store1"), ("mixed", key)], 1: [("endpoint", "https://store.example.org"), ("mixed", late)], 2: [], 3: []}
