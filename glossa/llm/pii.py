@@ -1,10 +1,10 @@
 """Personal data: spans by pattern, and terms that give a protected value away.
 
-A protected entity is the value of a pattern span.  The terms around its spans co-occur with it.
+A protected entity is the value of a pattern span.  The terms of the texts that hold it co-occur with it.
 How much a term t reveals of an entity c is the pointwise mutual information of the two as a share
 of the information of the entity, log(p(c,t) / p(c)p(t)) / -log p(c), from document frequencies over
 the whole corpus.  Terms above a first threshold are generalised, above a second removed, wherever
-they stand in a text that holds the entity.  A pair needs several different surroundings, so
+they stand in a text that holds the entity.  A pair needs several texts with different terms, so
 copies of one text prove nothing.  DataFrame functions only.
 """
 from __future__ import annotations
@@ -26,7 +26,6 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_CONTEXT = 60
 
 
 @dataclass(frozen=True)
@@ -35,7 +34,7 @@ class Disclosure:
 
     generalise: float = 0.8
     remove: float = 0.95
-    #: Different surroundings in which a term must stand by an entity.
+    #: Texts with different terms in which a term must stand with an entity.
     support: int = 3
 
 
@@ -49,18 +48,11 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _near(s: Column) -> Column:
-    """The whole words within some characters on both sides, without those that look like data themselves."""
-    left = F.when(F.char_length(s["left"]) > _CONTEXT, F.regexp_replace(F.right(s["left"], F.lit(_CONTEXT)), r"^\S+", "")).otherwise(s["left"])
-    right = F.when(F.char_length(s["right"]) > _CONTEXT, F.regexp_replace(F.left(s["right"], F.lit(_CONTEXT)), r"\S+$", "")).otherwise(s["right"])
-    return F.regexp_replace(F.lower(F.concat(left, F.lit(" "), right)), r"\S*[@0-9]\S*", " ")
-
-
 def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value, near>> of one kind, null or empty if there are none."""
+    """array<struct<kind, start, end, value>> of one kind, null or empty if there are none."""
     guard = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind)
     found = F.transform(F.filter(find_spans(text, PATTERNS[kind]), lambda s: _holds(kind, s["value"])), lambda s: F.struct(
-        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _near(s).alias("near")))
+        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
     return found if guard is None else F.when(guard, found)
 
 
@@ -68,24 +60,31 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda w: F.char_length(w) >= 3)
 
 
+def _beside(text: Column) -> Column:
+    """The terms of a text in order, without words that look like data themselves."""
+    return F.array_sort(_terms(F.regexp_replace(text, r"\S*[@0-9]\S*", " ")))
+
+
 def disclosing_terms(spans: DataFrame, docs: DataFrame, limits: Disclosure) -> DataFrame:
-    """(entity, term, share) above the first threshold; ``spans`` has h, entity and near, ``docs`` text."""
-    # Surroundings are told apart by their outermost other terms, which copies with small changes mostly share.
-    def others(c):
-        return let(F.filter("terms", lambda t: t != c), lambda x: F.xxhash64(F.get(x, F.lit(0)), F.get(x, F.size(x) - 1)))
-    around = spans.select("entity", _terms(F.col("near")).alias("terms")).select("entity", "terms", F.explode("terms").alias("term")).select("entity", "term", others(F.col("term")).alias("around")).distinct()
-    known = materialise(around.groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= limits.support))
-    if known.isEmpty():
-        return known.select("entity", "term", F.lit(0.0).alias("share"))
+    """(entity, term, share) above the first threshold; ``spans`` has h, entity and copies, ``docs`` text."""
+    held = materialise(spans.groupBy("entity", "h").agg(F.max("copies").alias("copies")))
+    # Only entities of several texts can have enough of them with different terms.
+    entities = materialise(held.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= limits.support).drop("texts"))
+    if entities.isEmpty():
+        return entities.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share"))
     n_docs = docs.count()
-    entities = spans.groupBy("entity", "h").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("with_entity"))
-    near = spans.select("entity", "h", "copies", F.explode(_terms(F.col("near"))).alias("term"))
-    pairs = (near.join(sized(known.select("entity").distinct()), "entity", "left_semi")
-             .groupBy("entity", "term", "h").agg(F.max("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("with_both")))
-    # A term is in at least as many documents as it has beside entities, so common words fall out before the corpus is counted.
-    at_least = near.groupBy("term", "h").agg(F.max("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("at_least"))
+    held = materialise(held.join(sized(entities.select("entity")), "entity", "left_semi"))
+    of_texts = sized(materialise(held.select(F.col("h").alias("text_h")).distinct()))
+    texts = materialise(docs.select(F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text")).join(of_texts, F.col("h") == F.col("text_h"), "left_semi")
+                        .select("h", _beside(F.col("text")).alias("terms")).dropDuplicates(["h"]))
+    around = held.join(texts, "h").groupBy("entity", F.xxhash64("terms").alias("around")).agg(F.sum("copies").alias("copies"), F.first("terms").alias("terms"))
+    pairs = (around.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("with_both"), F.count("*").alias("support"))
+             .where(F.col("support") >= limits.support))
+    # A term is in at least as many documents as it has with entities, so common words fall out before the corpus is counted.
+    copies = held.groupBy("h").agg(F.max("copies").alias("copies"))
+    at_least = copies.join(texts, "h").select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("at_least"))
     share = lambda with_term: F.log2(F.col("with_both") * F.lit(n_docs) / (F.col("with_entity") * F.col(with_term))) / F.log2(F.lit(n_docs) / F.col("with_entity"))
-    hopeful = materialise(known.select("entity", "term").join(pairs, ["entity", "term"]).join(entities, "entity").join(at_least, "term")
+    hopeful = materialise(pairs.join(entities, "entity").join(at_least, "term")
                           .where(F.col("with_entity") < n_docs).where(share("at_least") >= limits.generalise))
     wanted = sized(materialise(hopeful.select("term").distinct()))
     df = docs.select(F.explode(_terms(text_or_empty())).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
@@ -103,8 +102,8 @@ def scan(docs: DataFrame, limits: Disclosure | None = None, id_col: str = "doc_i
     limits = limits or Disclosure()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     text = text_or_empty()
-    base = materialise(docs.select("doc_id", F.xxhash64(text).alias("h"), *(F.coalesce(base_spans(text, k), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,near:string>>")).alias(k) for k in KINDS)))
-    listed = (base.select("h", F.explode(F.concat(*KINDS)).alias("s")).groupBy("h", F.concat_ws(" ", "s.kind", "s.value").alias("entity"), F.col("s.near").alias("near"), F.col("s.start").alias("start"))
+    base = materialise(docs.select("doc_id", F.xxhash64(text).alias("h"), *(F.coalesce(base_spans(text, k), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")).alias(k) for k in KINDS)))
+    listed = (base.select("h", F.explode(F.concat(*KINDS)).alias("s")).groupBy("h", F.concat_ws(" ", "s.kind", "s.value").alias("entity"), F.col("s.start").alias("start"))
               .agg(F.count("*").alias("copies")).drop("start"))
     spans = materialise(listed)
     told = materialise(disclosing_terms(spans, docs, limits))

@@ -1,7 +1,7 @@
 """Whole jobs: cases that a cut in the search would lose."""
 import random
 
-from glossa.llm import decontam, secrets, simhash
+from glossa.llm import decontam, pii, secrets, simhash
 
 ITEMS = "item_id long, text string"
 DOCS = "doc_id long, text string"
@@ -91,3 +91,15 @@ def test_long_keys_are_linked(spark):
     texts = [f"account=store1 with {key} beside", f"see https://store.example.org and {late} there", f"nothing beside {key} here", "account=store1 with " + "aB" * 50]
     spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start:s.end]) for s in r.weak] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert spans == {0: [("account", "account=store1"), ("mixed", key)], 1: [("endpoint", "https://store.example.org"), ("mixed", late)], 2: [], 3: []}
+
+
+def test_terms_far_from_an_entity_are_found(spark):
+    rnd = random.Random(17)
+    vocabulary = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    prose = lambda: " ".join(rnd.choices(vocabulary, k=40))
+    docs = [(i, prose()) for i in range(200)]
+    docs += [(1000 + i, f"Zarquon {prose()} regards office jo@example.org desk thanks") for i in range(4)]
+    docs += [(2000 + i, f"Slartib once {docs[0][1]} to x@example.org") for i in range(4)]  # copies prove nothing
+    terms = {r.doc_id: {dict(docs)[r.doc_id][s.start:s.end] for s in r.term} for r in pii.scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert all(terms[1000 + i] == {"Zarquon", "regards", "office", "desk", "thanks"} for i in range(4))
+    assert not any(terms[i] for i in terms if not 1000 <= i < 1004)
