@@ -103,3 +103,13 @@ def test_terms_far_from_an_entity_are_found(spark):
     terms = {r.doc_id: {dict(docs)[r.doc_id][s.start:s.end] for s in r.term} for r in pii.scan(spark.createDataFrame(docs, DOCS)).collect()}
     assert all(terms[1000 + i] == {"Zarquon", "regards", "office", "desk", "thanks"} for i in range(4))
     assert not any(terms[i] for i in terms if not 1000 <= i < 1004)
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(18)
+    a, b, c = (" ".join(rnd.choices([f"w{i}" for i in range(3000)], k=80)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (7, c), (7, b + " end"), (7, c), (None, c), (None, "one text"), (None, "one text"), (None, "another")]
+    left = corpus_pipeline.near_duplicates_out(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, a), (2, b), (7, c), (None, "one text"), (None, "another")]))
