@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 
+from .common import Memo
+
 #: Runs of letters, lower-cased.
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 ORDER = 5
 DISCOUNT = 0.75
-#: Words whose scores a task remembers.
-REMEMBERED = 350_000
+#: Words whose scores a worker remembers.
+REMEMBERED = 300_000
 
 
 def grams(word: str) -> list[tuple[str, str]]:
@@ -46,16 +49,13 @@ class LikelihoodRatio:
                 shared[h][c] += 1
             level = {(h, c) for h, c, _ in level}
         top_sums = [{h: (dict(cs), sum(cs.values())) for h, cs in t.items()} for t in top]
-        self.load((top_sums, {h: (dict(cs), sum(cs.values())) for h, cs in shared.items()}, {}, {}))
+        self.load((top_sums, {h: (dict(cs), sum(cs.values())) for h, cs in shared.items()}, uuid.uuid4().hex))
 
     def load(self, state: tuple) -> LikelihoodRatio:
-        """Take over plain counts, as ``state`` has them, and what has been scored with them.
-
-        The state travels to the tasks as a broadcast, so a Python worker's later tasks find what
-        its earlier ones have scored.
-        """
+        """Take over plain counts, as ``state`` has them; what they score is remembered by the worker."""
         self.state = state
-        self.top, self.shared, self.steps, self.known = state
+        self.top, self.shared, key = state
+        self.steps, self.known = Memo.take("chargram", key, lambda: ({}, {}))
         self.floor = 1 / (1 + len(self.shared.get("", ({}, 0))[0]))
         return self
 

@@ -46,10 +46,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+class Memo:
+    """What a Python worker remembers across tasks: the memo of one operator at a time.
+
+    Taking one forgets those of other operators, so that a worker that serves several stages
+    holds no more than the largest of their bounds.
+    """
+
+    @classmethod
+    def take(cls, name: str, key: object, make: Callable[[], object]) -> object:
+        held = cls.__dict__.get("_held")
+        if held is None or held[:2] != (name, key):
+            cls._held = None
+            cls._held = held = (name, key, make())
+        return held[2]
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def text_key(text: str = "text") -> Column:
+    """What tells texts apart: the SHA-256 of the text, a null one being empty."""
+    return F.sha2(text_or_empty(text), 256)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 

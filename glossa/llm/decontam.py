@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import Memo, materialise, sized
 
 BUCKETS = 1 << 17
 #: Words that enter or leave a window together.
 STEP = 8
-#: Words whose buckets a task remembers.
-_REMEMBERED = 600_000
+#: Words whose buckets a worker remembers.
+_REMEMBERED = 500_000
 #: Words of a document that are looked at together.
 _CHUNK = 1 << 14
 
@@ -62,14 +62,6 @@ class Buckets:
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    @classmethod
-    def of_worker(cls) -> Buckets:
-        """The one of this Python worker, which keeps what earlier tasks have met."""
-        held = cls.__dict__.get("_held")
-        if held is None:
-            cls._held = held = cls()
-        return held
-
     def __call__(self, tokens: Collection[str]) -> np.ndarray:
         known = self.known
         if len(known) > _REMEMBERED:
@@ -112,7 +104,7 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 def indexed(docs: DataFrame) -> DataFrame:
     """(doc_id, words): the buckets of each document's words as 32-bit integers, so that texts are split once."""
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = Buckets.of_worker()
+        bucket = Memo.take("buckets", BUCKETS, Buckets)
         for b in batches:
             words = []
             for t in b["text"]:

@@ -1,10 +1,11 @@
 """Harmonic packing of token streams.
 
-Every document is tokenised once.  Its length is cut into pieces of reciprocal capacities: as many
-whole capacities as fit, then the binary digits of the rest, so that a piece of class k has exactly
-capacity / k ids and a bin of that class holds exactly k of them.  Each task fills its own bins, one
-open bin per class, and closes what is left in groups of a power of two pieces.  No shuffle, no
-padding: each bin is full or has a power of two of ids.
+Every document is tokenised once.  What exceeds whole capacities is its rest.  A rest longer than
+capacity / (k + 1) and not longer than capacity / k is of class k, and a bin of class k takes k of
+them.  The gap that they leave is shorter than any rest of the class, so it takes the head of the
+next one, whose tail is classed anew; every bin is thus full, and most rests stay whole.  Each task
+fills its own bins, one open bin per class, without a shuffle.  What is open in the end is laid out
+in a row and cut into full bins and a last run, which is cut into powers of two: there is no padding.
 """
 from __future__ import annotations
 
@@ -13,13 +14,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks whose ids a task remembers.
-_REMEMBERED = 700_000
+from .common import Memo
+
+#: Chunks whose ids a worker remembers.
+_REMEMBERED = 500_000
 #: Characters that are tokenised at a time.
 _SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,14 +51,6 @@ class ChunkTokenizer:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
-    @classmethod
-    def of_worker(cls, path: str) -> ChunkTokenizer:
-        """The one of this Python worker, which keeps what earlier tasks have learned."""
-        held = cls.__dict__.get("_held")
-        if held is None or held[0] != path:
-            cls._held = held = (path, cls(path))
-        return held[1]
-
     @staticmethod
     def _folded(text: str) -> str:
         """Lower case where that surely is what the tokenizer does first."""
@@ -104,7 +99,7 @@ class ChunkTokenizer:
         return [np.frombuffer(b"".join(map(known.__getitem__, cs)), dtype="<u2") for cs in chunks]
 
 
-def slices(ids: pd.Series, texts: pd.Series) -> Iterator[tuple[list, list[str]]]:
+def slices(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
     """Runs of rows with about ``_SLICE`` characters, which bounds a task's memory."""
     some, held, size = [], [], 0
     for i, t in zip(ids, texts):
@@ -118,42 +113,83 @@ def slices(ids: pd.Series, texts: pd.Series) -> Iterator[tuple[list, list[str]]]
         yield some, held
 
 
-def cut(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of a document of ``n`` ids, in order: whole capacities, then halves, quarters, ..."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << j for j in range(capacity.bit_length() - 2, -1, -1) if rest >> j & 1]
-
-
 class Bins:
-    """The open bins of one task: a list of pieces for each class."""
+    """The open bins of one task.  A piece is (document, start, ids, ids of the document).
+
+    ``done`` holds closed bins as columns: documents, starts, lengths, checksums, sizes of the
+    documents, bins, offsets.
+    """
 
     def __init__(self, capacity: int, first_id: int) -> None:
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
-
-    def add(self, piece: tuple) -> Iterator[tuple]:
-        size = piece[2]
-        bin_ = self.open.setdefault(size, [])
-        bin_.append(piece)
-        if len(bin_) * size == self.capacity:
-            yield from self._close(bin_)
-            del self.open[size]
-
-    def rest(self) -> Iterator[tuple]:
-        for size in sorted(self.open):
-            bin_ = self.open[size]
-            while bin_:
-                k = 1 << (len(bin_).bit_length() - 1)
-                yield from self._close(bin_[:k])
-                bin_ = bin_[k:]
-
-    def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
+        self.room: dict[int, int] = {}
+        self.done: list[list] = [[] for _ in range(7)]
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        n, c, at = len(ids), self.capacity, 0
+        while n - at >= c:
+            self._close([(doc_id, at, ids[at:at + c], n)])
+            at += c
+        while at < n:
+            k = c // (n - at)
+            held, room = self.open.setdefault(k, []), self.room.get(k, c)
+            if len(held) < k:
+                held.append((doc_id, at, ids[at:], n))
+                self.room[k] = room - (n - at)
+                at = n
+            else:
+                held.append((doc_id, at, ids[at:at + room], n))
+                at += room
+                self.room[k] = 0
+            if not self.room[k]:
+                self._close(held)
+                del self.open[k], self.room[k]
+
+    def finish(self) -> None:
+        """Close what is open, the longest rests first."""
+        row, room = [], self.capacity
+        for k in sorted(self.open):
+            for doc_id, at, ids, n in self.open[k]:
+                while len(ids):
+                    row.append((doc_id, at, ids[:room], n))
+                    room -= len(row[-1][2])
+                    at, ids = at + len(row[-1][2]), ids[len(row[-1][2]):]
+                    if not room:
+                        self._close(row)
+                        row, room = [], self.capacity
+        self.open.clear()
+        self.room.clear()
+        left = self.capacity - room
+        for size in (1 << j for j in range(self.capacity.bit_length() - 2, -1, -1) if left >> j & 1):
+            part, need = [], size
+            while need:
+                doc_id, at, ids, n = row.pop(0)
+                part.append((doc_id, at, ids[:need], n))
+                if len(ids) > need:
+                    row.insert(0, (doc_id, at + need, ids[need:], n))
+                need -= len(part[-1][2])
+            self._close(part)
+
+    def _close(self, pieces: list[tuple]) -> None:
+        docs, starts, lengths, sums, sizes, bins, offsets = self.done
         at = 0
-        for p in pieces:
-            yield (*p, self.next_id, at)
-            at += p[2]
+        for doc_id, start, ids, n in pieces:
+            docs.append(doc_id)
+            starts.append(start)
+            lengths.append(len(ids))
+            sums.append(zlib.crc32(ids.tobytes()))
+            sizes.append(n)
+            bins.append(self.next_id)
+            offsets.append(at)
+            at += len(ids)
         self.next_id += 1
 
+    def take(self) -> list[list]:
+        """The closed bins so far, which are given up."""
+        done, self.done = self.done, [[] for _ in range(7)]
+        return done
+
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -164,21 +200,20 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, bins = ChunkTokenizer.of_worker(tokenizer_path), Bins(capacity, TaskContext.get().partitionId() << 32)
-        frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-        for some, texts in (x for batch in batches for x in slices(batch["doc_id"], batch["text"])):
-            out: list[tuple] = []
-            for doc_id, ids in zip(some, tokens(texts)):
-                ids = np.append(ids.astype("<u4"), np.uint32(end_id)).astype("<u4")
-                at, n = 0, len(ids)
-                for size in cut(n, capacity):
-                    out += bins.add((None if pd.isna(doc_id) else int(doc_id), at, size, zlib.crc32(ids[at:at + size].tobytes()), n))
-                    at += size
-            if out:
-                yield frame(out)
-        if out := list(bins.rest()):
-            yield frame(out)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(work, PIECES)
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, bins = Memo.take("tokens", tokenizer_path, lambda: ChunkTokenizer(tokenizer_path)), Bins(capacity, TaskContext.get().partitionId() << 32)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in bins.take()], names=names)
+        for rows in batches:
+            for some, texts in slices(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
+                for doc_id, ids in zip(some, tokens(texts)):
+                    own = np.empty(len(ids) + 1, dtype="<u4")
+                    own[:-1] = ids
+                    own[-1] = end_id
+                    bins.add(doc_id, own)
+                yield batch()
+        bins.finish()
+        yield batch()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, PIECES)

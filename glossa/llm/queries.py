@@ -41,7 +41,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    return chat.digests(chat.format_conversations(turns.unionByName(extra))).drop("valid")
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +75,12 @@ _CONTROL = r"(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\\)"
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.quality_sql(),
     "op5_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, 'start') AS before, lead(role) OVER w AS after FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, NOT ((role = 'user' AND before IN ('start', 'system', 'assistant')) OR (role = 'system' AND before = 'start') OR (role = 'assistant' AND before = 'user')) AS bad FROM o)
+SELECT conv_id, NOT bool_or(bad) AND bool_or(after IS NULL AND role = 'assistant') AS valid, CAST(min(i) FILTER (WHERE bad) AS BIGINT) AS first_violation, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('[INST]') + length('[/INST]') + length('</s>') + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id""",
+FROM f GROUP BY conv_id""",
 }
