@@ -102,8 +102,33 @@ def test_packing_is_whole_and_full(spark, sf_dir):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer_path()).count() == 0
 
 
-def test_cut():
-    assert [packing.cut(n, 8) for n in (1, 7, 8, 21)] == [[1], [4, 2, 1], [8], [8, 8, 4, 1]]
+def test_classes_of_a_task():
+    rnd = random.Random(5)
+    bins = packing.Bins(64, 7 << 32)
+    sizes = [rnd.choice([1, 2, 3, 5, 9, 17, 22, 33, 40, 64, 65, 150]) for _ in range(500)]
+    for i, n in enumerate(sizes):
+        bins.add(i, np.arange(n, dtype="<u4"))
+    closed = len(bins.done[0])
+    bins.finish()
+    docs, starts, lengths, _, totals, sequences, offsets = bins.done
+    held, inside = collections.defaultdict(list), collections.defaultdict(list)
+    for row in zip(docs, starts, lengths, sequences, offsets, range(len(docs))):
+        held[row[0]].append(row[1:3])
+        inside[row[3]].append(row)
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(held[i]):
+            assert start == at
+            at += length
+        assert at == n
+    for rows in inside.values():
+        used = sum(r[2] for r in rows)
+        assert [r[4] for r in rows] == [sum(x[2] for x in rows[:k]) for k in range(len(rows))]
+        assert used == 64 if rows[0][5] < closed else used & (used - 1) == 0
+        if rows[0][5] < closed and len(rows) > 2:  # k rests of one class, and the head of another
+            k = 64 // rows[0][2]
+            assert all(64 // r[2] == k for r in rows[:k]) and len(rows) in (k, k + 1)
+    assert sum(len(x) > 1 for i, x in held.items() if sizes[i] < 64) < 0.35 * len(sizes)  # most stay whole
 
 
 # URLs
@@ -138,6 +163,32 @@ def test_page_text(spark, sf_dir):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div class="layout-with-sidebar"><p>First paragraph, with a sentence.</p><p>Second one of text, too.</p></div>', "First paragraph, with a sentence. Second one of text, too."),
+    ('<div class="has-sidebar sidebar"><article><p>First paragraph, with a sentence.</p></article><div class=sidebar>See <a href=1>this</a></div></div>', "First paragraph, with a sentence."),
+    ("<article><header><h1>Title</h1><p class=byline>By me, today</p></header><p>Text here and there.</p><section class=comments><p>I like this, really.</p></section></article>", "Title Text here and there."),
+    ("<p>Alone it stands, a sentence.", "Alone it stands, a sentence.")])
+def test_markup_is_weighed(page, want):
+    blocks = html.blocks_of(page)
+    assert " ".join(b.text for b, kept in zip(blocks, html.label(blocks, html._UNTRAINED, html.CutWeights())) if kept) == want
+
+
+def test_the_cut_can_turn_a_marked_block():
+    # A marked block between sentences of its own kind, with weak evidence, goes with its neighbours.
+    blocks = html.blocks_of("<div><p>One sentence of text, here.</p><p class=notice>Another sentence of text, there.</p><p>A third sentence of text, too.</p></div>")
+    weights = html.CutWeights(capacity=1.0)
+    assert html.label(blocks, html._UNTRAINED, weights) == [True, True, True]
+    assert html.label(blocks, html._UNTRAINED, html.CutWeights(neighbour=0, sibling=0)) == [True, False, True]
+
+
+def test_deep_pages_are_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    blocks = html.blocks_of("<div>x" * 40_000 + "</b>" * 1000)
+    assert len(blocks) == 40_000 and time.process_time() - began < 10
+
+
 def test_pages_of_the_tables(spark, sf_dir):
     import html as entities
 
