@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows up to which a small side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: Characters of its strings, arrays and maps, written out, likewise.
+BROADCAST_CHARS = 8_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Steps of a prefix sum that are added up one by one.
 _BLOCK = 64
@@ -37,8 +39,11 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small``, already materialised, with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(small) if small.count() <= rows else small
+    """``small``, already materialised, with a broadcast hint if its counted rows and characters are within bounds."""
+    long_ones = [c for c, kind in small.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
+    chars = F.sum(F.length(F.to_json(F.struct(*long_ones))).cast("long")) if long_ones else F.lit(0)
+    n, width = small.agg(F.count("*"), chars).first()
+    return F.broadcast(small) if n <= rows and (width or 0) <= BROADCAST_CHARS else small
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,8 @@ distinct texts of the whole corpus.  A distributed randomised SVD of them gives
 as long as the passages, are compared with them by cosine in that space; a window whose share in the
 space cannot reach the threshold is passed over, which loses nothing.
 All candidates are then held against the passage by their longest common subsequence of words, and
-paraphrases also by whether the passage's answer, its last sentence, is there.
+paraphrases also by whether the passage's answer, its last sentence, is there.  Items of a few words
+have no direction of their own in such a space; they are searched for as exact runs of words.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, materialise, sized
+from .common import Memo, materialise, sized, text_key
 
 BUCKETS = 1 << 17
 #: Words that enter or leave a window together.
@@ -42,12 +43,16 @@ class Search:
     #: Share of a passage's words in common order: a copy, or a paraphrase if the answer is there too.
     copied: float = 0.8
     paraphrased: float = 0.6
-    #: Passages with fewer words prove nothing and are not searched for.
+    #: Items with fewer words are found where their words stand in a row, unchanged.
     min_words: int = 8
+    #: Items with fewer words are found only in texts that have no other words.
+    lone_words: int = 4
     #: Longer items are cut into passages of about so many words.
     max_words: int = 96
-    #: Passages that are searched for in one reading of the documents, about.
+    #: Passages that share a latent space, about.
     block: int = 128
+    #: Bytes of latent spaces that one reading of the documents searches.
+    reading: int = 64 << 20
 
 
 def normal(token: str) -> str:
@@ -102,7 +107,7 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): the buckets of each document's words as 32-bit integers, so that texts are split once."""
+    """(doc_id, text_key, words): the buckets of each document's words as 32-bit integers, so that texts are split once."""
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket = Memo.take("buckets", BUCKETS, Buckets)
         for b in batches:
@@ -110,8 +115,8 @@ def indexed(docs: DataFrame) -> DataFrame:
             for t in b["text"]:
                 ids = bucket((t or "").split())
                 words.append(ids[ids >= 0].astype("<i4").tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "words": words})
-    return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, words binary")
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "words": words})
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInPandas(index, "doc_id long, text_key string, words binary")
 
 
 def document_frequencies(index: DataFrame) -> np.ndarray:
@@ -127,9 +132,8 @@ def document_frequencies(index: DataFrame) -> np.ndarray:
         hit = np.nonzero(df)[0]
         yield pd.DataFrame({"bucket": hit, "n": df[hit]})
     total = np.zeros(BUCKETS)
-    key = F.xxhash64("words")
-    copies = sized(materialise(index.groupBy(key.alias("text_key")).agg(F.count("*").alias("copies")).where("copies > 1")))
-    parts = index.join(copies, key == F.col("text_key"), "left").select("words", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    copies = sized(materialise(index.groupBy(F.col("text_key").alias("copied")).agg(F.count("*").alias("copies")).where("copies > 1")))
+    parts = index.join(copies, F.col("text_key") == F.col("copied"), "left").select("words", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
     rows = parts.mapInPandas(count, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
     total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return total
@@ -175,7 +179,8 @@ def latent_space(passages: DataFrame, rank: int, idf: np.ndarray, vocabulary: np
                     ids, v = _vector(bucket, list(words), idf_)
                     out[place_[ids]] += np.outer(v, v @ s[place_[ids]])
             hit = np.nonzero(out.any(axis=1))[0]
-            yield pd.DataFrame({"row": hit, "sums": list(out[hit])})
+            if len(hit):
+                yield pd.DataFrame({"row": hit, "sums": list(out[hit])})
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             at, place_of = np.unique(rows["row"].to_numpy(), return_inverse=True)
@@ -183,6 +188,7 @@ def latent_space(passages: DataFrame, rank: int, idf: np.ndarray, vocabulary: np
             np.add.at(out, place_of, np.array(rows["sums"].tolist()))
             return pd.DataFrame({"row": at, "sums": list(out)})
         added = passages.select("words").mapInPandas(multiply, "row long, sums array<double>").groupBy(F.pmod("row", F.lit(64))).applyInPandas(add, "row long, sums array<double>").toPandas()
+        sketch.unpersist()
         total = np.zeros(q.shape)
         if len(added):
             total[added["row"].to_numpy()] = np.array(added["sums"].tolist())
@@ -192,6 +198,7 @@ def latent_space(passages: DataFrame, rank: int, idf: np.ndarray, vocabulary: np
     for _ in range(2):
         q = np.linalg.qr(gram_times(q))[0]
     values, turn = np.linalg.eigh(q.T @ gram_times(q))
+    shared.unpersist()
     order = np.argsort(values)[::-1][:rank]
     return (q @ turn[:, order[values[order] > 1e-9]]).astype(np.float32)
 
@@ -298,9 +305,8 @@ class Finder:
                 yield number, at, int(numbers[j]), float(dots[i, j]), start - int(begins[k]), min(len(own), start - int(begins[k]) + length)
 
 
-def candidates(index: DataFrame, passages: DataFrame, idf: np.ndarray, search: Search) -> DataFrame:
-    """(doc_id, passage, cosines, firsts, lasts): all windows of each document for each passage it may hold."""
-    sc = index.sparkSession.sparkContext
+def block_state(passages: DataFrame, idf: np.ndarray, search: Search) -> tuple:
+    """What a ``Finder`` needs of one block of passages."""
     block = {r["passage"]: r["words"] for r in passages.collect()}  # one block of passages
     bucket = Buckets()
     vocabulary = np.unique(np.concatenate([bucket(w) for w in block.values()]))
@@ -319,20 +325,66 @@ def candidates(index: DataFrame, passages: DataFrame, idf: np.ndarray, search: S
         z = x @ v[place[ids]]
         latent.append(z / max(np.linalg.norm(z), 1e-9))
     weighted = (v * idf[vocabulary][:, None]).astype(np.float32)
-    state = sc.broadcast(((idf ** 2).astype(np.float32), place, weighted, most, {n: (np.array(a), np.array(b, dtype=np.float32)) for n, (a, b) in classes.items()}, known, search.min_cosine, min(search.copied, search.paraphrased)))
+    return place, weighted, most, {n: (np.array(a), np.array(b, dtype=np.float32)) for n, (a, b) in classes.items()}, known, search.min_cosine, min(search.copied, search.paraphrased)
+
+
+def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` buckets."""
+    out = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (ids[j:j + len(out)].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out
+
+
+def exact_state(passages: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of items of a few words: number of words -> hashes, ascending, and passages."""
+    bucket, found = Buckets(), {}
+    for r in passages.collect():  # one block of passages
+        found.setdefault(len(r["words"]), []).append((int(_run_hashes(bucket(r["words"]), len(r["words"]))[0]), r["passage"]))
+    return {n: (np.array([h for h, _ in sorted(rows)], dtype=np.uint64), np.array([p for _, p in sorted(rows)], dtype=np.int64)) for n, rows in found.items()}
+
+
+def exact_runs(state: dict, texts: list[np.ndarray], lone_words: int) -> Iterator[tuple[int, int, list[float], list[int], list[int]]]:
+    """As ``Finder``: all runs of each text that may be one of the items of a few words."""
+    for number, ids in enumerate(texts):
+        for n, (hashes, passages) in state.items():
+            if len(ids) < n or n < lone_words and len(ids) != n:
+                continue
+            own = _run_hashes(ids, n)
+            met: dict[int, list[int]] = {}
+            low, high = np.searchsorted(hashes, own, side="left"), np.searchsorted(hashes, own, side="right")
+            for at in np.nonzero(high > low)[0].tolist():
+                for p in passages[low[at]:high[at]].tolist():
+                    met.setdefault(p, []).append(at)
+            for p, places in met.items():
+                yield number, p, [1.0] * len(places), places, [at + n for at in places]
+
+
+_FOUND = "doc_id long, text_key string, passage long, cosines array<double>, firsts array<long>, lasts array<long>"
+
+
+def candidates(index: DataFrame, blocks: list[tuple], exact: list[dict], idf: np.ndarray, search: Search) -> DataFrame:
+    """(doc_id, text_key, passage, cosines, firsts, lasts): all windows of each document for each passage it may hold."""
+    state = index.sparkSession.sparkContext.broadcast(((idf ** 2).astype(np.float32), blocks, exact))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(state.value)
+        idf2, spaces, runs = state.value
+        finders = [Finder((idf2, *b)) for b in spaces]
         for b in batches:
-            ids = b["doc_id"].tolist()
-            rows = [(ids[number], *found) for number, *found in finder([np.frombuffer(w, dtype="<i4") for w in b["words"]])]
-            yield pd.DataFrame(rows, columns=["doc_id", "passage", "cosines", "firsts", "lasts"]).astype({"doc_id": "int64", "passage": "int64"})
-    return index.mapInPandas(find, "doc_id long, passage long, cosines array<double>, firsts array<long>, lasts array<long>")
+            ids, keys, texts = b["doc_id"].astype("Int64"), b["text_key"].tolist(), [np.frombuffer(w, dtype="<i4") for w in b["words"]]
+            found = [x for finder in finders for x in finder(texts)] + [x for r in runs for x in exact_runs(r, texts, search.lone_words)]
+            if found:
+                at = [number for number, *_ in found]
+                columns = dict(zip(("passage", "cosines", "firsts", "lasts"), map(list, zip(*(rest for _, *rest in found)))))
+                yield pd.DataFrame({"doc_id": ids.iloc[at].array, "text_key": [keys[i] for i in at], **columns})
+    met = materialise(index.mapInPandas(find, _FOUND))
+    state.unpersist()
+    return met
 
 
 def _overlap(search: Search, *columns: str) -> Column:
     """Of a document's text with a passage and its answer: the best of all windows, one that holds the passage first."""
-    @F.pandas_udf("struct<cosine:double,share:double,answered:boolean>")
+    @F.pandas_udf("struct<cosine:double,share:double,answered:boolean,held:boolean>")
     def of(texts: pd.Series, cosines: pd.Series, firsts: pd.Series, lasts: pd.Series, passages: pd.Series, answers: pd.Series) -> pd.DataFrame:
         rows, split, words = [], None, []
         for t, cs, fs, ls, p, a in zip(texts, cosines, firsts, lasts, passages, answers):
@@ -342,50 +394,79 @@ def _overlap(search: Search, *columns: str) -> Column:
             for c, first, last in sorted(zip(cs, fs, ls), reverse=True):
                 there = words[first:last]
                 share, answered = common_subsequence(p, there) / len(p), bool(a) and common_subsequence(a, there) >= 0.9 * len(a)
-                held = share >= search.copied or share >= search.paraphrased and answered
+                if len(p) < search.min_words:
+                    held = there == p
+                else:
+                    held = share >= search.copied or share >= search.paraphrased and answered
                 best = max(best or (False, -1.0, 0.0, False), (held, share, c, answered))
-                if share == 1 and answered:
+                if held and share == 1 and answered:
                     break
-            rows.append((best[2], best[1], best[3]))
-        return pd.DataFrame(rows, columns=["cosine", "share", "answered"])
+            rows.append((best[2], best[1], best[3], best[0]))
+        return pd.DataFrame(rows, columns=["cosine", "share", "answered", "held"])
     return of(*map(F.col, columns))
 
 
+def held_items(docs: DataFrame, benchmark: DataFrame, search: Search) -> DataFrame:
+    """(doc_id, text_key, item_id, cosine, share, answered) for each row of ``docs`` (doc_id long, text) and passage in it."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, w, answer_of(t)) for i, t in zip(b["item_id"], b["text"]) for w in passages_of(t, search.max_words) if w]
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "words", "answer"])
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").mapInPandas(cut, "item_id long, words array<string>, answer array<string>")
+    numbered = items.groupBy("item_id", "words", "answer").agg(F.lit(1)).select("item_id", "words", "answer", F.monotonically_increasing_id().alias("passage"))
+    passages = materialise(numbered.withColumn("long", F.size("words") >= search.min_words))
+    sizes = {r["long"]: r["n"] for r in passages.groupBy("long").agg(F.count("*").alias("n")).collect()}
+    result = docs.sparkSession.createDataFrame([], "doc_id long, text_key string, item_id long, cosine double, share double, answered boolean")
+    if not sizes:
+        return result
+    index = materialise(indexed(docs))
+    idf = weights(document_frequencies(index), index.select("text_key").distinct().count())
+
+    def parts(of_long: bool, size: int) -> Iterator[DataFrame]:
+        n = math.ceil(sizes.get(of_long, 0) / size)
+        mine = passages.where(F.col("long") == of_long)
+        return (mine.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == i) for i in range(n))
+
+    def readings() -> Iterator[tuple[list, list]]:
+        """Spaces and exact items of each reading of the documents, within its bytes."""
+        spaces, used, runs = [], 0, [s for p in parts(False, 50 * search.block) if (s := exact_state(p))]
+        for some in parts(True, search.block):
+            if some.isEmpty():
+                continue
+            space = block_state(some, idf, search)
+            spaces.append(space)
+            used += space[1].nbytes + space[0].nbytes
+            if used >= search.reading:
+                yield spaces, runs
+                spaces, used, runs = [], 0, []
+        if spaces or runs:
+            yield spaces, runs
+    for spaces, runs in readings():
+        met = candidates(index, spaces, runs, idf, search)
+        keys = sized(materialise(met.select(F.col("text_key").alias("met_key")).distinct()))
+        texts = materialise(docs.select(text_key().alias("of_key"), "text").join(keys, F.col("of_key") == F.col("met_key"), "left_semi").dropDuplicates(["of_key"]))
+        # A text is held against a passage once, however many copies there are.
+        pairs = met.dropDuplicates(["text_key", "passage"]).drop("doc_id")
+        held = pairs.join(passages.withColumnRenamed("passage", "held"), F.col("passage") == F.col("held")).join(texts, F.col("text_key") == F.col("of_key"))
+        sure = materialise(held.select("of_key", F.col("passage").alias("of_passage"), "item_id", _overlap(search, "text", "cosines", "firsts", "lasts", "words", "answer").alias("o")).where("o.held")
+                           .select("of_key", "of_passage", "item_id", "o.cosine", "o.share", "o.answered"))
+        result = result.union(met.select("doc_id", "text_key", "passage").join(sized(sure), (F.col("text_key") == F.col("of_key")) & (F.col("passage") == F.col("of_passage"))).select("doc_id", "text_key", "item_id", "cosine", "share", "answered"))
+    return result
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, share, answered), a row for each document and item found in it.
 
     ``share`` is the part of the passage's words that stands in the document in order.  A document
     holds an item if the share is at least ``copied``, or at least ``paraphrased`` with the item's
-    answer there as well.  Items with fewer than ``min_words`` words, null or empty ones are not
-    searched for; null and empty texts hold nothing; equal items are found each; repeated rows give
-    one row; rows with a null id are left out; empty tables give an empty result; further columns
-    are ignored.
+    answer there as well.  An item of fewer than ``min_words`` words must stand there in a row, one
+    of fewer than ``lone_words`` must be the whole text.  Items without words, null ones and those
+    of a null id hold for nothing; null and empty texts hold nothing; equal items are found each;
+    equal rows give one row, different texts of one id are searched each; documents with a null id
+    are one; empty tables give an empty result; further columns are ignored.
     """
-    search = search or Search()
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, w, answer_of(t)) for i, t in zip(b["item_id"], b["text"]) for w in passages_of(t, search.max_words) if len(w) >= search.min_words]
-            yield pd.DataFrame(rows, columns=["item_id", "words", "answer"])
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").mapInPandas(cut, "item_id long, words array<string>, answer array<string>")
-    passages = materialise(items.groupBy("item_id", "words", "answer").agg(F.lit(1)).select("item_id", "words", "answer", F.monotonically_increasing_id().alias("passage")))
-    n = passages.count()
-    result = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, share double, answered boolean")
-    if not n:
-        return result
-    blocks = max(1, math.ceil(n / search.block))
-    index = materialise(indexed(docs))
-    idf = weights(document_frequencies(index), index.select(F.xxhash64("words")).distinct().count())
-    for i in range(blocks):
-        some = passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i)
-        if some.isEmpty():
-            continue
-        met = materialise(candidates(index, some, idf, search))
-        ids = sized(materialise(met.select(F.col("doc_id").alias("met_id")).distinct()))
-        texts = materialise(docs.join(ids, F.col("doc_id") == F.col("met_id"), "left_semi").select(F.col("doc_id").alias("text_id"), "text").distinct())
-        held = met.join(some.withColumnRenamed("passage", "held"), F.col("passage") == F.col("held")).join(texts, F.col("doc_id") == F.col("text_id"))
-        sure = held.select("doc_id", "item_id", _overlap(search, "text", "cosines", "firsts", "lasts", "words", "answer").alias("o")).select("doc_id", "item_id", "o.*")
-        result = result.union(sure.where((F.col("share") >= search.copied) | ((F.col("share") >= search.paraphrased) & F.col("answered"))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    result = held_items(rows, benchmark, search or Search())
     best = F.max(F.struct("share", "cosine", "answered")).alias("b")
     return result.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.share", "b.answered")

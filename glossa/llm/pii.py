@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, find_spans, joined, let, materialise, sized, text_or_empty
+from .common import find_spans, joined, let, materialise, sized, text_key, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -75,9 +75,9 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, limits: Disclosure) -> D
     n_docs = docs.count()
     held = materialise(held.join(sized(entities.select("entity")), "entity", "left_semi"))
     of_texts = sized(materialise(held.select(F.col("h").alias("text_h")).distinct()))
-    texts = materialise(docs.select(F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text")).join(of_texts, F.col("h") == F.col("text_h"), "left_semi")
+    texts = materialise(docs.select(text_key().alias("h"), text_or_empty().alias("text")).join(of_texts, F.col("h") == F.col("text_h"), "left_semi")
                         .select("h", _beside(F.col("text")).alias("terms")).dropDuplicates(["h"]))
-    around = held.join(texts, "h").groupBy("entity", F.xxhash64("terms").alias("around")).agg(F.sum("copies").alias("copies"), F.first("terms").alias("terms"))
+    around = held.join(texts, "h").groupBy("entity", F.sha2(F.array_join("terms", " "), 256).alias("around")).agg(F.sum("copies").alias("copies"), F.first("terms").alias("terms"))
     pairs = (around.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("with_both"), F.count("*").alias("support"))
              .where(F.col("support") >= limits.support))
     # A term is in at least as many documents as it has with entities, so common words fall out before the corpus is counted.
@@ -102,22 +102,21 @@ def scan(docs: DataFrame, limits: Disclosure | None = None, id_col: str = "doc_i
     limits = limits or Disclosure()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     text = text_or_empty()
-    base = materialise(docs.select("doc_id", F.xxhash64(text).alias("h"), *(F.coalesce(base_spans(text, k), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")).alias(k) for k in KINDS)))
+    base = materialise(docs.select("doc_id", text_key().alias("h"), *(F.coalesce(base_spans(text, k), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")).alias(k) for k in KINDS)))
     listed = (base.select("h", F.explode(F.concat(*KINDS)).alias("s")).groupBy("h", F.concat_ws(" ", "s.kind", "s.value").alias("entity"), F.col("s.start").alias("start"))
               .agg(F.count("*").alias("copies")).drop("start"))
     spans = materialise(listed)
     told = materialise(disclosing_terms(spans, docs, limits))
     bare = base.select("doc_id", "h", *(F.transform(k, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,share:double>>")
-    n_told = told.count()
-    if not n_told:
+    if told.isEmpty():
         return bare.select("doc_id", *KINDS, none.alias("term"))
-    hold = spans.select("entity", "h").distinct().join(F.broadcast(told) if n_told <= BROADCAST_ROWS else told, "entity")
+    hold = spans.select("entity", "h").distinct().join(sized(told), "entity")
     texts = materialise(hold.groupBy("h", "term").agg(F.max("share").alias("share")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
                         .select(F.col("h").alias("told_h"), "shares"))
     few = sized(texts)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("shares"), "|"), F.lit(r")(?!\p{L})"))
-    met = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(few, F.col("h") == F.col("told_h")).dropDuplicates(["h"])
+    met = docs.select(text_key().alias("h"), text.alias("text")).join(few, F.col("h") == F.col("told_h")).dropDuplicates(["h"])
     extra = met.select(F.col("h").alias("extra_h"), F.transform(find_spans(F.col("text"), pattern), lambda s: F.struct(
         F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.element_at("shares", F.lower(s["value"])), F.lit(limits.generalise)).alias("share"))).alias("found"))
     extra = sized(materialise(extra))
@@ -141,14 +140,15 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, limits: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with base spans generalised to their kind, terms to ``<TERM>`` or removed.
+    """(doc_id, text), a row for each row of ``docs``: base spans generalised to their kind, terms to ``<TERM>`` or removed.
 
-    Ids are taken to be unique; rows with a null id are left out.
+    A null text comes back as an empty one; null and repeated ids stay.
     """
     limits = limits or Disclosure()
-    spans = scan(docs, limits, id_col, text_col).withColumnRenamed("doc_id", "span_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     label = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("label"))
     terms = F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= limits.remove, F.lit("")).otherwise(F.lit("<TERM>")).alias("label")))
-    marked = F.array_sort(F.concat(*(F.transform(k, label) for k in KINDS), terms))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(spans, F.col("doc_id") == F.col("span_id"))
-    return rows.select("doc_id", let(marked, lambda m: redact(F.col("text"), m)).alias("text"))
+    marks = F.array_sort(F.concat(*(F.transform(k, label) for k in KINDS), terms)).alias("marks")
+    spans = scan(rows.select(text_key().alias("doc_id"), "text"), limits).select(F.col("doc_id").alias("of_text"), marks).where(F.size("marks") > 0).dropDuplicates(["of_text"])
+    marked = rows.join(sized(materialise(spans)), text_key() == F.col("of_text"), "left")
+    return marked.select("doc_id", F.when(F.col("marks").isNull(), F.col("text")).otherwise(let(F.col("marks"), lambda m: redact(F.col("text"), m))).alias("text"))

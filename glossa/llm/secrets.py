@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans, joined, let, materialise, sized, text_or_empty
+from .common import find_spans, joined, materialise, sized, text_key, text_or_empty
 
 BASE = ("assign", "access", "hex")
 WEAK = ("account", "mixed", "endpoint")
@@ -24,7 +24,7 @@ PATTERNS = {
     "hex": "(?<![0-9a-f])[0-9a-f]{24,}+",
     "account": rf"(?i)(?<![a-z0-9])(?:user|username|user_id|login|account|client_id|access_key_id){_SAID}[a-z0-9_.@+-]{{3,}}+",
     "mixed": rf"(?<!{_TOKEN}){_TOKEN}{{20,}}+",
-    "endpoint": r"(?i)(?<![a-z0-9])(?:https?|ftp|jdbc:[a-z]{1,16}|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]++",
+    "endpoint": r"(?i)(?<![a-z0-9])(?:https?|ftp|jdbc:[a-z]++|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]++",
 }
 #: Which part of a credential a kind is.
 ROLE = {"assign": "secret", "hex": "secret", "mixed": "secret", "access": "name", "account": "name", "endpoint": "name"}
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
         return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))),
                            lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), by_start(F.concat(*(kind_spans(text, k) for k in BASE))).alias("base"), F.concat(*(kind_spans(text, k) for k in WEAK)).alias("maybe"))
+    found = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("h"), by_start(F.concat(*(kind_spans(text, k) for k in BASE))).alias("base"), F.concat(*(kind_spans(text, k) for k in WEAK)).alias("maybe"))
     clear = F.filter("maybe", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     found = materialise(found.select("doc_id", "h", "base", clear.alias("maybe")))
     texts = found.where(F.size("maybe") > 0).select(F.col("h").alias("text_key"), F.concat("base", "maybe").alias("parts")).dropDuplicates(["text_key"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise, sized, text_or_empty
+from .common import LOWER, UPPER, materialise, sized, text_key, text_or_empty
 from .components import connected_components
 
 BITS = 64
@@ -29,6 +29,10 @@ _BATCH = 1 << 14
 _SEED = 42
 #: Rows of a table of one long that are broadcast at most.
 _IDS = 500_000
+#: Fingerprints from which keys take in more bits.
+_MANY = 1 << 23
+#: A fingerprint is hot if it has more than this part of all rows.
+_HOT = 10_000
 #: Texts, about, whose shingles tell which are frequent, and such shingles at most.
 _SAMPLE, _FREQUENT = 10_000, 100_000
 
@@ -69,11 +73,32 @@ def _mask(first: int, width: int) -> int:
     return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
 
 
-def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """All pairs (a < b) of the distinct longs in column ``fp`` that differ in at most ``max_bits`` bits."""
-    parts = segments(max_bits)
-    keys = [F.struct(F.lit(s * 100 + j).alias("wiped"), F.col("fp").bitwiseAND(F.lit(_mask(*parts[s]) & ~_mask(parts[s][0] + j, 1))).alias("rest"))
+def _wiped(a: Column, parts: list[tuple[int, int]], tag: int, also: Column, extra: Column) -> list[Column]:
+    """Keys of one long: for each segment and each of its bits the segment without that bit, beside ``also``."""
+    return [F.struct(F.lit(tag + s * 100 + j).cast("long").alias("wiped"), a.bitwiseAND(F.lit(_mask(*parts[s]) & ~_mask(parts[s][0] + j, 1))).bitwiseOR(also).alias("rest"), extra.alias("part"))
             for s in range(len(parts)) for j in range(parts[s][1])]
+
+
+def links(fps: DataFrame, max_bits: int = 4, inner: bool = False) -> DataFrame:
+    """All pairs (a < b) of the distinct longs in column ``fp`` that differ in at most ``max_bits`` bits.
+
+    With ``inner`` every key also holds one of ``max_bits + 1`` equal parts of the other bits, of
+    which one must be the same in both: as many more keys, but far fewer meet by chance.  It pays
+    for tables so large that a key of one segment is shared by many.
+    """
+    parts = segments(max_bits)
+    zero = F.lit(0).cast("long")
+    if inner:
+        keys = []
+        for s, (low, width) in enumerate(parts):
+            others = [b for b in range(BITS) if not low <= b < low + width]
+            for p in range(max_bits + 1):
+                here = others[len(others) * p // (max_bits + 1):len(others) * (p + 1) // (max_bits + 1)]
+                bits = sum(1 << b for b in here)
+                also = F.col("fp").bitwiseAND(F.lit(bits - (1 << BITS) if bits >> (BITS - 1) else bits))
+                keys += _wiped(F.col("fp"), [parts[s]], 1000 * p + 100 * s, also, F.lit(p))
+    else:
+        keys = _wiped(F.col("fp"), parts, 0, zero, F.lit(0))
     index = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.wiped", "k.rest")
     a, b = index.select(F.col("fp").alias("a"), "wiped", "rest"), index.select(F.col("fp").alias("b"), "wiped", "rest")
     differing = F.col("a").bitwiseXOR(F.col("b"))
@@ -85,8 +110,9 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         for j in range(1, width):
             bit = F.when(here == F.lit(_mask(low + j, 1)), j).otherwise(bit)
         first = F.when(F.bit_count(here) <= 1, F.lit(s * 100) + bit).otherwise(first)
-    close = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= max_bits) & (a["wiped"] == first)
-    return a.join(b, (a["wiped"] == b["wiped"]) & (a["rest"] == b["rest"]) & close).select("a", "b")
+    close = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= max_bits) & (F.pmod(a["wiped"], F.lit(1000)) == first)
+    met = a.join(b, (a["wiped"] == b["wiped"]) & (a["rest"] == b["rest"]) & close).select("a", "b")
+    return met.distinct() if inner else met
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, distinct: bool = False) -> DataFrame:
@@ -99,13 +125,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.  Further columns of ``docs`` are ignored.
     """
     marked = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle_words, distinct).alias("fp")))
-    least = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(least.select("fp"), max_bits))
+    least = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    n_fps, n_rows = least.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    roots = connected_components(links(least.select("fp"), max_bits, n_fps > _MANY))
     linked = least.join(roots, least["fp"] == roots["node"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     inner = linked.join(smallest, "root").select(F.col("fp").alias("linked_fp"), "component_id")
-    by_fp = least.join(inner, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = materialise(least.join(inner, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component_id", "least").alias("component_id"), "copies"))
+    # Fingerprints with many copies are looked up where the rows are: there are at most _HOT of them.
+    hot = F.col("copies") > n_rows // _HOT
+    often = F.broadcast(by_fp.where(hot).select(F.col("of_fp").alias("hot_fp"), F.col("component_id").alias("hot_component")))
+    split = marked.join(often, F.col("fp") == F.col("hot_fp"), "left")
+    seldom = split.where(F.col("hot_fp").isNull()).join(by_fp.where(~hot), F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    whole = seldom.unionByName(split.where(F.col("hot_fp").isNotNull()).select("doc_id", "fp", F.col("hot_component").alias("component_id")))
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingles_of(text: str | None, shingle_words: int) -> np.ndarray:
@@ -148,7 +181,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known, counts = frequent_shingles(texts, shingle_words)
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
 
-    @F.pandas_udf("struct<node: long, size: long, keys: array<long>>")
+    @F.pandas_udf("struct<node: string, size: long, keys: array<long>>")
     def mark(batch: pd.Series) -> pd.DataFrame:
         (seen, often), rows = shared.value, []
         for t in batch:
@@ -159,10 +192,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 order = np.lexsort((own, np.where(seen[at] == own, often[at], 0)))
             else:
                 order = np.arange(len(own))
-            rows.append((xxhash.xxh64_intdigest(own.tobytes(), _SEED) - (1 << 63), len(own), own[order[:keep]]))
+            rows.append((xxhash.xxh3_128_hexdigest(own.tobytes(), _SEED), len(own), own[order[:keep]]))
         return pd.DataFrame(rows, columns=["node", "size", "keys"])
 
-    marked = materialise(texts.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), mark(F.col("text")).alias("m")).select("doc_id", "text_key", "m.*"))
+    marked = materialise(texts.select("doc_id", text_key().alias("text_key"), mark(F.col("text")).alias("m")).select("doc_id", "text_key", "m.*"))
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")))
     keys = marked.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
@@ -172,7 +205,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     @F.pandas_udf("array<long>")
     def whole(batch: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(t, shingle_words) for t in batch])
-    held = texts.join(wanted, F.xxhash64(text_or_empty()) == F.col("wanted_key")).select("wanted", "text").dropDuplicates(["wanted"])
+    held = texts.join(wanted, text_key() == F.col("wanted_key")).select("wanted", "text").dropDuplicates(["wanted"])
     sets = materialise(held.select(F.col("wanted").alias("node"), whole("text").alias("shingles")))
 
     def may(a: str, b: str) -> Column:
