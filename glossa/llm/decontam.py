@@ -214,10 +214,25 @@ class Finder:
     def __init__(self, state: tuple) -> None:
         idf2, place, weighted, most, self.classes, self.words, self.min_cosine, self.min_share = state
         # The last bucket stands for the blank space between documents.
-        self.idf2, self.place, self.weighted = np.append(idf2, np.float32(0)), np.append(place, np.int32(-1)), weighted
+        self.idf2, self.place = np.append(idf2, np.float32(0)), np.append(place, np.int32(-1))
+        # The last row, which is blank, is that of words outside the vocabulary.
+        self.weighted = np.vstack([weighted, np.zeros((1, weighted.shape[1]), dtype=np.float32)])
         # No passage gains more by a word than this.
         self.gain = np.append(most, np.float32(0))[self.place] * np.sqrt(self.idf2)
         self.longest = max(self.classes, default=0)
+        # For each word and passage the places that the word has in the passage, as bits; a column for
+        # each passage in the order of the classes, a lane for each 64 words of the longest.
+        numbers = [p for own, _ in self.classes.values() for p in own.tolist()]
+        sizes = [int(self.words[p][1].sum()) for p in numbers]
+        lanes = -(-max(sizes, default=0) // 64)
+        self.bits = np.zeros((lanes, len(weighted) + 1, len(numbers)), dtype=np.uint64)
+        for column, p in enumerate(numbers):
+            at = 0
+            for row, n in zip(place[self.words[p][0]].tolist(), self.words[p][1].tolist()):
+                for bit in range(at, at + n):
+                    self.bits[bit // 64, row, column] |= np.uint64(1 << bit % 64)
+                at += n
+        self.needed = self.min_share * np.array(sizes)
 
     def __call__(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, list[float], list[int], list[int]]]:
         """(number of the text, passage, cosines, first words, last words) with every window of a text and passage.
@@ -226,7 +241,8 @@ class Finder:
         """
         met: dict[tuple[int, int], dict[tuple[int, int], float]] = {}
         for pieces in self._pieces(texts):
-            for number, at, p, dot, a, b in self._windows(pieces):
+            whole = np.array([at + len(own) == len(texts[number]) for number, at, own in pieces])
+            for number, at, p, dot, a, b in self._windows(pieces, ~whole):
                 a, b = at + a, at + b
                 half = (b - a) // 2
                 first, last = max(0, a - half), b + half
@@ -244,7 +260,7 @@ class Finder:
         return np.where(own[at] == ids, np.minimum(n[at], counts), 0).sum() / counts.sum()
 
     def _pieces(self, texts: list[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-        """Runs of (number, first word, buckets) of about _CHUNK words; long texts are cut with an overlap."""
+        """Runs of (number of the text, first word, buckets) of about _CHUNK words; long texts are cut with an overlap."""
         run, size = [], 0
         for number, ids in enumerate(texts):
             for at in range(0, len(ids), _CHUNK):
@@ -256,8 +272,8 @@ class Finder:
         if run:
             yield run
 
-    def _windows(self, pieces: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, float, int, int]]:
-        sizes = np.array([len(ids) for *_, ids in pieces])
+    def _windows(self, pieces: list[tuple[int, int, np.ndarray]], unfinished: np.ndarray) -> Iterator[tuple[int, int, int, float, int, int]]:
+        sizes, offsets = np.array([len(ids) for *_, ids in pieces]), np.array([at for _, at, _ in pieces])
         begins = np.concatenate([[0], np.cumsum(-(-sizes // STEP) * STEP + self.longest)])
         ids = np.full(begins[-1], BUCKETS, dtype=np.int64)
         for (*_, own), at in zip(pieces, begins):
@@ -269,40 +285,58 @@ class Finder:
         np.cumsum(self.gain[ids].reshape(steps, STEP).sum(axis=1), out=gain[1:])
         # The energy counts a recurring word once for each time, which is at most the square of the
         # window's norm: no window above the threshold is lost.
-        hopeful, wanted = {}, np.zeros(steps + 1, dtype=np.int32)
+        hopeful = {}
         for length in self.classes:
             n = length // STEP
             norm2 = energy[n:] - energy[:-n]
             most = gain[n:] - gain[:-n]
-            hopeful[length] = maybe = np.nonzero((most >= 0.99 * self.min_cosine * np.sqrt(np.maximum(norm2, 0))) & (norm2 > 1e-3))[0]
-            np.add.at(wanted, maybe, 1)
-            np.add.at(wanted, maybe + n, -1)
-        mine = np.nonzero((rows >= 0) & np.repeat(np.cumsum(wanted)[:-1] > 0, STEP))[0]
-        if not len(mine):
+            hopeful[length] = (most >= 0.99 * self.min_cosine * np.sqrt(np.maximum(norm2, 0))) & (norm2 > 1e-3)
+        if not any(x.any() for x in hopeful.values()):
             return
-        # Latent sums of each step in such windows, then of everything before it.
-        step = mine // STEP
-        first = np.nonzero(np.diff(step, prepend=-1))[0]
+        # Latent sums of everything before each step.
         latent = np.zeros((steps + 1, self.weighted.shape[1]), dtype=np.float32)
-        latent[step[first] + 1] = np.add.reduceat(self.weighted[rows[mine]], first, axis=0)
+        for word in range(STEP):
+            latent[1:] += self.weighted[rows[word::STEP]]
         np.cumsum(latent, axis=0, out=latent)
+        present, column = None, 0
         for length, (numbers, passages) in self.classes.items():
             n, maybe = length // STEP, hopeful[length]
-            norm2 = energy[maybe + n] - energy[maybe]
+            mine_too = slice(column, column + len(numbers))
+            column += len(numbers)
+            norm2 = energy[n:] - energy[:-n]
             # No cosine exceeds the part of the window that lies in the latent space.
-            inside = latent[maybe + n] - latent[maybe]
-            near = np.einsum("ij,ij->i", inside, inside) >= self.min_cosine ** 2 * norm2
-            if not near.any():
+            inside = latent[n:] - latent[:-n]
+            near = np.nonzero(maybe & (np.einsum("ij,ij->i", inside, inside) >= self.min_cosine ** 2 * norm2))[0]
+            if not len(near):
                 continue
-            inside, norm, near = inside[near], np.sqrt(norm2[near]), maybe[near]
+            inside, norm = inside[near], np.sqrt(norm2[near])
             dots = inside @ passages.T
-            for i, j in zip(*np.nonzero(dots >= self.min_cosine * norm[:, None])):
-                start = int(near[i]) * STEP
-                k = int(np.searchsorted(begins, start, side="right")) - 1
-                number, at, own = pieces[k]
-                if start - begins[k] >= len(own):  # begins in the blank space
-                    continue
-                yield number, at, int(numbers[j]), float(dots[i, j]), start - int(begins[k]), min(len(own), start - int(begins[k]) + length)
+            i, j = np.nonzero(dots >= self.min_cosine * norm[:, None])
+            if not len(i):
+                continue
+            if present is None:
+                present = self._present(rows, steps)
+            # If too much of the passage is nowhere around the window, it cannot hold it.
+            # Where a long text was cut, what lies beyond is not seen, so nothing is left out.
+            start = near[i] * STEP
+            k = np.searchsorted(begins, start, side="right") - 1
+            low, high = near[i] - (n + 1) // 2, near[i] + n + (n + 1) // 2
+            cut = ((low * STEP < begins[k]) & (offsets[k] > 0)) | ((high * STEP > begins[k] + sizes[k]) & unfinished[k])
+            around = np.clip(low[:, None] + np.arange(n + 2 * ((n + 1) // 2)), 0, steps - 1)
+            there = sum(np.bitwise_count(np.bitwise_or.reduce(lane[around, (mine_too.start + j)[:, None]], axis=1)).astype(np.int64) for lane in present)
+            ok = (start - begins[k] < sizes[k]) & (cut | (there >= self.needed[mine_too][j]))  # not in the blank space
+            for x in np.nonzero(ok)[0].tolist():
+                number, at, own = pieces[k[x]]
+                first = int(start[x] - begins[k[x]])
+                yield number, at, int(numbers[j[x]]), float(dots[i[x], j[x]]), first, min(len(own), first + length)
+
+    def _present(self, rows: np.ndarray, steps: int) -> np.ndarray:
+        """By lane, step and passage, the places of the passage whose words stand in the step."""
+        out = np.zeros((len(self.bits), steps, self.bits.shape[2]), dtype=np.uint64)
+        for lane, bits in zip(out, self.bits):
+            for word in range(STEP):
+                lane |= bits[rows[word::STEP]]
+        return out
 
 
 def block_state(passages: DataFrame, idf: np.ndarray, search: Search) -> tuple:

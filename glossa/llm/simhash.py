@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise, sized, text_key, text_or_empty
+from .common import LOWER, UPPER, discard, materialise, sized, text_key, text_or_empty
 from .components import connected_components
 
 BITS = 64
@@ -168,20 +168,27 @@ def frequent_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray,
     return rows["shingle"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
 
 
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles are similar, by the smallest id.
 
     Sets of shingles with a Jaccard similarity of at least ``similarity`` are linked, all of them: of
     each set the rarest shingles, as many as it may lack in a similar one and one more, are its keys,
-    and similar sets share a key.  Pairs are verified by their whole sets.  Within a key texts are
-    first held against one of them; what that leaves in different groups meets pair by pair.  Nulls,
-    empty texts, repeated rows and empty tables are treated as in ``near_duplicates``.
+    and similar sets share a key.  A pair is looked at only if what follows the key in both sets is
+    enough, which holds for the first key that a similar pair shares.  Pairs are verified by their
+    whole texts: each text against the one it shares most keys with, then against the least of each
+    key, and what that leaves in different groups pair by pair.  Nulls, empty texts, repeated rows
+    and empty tables are treated as in ``near_duplicates``.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known, counts = frequent_shingles(texts, shingle_words)
-    shared = docs.sparkSession.sparkContext.broadcast((known, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle_words))
 
-    @F.pandas_udf("struct<node: string, size: long, keys: array<long>>")
+    @F.pandas_udf("struct<digest: string, size: int, keys: array<long>>")
     def mark(batch: pd.Series) -> pd.DataFrame:
         (seen, often), rows = shared.value, []
         for t in batch:
@@ -193,52 +200,67 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             else:
                 order = np.arange(len(own))
             rows.append((xxhash.xxh3_128_hexdigest(own.tobytes(), _SEED), len(own), own[order[:keep]]))
-        return pd.DataFrame(rows, columns=["node", "size", "keys"])
+        return pd.DataFrame(rows, columns=["digest", "size", "keys"])
 
     marked = materialise(texts.select("doc_id", text_key().alias("text_key"), mark(F.col("text")).alias("m")).select("doc_id", "text_key", "m.*"))
-    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")))
-    keys = marked.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    members = materialise(keys.withColumn("n", F.count("*").over(by_key)).withColumn("hub", F.min(F.struct("node", "size")).over(by_key)).where("n > 1").drop("n"))
-    wanted = sized(materialise(members.select(F.col("node").alias("wanted")).distinct().join(nodes, F.col("wanted") == nodes["node"]).select("wanted", F.col("text_key").alias("wanted_key"))), _IDS)
-
-    @F.pandas_udf("array<long>")
-    def whole(batch: pd.Series) -> pd.Series:
-        return pd.Series([shingles_of(t, shingle_words) for t in batch])
-    held = texts.join(wanted, text_key() == F.col("wanted_key")).select("wanted", "text").dropDuplicates(["wanted"])
-    sets = materialise(held.select(F.col("wanted").alias("node"), whole("text").alias("shingles")))
-
-    def may(a: str, b: str) -> Column:
-        return F.least(a, b) >= least_common(F.greatest(a, b), similarity)
+    # Equal sets are one node; its number is short, and stable because it is written down.
+    sets = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "text_key", "size", "keys"))
+    rows = materialise(marked.select("doc_id", "digest"))
+    discard(marked)
+    shared.unpersist()
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
+    packed = F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")
+    hubs = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by(packed, "node").alias("packed")).where("n > 1")
+                       .select(F.col("key").alias("hub_key"), "hub", F.shiftright("packed", 32).cast("int").alias("hub_size"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hub_at")))
+    members = materialise(keyed.join(hubs, F.col("key") == F.col("hub_key")).drop("hub_key"))
+
+    def may(a: str, a_at: str, b: str, b_at: str) -> Column:
+        """Whether two sets may be similar by their sizes and what follows a key in both."""
+        both = (F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-6
+        return (F.least(a, b) >= least_common(F.greatest(a, b), similarity)) & (F.least(F.col(a) - F.col(a_at), F.col(b) - F.col(b_at)) >= both)
+
+    @F.pandas_udf("boolean")
+    def alike_texts(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, held, of_held = [], None, None
+        for x, y in zip(a, b):
+            if y != held or of_held is None:
+                held, of_held = y, shingles_of(y, shingle_words)
+            out.append(similarity_of(shingles_of(x, shingle_words), of_held) >= similarity - 1e-9)
+        return pd.Series(out, dtype="bool")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of nodes that are similar."""
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        both = F.size("a_set") + F.size("b_set")
-        return materialise(pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), both.alias("both"))
-                           .where(F.col("common") >= (F.col("both") - F.col("common")) * similarity - 1e-9).select("a", "b"))
-
-    def grouped(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(node, root) of linked nodes, and the members of keys that more than one group shares."""
-        roots = materialise(connected_components(found))
-        rooted = members.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        ends = F.min("root").over(by_key) != F.max("root").over(by_key)
-        return roots, materialise(rooted.withColumn("open", ends).where("open").drop("open"))
-
-    found = alike(members.where((F.col("node") != F.col("hub.node")) & may("size", "hub.size")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-    roots, open_ = grouped(found)
-    # Another one of each key, a different one for every key, before all pairs.
-    chance = F.struct(F.xxhash64("node", "key").alias("chance"), "node", "size", "root")
-    drawn = open_.withColumn("hub", F.min(chance).over(by_key)).where((F.col("root") != F.col("hub.root")) & may("size", "hub.size"))
-    found = found.union(alike(drawn.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))))
-    roots, open_ = grouped(found)
+        """Those of the pairs of nodes (a, b) that are similar."""
+        pairs = materialise(pairs.distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+        keys = sized(materialise(wanted.join(nodes, F.col("wanted") == F.col("node")).select("node", F.col("text_key").alias("wanted_key"))), _IDS)
+        held = materialise(texts.join(keys, text_key() == F.col("wanted_key")).select("node", "text").dropDuplicates(["node"]))
+        side = lambda x: held.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
+        found = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(alike_texts("a_text", "b_text")).select("a", "b"))
+        discard(held, pairs)
+        return found
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """The members of keys that more than one group of linked nodes shares, with their group."""
+        roots = connected_components(found).withColumnRenamed("node", "linked")
+        rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "size", "at", "hub", "hub_size", "hub_at", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy(F.col("key").alias("open_key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("open_key")
+        return materialise(rooted.join(several, F.col("key") == F.col("open_key"), "left_semi"))
+
+    to_hub = members.where((F.col("node") != F.col("hub")) & may("size", "at", "hub_size", "hub_at"))
+    best = to_hub.groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", "n").alias("hub"))
+    found = alike(best.select(F.col("hub").alias("b"), F.col("node").alias("a")))
+    open_ = still_open(found)
+    roots_of = open_.select(F.col("node").alias("hub_node"), F.col("root").alias("hub_root")).distinct()
+    apart = open_.join(roots_of, F.col("hub") == F.col("hub_node")).where((F.col("root") != F.col("hub_root")) & may("size", "at", "hub_size", "hub_at"))
+    found = found.union(alike(apart.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    open_ = still_open(found)
     groups = open_.select("key", "root").distinct()
     crossed = groups.select("key", F.col("root").alias("a_root")).join(groups.select("key", F.col("root").alias("b_root")), "key").where("a_root < b_root")
-    side = lambda x: open_.select("key", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("size").alias(f"{x}_size"))
-    rest = crossed.join(side("a"), ["key", "a_root"]).join(side("b"), ["key", "b_root"]).where(may("a_size", "b_size")).select("a", "b")
+    side = lambda x: open_.select("key", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"))
+    rest = crossed.join(side("a"), ["key", "a_root"]).join(side("b"), ["key", "b_root"]).where(may("a_size", "a_at", "b_size", "b_at")).select("a", "b")
     roots = connected_components(found.union(alike(rest)))
-    linked = nodes.select("node", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    linked = nodes.select("node", "digest", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = linked.join(by_root, "root").select(F.col("node").alias("of_node"), "component_id")
-    return marked.select("doc_id", "node").join(by_node, F.col("node") == F.col("of_node")).select("doc_id", "component_id")
+    by_digest = linked.join(by_root, "root").select(F.col("digest").alias("of_digest"), "component_id")
+    return rows.join(by_digest, F.col("digest") == F.col("of_digest")).select("doc_id", "component_id")
