@@ -21,7 +21,7 @@ START, END = "\x02", "\x03"
 ORDER = 5
 DISCOUNT = 0.75
 #: Words whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def grams(word: str) -> list[tuple[str, str]]:

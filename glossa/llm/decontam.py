@@ -29,7 +29,7 @@ BUCKETS = 1 << 17
 #: Words that enter or leave a window together.
 STEP = 8
 #: Words whose buckets a worker remembers.
-_REMEMBERED = 500_000
+_REMEMBERED = 300_000
 #: Words of a document that are looked at together.
 _CHUNK = 1 << 14
 
@@ -61,19 +61,17 @@ def normal(token: str) -> str:
     return word if word.isalnum() else re.sub(r"^[\W_]+|[\W_]+$", "", word)
 
 
-class Buckets:
+class Buckets(dict):
     """Tokens to hashed buckets, remembered; -1 for tokens without a letter or digit."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, token: str) -> int:
+        if len(self) > _REMEMBERED:
+            self.clear()
+        self[token] = found = zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS if (w := normal(token)) else -1
+        return found
 
     def __call__(self, tokens: Collection[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS if (w := normal(t)) else -1
-        return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -125,10 +123,13 @@ def document_frequencies(index: DataFrame) -> np.ndarray:
     Each of n copies counts as the nth part of a text, so only the hashes of texts are grouped.
     """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(BUCKETS)
+        df, last = np.zeros(BUCKETS), np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
             for words, part in zip(b["words"], b["part"]):
-                df[np.unique(np.frombuffer(words, dtype="<i4"))] += part
+                ids = np.frombuffer(words, dtype="<i4")
+                at = np.arange(len(ids))
+                last[ids] = at
+                df[ids[last[ids] == at]] += part  # each word where it stands last
         hit = np.nonzero(df)[0]
         yield pd.DataFrame({"bucket": hit, "n": df[hit]})
     total = np.zeros(BUCKETS)
@@ -212,13 +213,11 @@ class Finder:
     """Candidate windows of documents for a block of passages."""
 
     def __init__(self, state: tuple) -> None:
-        idf2, place, weighted, most, self.classes, self.words, self.min_cosine, self.min_share = state
+        idf2, place, weighted, self.classes, self.words, self.min_cosine, self.min_share = state
         # The last bucket stands for the blank space between documents.
         self.idf2, self.place = np.append(idf2, np.float32(0)), np.append(place, np.int32(-1))
         # The last row, which is blank, is that of words outside the vocabulary.
         self.weighted = np.vstack([weighted, np.zeros((1, weighted.shape[1]), dtype=np.float32)])
-        # No passage gains more by a word than this.
-        self.gain = np.append(most, np.float32(0))[self.place] * np.sqrt(self.idf2)
         self.longest = max(self.classes, default=0)
         # For each word and passage the places that the word has in the passage, as bits; a column for
         # each passage in the order of the classes, a lane for each 64 words of the longest.
@@ -280,55 +279,72 @@ class Finder:
             ids[at:at + len(own)] = own
         steps = len(ids) // STEP
         rows = self.place[ids]
-        energy, gain = np.zeros(steps + 1), np.zeros(steps + 1)
-        np.cumsum(self.idf2[ids].reshape(steps, STEP).sum(axis=1), out=energy[1:])
-        np.cumsum(self.gain[ids].reshape(steps, STEP).sum(axis=1), out=gain[1:])
+        present = self._present(rows, steps)
+        live = self._live(present, steps, begins[:-1] // STEP, (begins[:-1] + sizes) // STEP, offsets > 0, unfinished)
+        if not live.any():
+            return
         # The energy counts a recurring word once for each time, which is at most the square of the
         # window's norm: no window above the threshold is lost.
-        hopeful = {}
-        for length in self.classes:
-            n = length // STEP
-            norm2 = energy[n:] - energy[:-n]
-            most = gain[n:] - gain[:-n]
-            hopeful[length] = (most >= 0.99 * self.min_cosine * np.sqrt(np.maximum(norm2, 0))) & (norm2 > 1e-3)
-        if not any(x.any() for x in hopeful.values()):
-            return
-        # Latent sums of everything before each step.
-        latent = np.zeros((steps + 1, self.weighted.shape[1]), dtype=np.float32)
-        for word in range(STEP):
-            latent[1:] += self.weighted[rows[word::STEP]]
-        np.cumsum(latent, axis=0, out=latent)
-        present, column = None, 0
-        for length, (numbers, passages) in self.classes.items():
-            n, maybe = length // STEP, hopeful[length]
-            mine_too = slice(column, column + len(numbers))
-            column += len(numbers)
-            norm2 = energy[n:] - energy[:-n]
-            # No cosine exceeds the part of the window that lies in the latent space.
-            inside = latent[n:] - latent[:-n]
-            near = np.nonzero(maybe & (np.einsum("ij,ij->i", inside, inside) >= self.min_cosine ** 2 * norm2))[0]
-            if not len(near):
-                continue
-            inside, norm = inside[near], np.sqrt(norm2[near])
-            dots = inside @ passages.T
-            i, j = np.nonzero(dots >= self.min_cosine * norm[:, None])
-            if not len(i):
-                continue
-            if present is None:
-                present = self._present(rows, steps)
-            # If too much of the passage is nowhere around the window, it cannot hold it.
-            # Where a long text was cut, what lies beyond is not seen, so nothing is left out.
-            start = near[i] * STEP
-            k = np.searchsorted(begins, start, side="right") - 1
-            low, high = near[i] - (n + 1) // 2, near[i] + n + (n + 1) // 2
-            cut = ((low * STEP < begins[k]) & (offsets[k] > 0)) | ((high * STEP > begins[k] + sizes[k]) & unfinished[k])
-            around = np.clip(low[:, None] + np.arange(n + 2 * ((n + 1) // 2)), 0, steps - 1)
-            there = sum(np.bitwise_count(np.bitwise_or.reduce(lane[around, (mine_too.start + j)[:, None]], axis=1)).astype(np.int64) for lane in present)
-            ok = (start - begins[k] < sizes[k]) & (cut | (there >= self.needed[mine_too][j]))  # not in the blank space
-            for x in np.nonzero(ok)[0].tolist():
-                number, at, own = pieces[k[x]]
-                first = int(start[x] - begins[k[x]])
-                yield number, at, int(numbers[j[x]]), float(dots[i[x], j[x]]), first, min(len(own), first + length)
+        energy = np.zeros(steps + 1)
+        np.cumsum(self.idf2[ids].reshape(steps, STEP).sum(axis=1), out=energy[1:])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], live.astype(np.int8), [0]])))
+        for low_step, high_step in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            # Latent sums of everything in this stretch before each step.
+            latent = np.zeros((high_step - low_step + 1, self.weighted.shape[1]), dtype=np.float32)
+            for word in range(STEP):
+                latent[1:] += self.weighted[rows[low_step * STEP + word:high_step * STEP:STEP]]
+            np.cumsum(latent, axis=0, out=latent)
+            column = 0
+            for length, (numbers, passages) in self.classes.items():
+                n, mine = length // STEP, column
+                column += len(numbers)
+                if high_step - low_step < n:
+                    continue
+                norm2 = energy[low_step + n:high_step + 1] - energy[low_step:high_step + 1 - n]
+                # No cosine exceeds the part of the window that lies in the latent space.
+                inside = latent[n:] - latent[:-n]
+                near = np.nonzero((norm2 > 1e-3) & (np.einsum("ij,ij->i", inside, inside) >= self.min_cosine ** 2 * norm2))[0]
+                dots = inside[near] @ passages.T
+                i, j = np.nonzero(dots >= self.min_cosine * np.sqrt(norm2[near])[:, None])
+                if not len(i):
+                    continue
+                at_step = low_step + near[i]
+                start = at_step * STEP
+                k = np.searchsorted(begins, start, side="right") - 1
+                # Where a long text was cut, what lies beyond is not seen, so nothing is left out.
+                low, high = at_step - (n + 1) // 2, at_step + n + (n + 1) // 2
+                cut = ((low * STEP < begins[k]) & (offsets[k] > 0)) | ((high * STEP > begins[k] + sizes[k]) & unfinished[k])
+                around = np.clip(low[:, None] + np.arange(n + 2 * ((n + 1) // 2)), 0, steps - 1)
+                there = sum(np.bitwise_count(np.bitwise_or.reduce(lane[around, (mine + j)[:, None]], axis=1)).astype(np.int64) for lane in present)
+                ok = (start - begins[k] < sizes[k]) & (cut | (there >= self.needed[mine + j]))  # not in the blank space
+                for x in np.nonzero(ok)[0].tolist():
+                    number, at, own = pieces[k[x]]
+                    first = int(start[x] - begins[k[x]])
+                    yield number, at, int(numbers[j[x]]), float(dots[i[x], j[x]]), first, min(len(own), first + length)
+
+    def _live(self, present: np.ndarray, steps: int, first: np.ndarray, last: np.ndarray, cut_before: np.ndarray, cut_behind: np.ndarray) -> np.ndarray:
+        """Steps near which enough of some passage's words stand; elsewhere no window can hold one.
+
+        Words are gathered over stretches as long as the longest window with its surroundings.
+        """
+        n, coarse = self.longest // STEP, -(-steps // STEP)
+        padded = np.zeros((len(present), coarse * STEP, present.shape[2]), dtype=np.uint64)
+        padded[:, :steps] = present
+        own = np.bitwise_or.reduce(padded.reshape(len(present), coarse, STEP, -1), axis=2)
+        reach = -(-(2 * n + 2) // STEP) + 1
+        whole = own.copy()
+        for k in range(1, min(reach, coarse)):
+            whole[:, :-k] |= own[:, k:]
+        hot = (np.bitwise_count(whole).sum(axis=0, dtype=np.int64) >= self.needed).any(axis=1)
+        for a, b, before, behind in zip(first.tolist(), last.tolist(), cut_before.tolist(), cut_behind.tolist()):
+            if before:
+                hot[max(0, a - n) // STEP:(a + n) // STEP + 1] = True
+            if behind:
+                hot[max(0, b - 2 * n - 2) // STEP:b // STEP + 1] = True
+        live = hot.copy()
+        for k in range(1, min(reach, coarse)):
+            live[k:] |= hot[:-k]
+        return np.repeat(live, STEP)[:steps]
 
     def _present(self, rows: np.ndarray, steps: int) -> np.ndarray:
         """By lane, step and passage, the places of the passage whose words stand in the step."""
@@ -349,17 +365,16 @@ def block_state(passages: DataFrame, idf: np.ndarray, search: Search) -> tuple:
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
     classes: dict[int, tuple[list, list]] = {}
-    most, known = np.zeros(len(vocabulary), dtype=np.float32), {}
+    known = {}
     for number, words in block.items():
         known[number] = np.unique(bucket(words), return_counts=True)
         ids, x = _vector(bucket, words, idf)
-        np.maximum.at(most, place[ids], x)
         numbers, latent = classes.setdefault(window_of(len(words)), ([], []))
         numbers.append(number)
         z = x @ v[place[ids]]
         latent.append(z / max(np.linalg.norm(z), 1e-9))
     weighted = (v * idf[vocabulary][:, None]).astype(np.float32)
-    return place, weighted, most, {n: (np.array(a), np.array(b, dtype=np.float32)) for n, (a, b) in classes.items()}, known, search.min_cosine, min(search.copied, search.paraphrased)
+    return place, weighted, {n: (np.array(a), np.array(b, dtype=np.float32)) for n, (a, b) in classes.items()}, known, search.min_cosine, min(search.copied, search.paraphrased)
 
 
 def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:

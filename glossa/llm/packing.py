@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 #: Chunks whose ids a worker remembers.
-_REMEMBERED = 500_000
+_REMEMBERED = 300_000
 #: Characters that are tokenised at a time.
 _SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
