@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from .common import Memo
 
@@ -29,50 +30,77 @@ def grams(word: str) -> list[tuple[str, str]]:
     return [(s[max(0, i - ORDER + 1):i], s[i]) for i in range(1, len(s))]
 
 
+class _Counts:
+    """Strings to rows of numbers, by 64-bit hashes in order: a few bytes a string."""
+
+    def __init__(self, rows: dict[str, tuple]) -> None:
+        hashes = np.array([xxhash.xxh64_intdigest(k) for k in rows], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.rows = hashes[order], np.array(list(rows.values()) or [()], dtype=np.float64)[order]
+
+    def get(self, key: str) -> list[float] | None:
+        h = np.uint64(xxhash.xxh64_intdigest(key))
+        i = int(self.hashes.searchsorted(h))
+        return self.rows[i].tolist() if i < len(self.hashes) and self.hashes[i] == h else None
+
+
 class LikelihoodRatio:
     """log p(word | toxic) - log p(word | ordinary) for any word."""
 
     def __init__(self, counts: list[tuple[str, float, float]]) -> None:
         """``counts``: word, times in toxic texts, times in ordinary ones."""
-        top: list[defaultdict[str, Counter]] = [defaultdict(Counter), defaultdict(Counter)]
-        shared: defaultdict[str, Counter] = defaultdict(Counter)
+        top: dict[str, list[float]] = {}
         for word, toxic, ordinary in counts:
             for h, c in grams(word):
-                for k, n in ((0, toxic), (1, ordinary)):
-                    if n:
-                        top[k][h][c] += n
+                pair = top.setdefault(h + c, [0.0, 0.0])
+                pair[0] += toxic
+                pair[1] += ordinary
+        above: dict[str, list[float]] = {}
+        for key, (t, o) in top.items():
+            context = above.setdefault(key[:-1], [0.0] * 4)
+            for k, n in ((0, t), (2, o)):
+                context[k] += n > 0
+                context[k + 1] += n
         # A shared lower order counts in how many longer contexts a character follows.
-        level = {(h, c) for t in top for h, cs in t.items() for c in cs}
+        shared: Counter = Counter()
+        level = set(top)
         while level:
-            level = {(h[1:], c, h[0]) for h, c in level if h}
-            for h, c, _ in level:
-                shared[h][c] += 1
-            level = {(h, c) for h, c, _ in level}
-        top_sums = [{h: (dict(cs), sum(cs.values())) for h, cs in t.items()} for t in top]
-        self.load((top_sums, {h: (dict(cs), sum(cs.values())) for h, cs in shared.items()}, uuid.uuid4().hex))
+            longer = {key for key in level if len(key) > 1}
+            shared.update(key[1:] for key in longer)
+            level = {key[1:] for key in longer}
+        below: dict[str, list[float]] = {}
+        for key, n in shared.items():
+            context = below.setdefault(key[:-1], [0.0, 0.0])
+            context[0] += 1
+            context[1] += n
+        self.load((_Counts(top), _Counts(above), _Counts({k: (n,) for k, n in shared.items()}), _Counts(below), uuid.uuid4().hex))
+
+    @classmethod
+    def of(cls, state: tuple) -> LikelihoodRatio:
+        return cls.__new__(cls).load(state)
 
     def load(self, state: tuple) -> LikelihoodRatio:
         """Take over plain counts, as ``state`` has them; what they score is remembered by the worker."""
         self.state = state
-        self.top, self.shared, key = state
+        self.top, self.above, self.shared, self.below, key = state
         self.steps, self.known = Memo.take("chargram", key, lambda: ({}, {}))
-        self.floor = 1 / (1 + len(self.shared.get("", ({}, 0))[0]))
+        self.floor = 1 / (1 + (self.below.get("") or (0, 0))[0])
         return self
 
     def _lower(self, h: str, c: str) -> float:
         below = self._lower(h[1:], c) if h else self.floor
-        found = self.shared.get(h)
+        found = self.below.get(h)
         if found is None:
             return below
-        cs, n = found
-        return (max(cs.get(c, 0) - DISCOUNT, 0) + DISCOUNT * len(cs) * below) / n
+        kinds, n = found
+        return (max((self.shared.get(h + c) or (0.0,))[0] - DISCOUNT, 0) + DISCOUNT * kinds * below) / n
 
     def _log_ratio(self, h: str, c: str) -> float:
-        seen = [t.get(h) for t in self.top]
-        if seen[0] is None and seen[1] is None:
+        seen = self.above.get(h)
+        if seen is None:
             return 0.0  # both back off to the same
-        below = self._lower(h[1:], c)
-        logs = [math.log(below if s is None else (max(s[0].get(c, 0) - DISCOUNT, 0) + DISCOUNT * len(s[0]) * below) / s[1]) for s in seen]
+        below, counts = self._lower(h[1:], c), self.top.get(h + c) or (0.0, 0.0)
+        logs = [math.log((max(counts[k] - DISCOUNT, 0) + DISCOUNT * seen[2 * k] * below) / seen[2 * k + 1] if seen[2 * k + 1] else below) for k in (0, 1)]
         return logs[0] - logs[1]
 
     def __call__(self, word: str) -> float:

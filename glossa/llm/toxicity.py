@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,10 @@ def _word_counts(sample: DataFrame) -> pd.DataFrame:
     return counted.groupBy("word").agg(when(True).alias("t"), when(False).alias("o")).toPandas()
 
 
-def _features(text: Column, ratio: chargram.LikelihoodRatio) -> Column:
-    shared = SparkSession.active().sparkContext.broadcast(ratio.state)
-
+def _features(text: Column, shared: Broadcast) -> Column:
     @F.pandas_udf("array<double>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = chargram.LikelihoodRatio([]).load(shared.value)
+        model = chargram.LikelihoodRatio.of(shared.value)
         for texts in batches:
             yield pd.Series([model.features(t or "") for t in texts])
     return of(text)
@@ -92,7 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
         return empty
     ratio = chargram.LikelihoodRatio(list(counts.itertuples(index=False, name=None)))
     del counts
-    judged = sample.where("apart").select("toxic", _features(F.col("text"), ratio).alias("x")).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(ratio.state)
+    judged = sample.where("apart").select("toxic", _features(F.col("text"), shared).alias("x")).toPandas()
+    shared.unpersist()
     y = judged["toxic"].to_numpy(dtype=float)
     if not 0 < y.sum() < len(y):
         return empty
@@ -112,7 +113,7 @@ def score(text: Column, model: ToxicityModel) -> Column:
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = ToxicityModel(chargram.LikelihoodRatio([]).load(shared.value), *numbers)
+        m = ToxicityModel(chargram.LikelihoodRatio.of(shared.value), *numbers)
         for texts in batches:
             yield pd.Series(m.scores(np.array([m.ratio.features(t or "") for t in texts]).reshape(len(texts), _FEATURES)))
     return of(text)

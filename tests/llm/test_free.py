@@ -211,6 +211,40 @@ def test_minimum_cut_against_all_labellings():
 
 # Toxicity
 
+def test_ratios_against_plain_kneser_ney():
+    """All counts as nested dictionaries, straight from the definition."""
+    import math
+
+    from glossa.llm import chargram as C
+    rnd = random.Random(3)
+    counts = [("".join(rnd.choices("abcde", k=rnd.randrange(1, 7))), rnd.randrange(3), rnd.randrange(4)) for _ in range(60)]
+    top = [collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)]
+    for w, t, o in counts:
+        for h, c in C.grams(w):
+            for k, n in ((0, t), (1, o)):
+                if n:
+                    top[k][h][c] += n
+    # Every longer context counts once for the character behind it, level by level.
+    pairs = {(h, c) for w, t, o in counts for h, c in C.grams(w)}
+    lower = collections.defaultdict(collections.Counter)
+    while pairs:
+        for h, c in {(h, c) for h, c in pairs if h}:
+            lower[h[1:]][c] += 1
+        pairs = {(h[1:], c) for h, c in pairs if h}
+
+    def low(h, c):
+        rest = low(h[1:], c) if h else 1 / (1 + len(lower[""]))
+        return rest if h not in lower else (max(lower[h][c] - .75, 0) + .75 * len(lower[h]) * rest) / sum(lower[h].values())
+
+    def p(k, h, c):
+        cs = top[k].get(h)
+        return low(h[1:], c) if cs is None else (max(cs[c] - .75, 0) + .75 * len(cs) * low(h[1:], c)) / sum(cs.values())
+    ratio = C.LikelihoodRatio(counts)
+    for w in [*(w for w, *_ in counts), "zebra", "aabbccdd", "e"]:
+        want = sum(math.log(p(0, h, c)) - math.log(p(1, h, c)) for h, c in C.grams(w) if h in top[0] or h in top[1])
+        assert ratio(w) == pytest.approx(want)
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
