@@ -92,11 +92,21 @@ def _closure_round(k: int, known: str, stated: str) -> str:
     return f"n{k} AS MATERIALIZED (SELECT src, dst, rel, max(confidence) AS confidence FROM (SELECT * FROM ({compose}) UNION ALL SELECT * FROM ({other})) u WHERE NOT EXISTS (SELECT 1 FROM {stated} s WHERE s.src = u.src AND s.dst = u.dst AND s.rel = u.rel) GROUP BY 1, 2, 3)"
 
 
-@query("tlink_identity_closure", f"""WITH {_EDGES}, k0 AS MATERIALIZED (SELECT src, dst, rel, max(coalesce(confidence, 0)) AS confidence FROM e WHERE NOT suppressed GROUP BY 1, 2, 3), s0 AS MATERIALIZED (SELECT DISTINCT src, dst, rel FROM e), {_closure_round(1, 'k0', 's0')}
-SELECT src, dst, rel, confidence, CAST(1 AS BIGINT) AS closure_round FROM n1""")
+def _closure(rounds: int) -> str:
+    steps = ["k0 AS MATERIALIZED (SELECT src, dst, rel, max(coalesce(confidence, 0)) AS confidence FROM e WHERE NOT suppressed GROUP BY 1, 2, 3)", "s0 AS MATERIALIZED (SELECT DISTINCT src, dst, rel FROM e)"]
+    for k in range(1, rounds + 1):
+        steps += [_closure_round(k, f"k{k - 1}", f"s{k - 1}"), f"k{k} AS MATERIALIZED (SELECT * FROM k{k - 1} UNION ALL SELECT * FROM n{k})", f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT src, dst, rel FROM n{k})"]
+    return ", ".join(steps)
+
+
+_ROUNDS = 3
+
+
+@query("tlink_identity_closure", f"WITH {_EDGES}, {_closure(_ROUNDS)} " + " UNION ALL ".join(f"SELECT doc_part, rel, CAST({k} AS BIGINT) AS closure_round, count(*) AS links, round(sum(confidence), 6) AS confidence FROM (SELECT src % 10 AS doc_part, rel, confidence FROM n{k}) GROUP BY 1, 2" for k in range(1, _ROUNDS + 1)))
 def tlink_identity_closure(v: Views) -> DataFrame:
-    """TL-CLOSURE: the first round over all links; later rounds are tested on a small table."""
-    return tlinks.identity_closure(tlinks.edges(v("g_tlink")), rounds=1).withColumn("closure_round", F.col("closure_round").cast("long"))
+    """TL-CLOSURE: all rounds over all links, as counts; the links themselves come from the operator."""
+    made = tlinks.identity_closure(tlinks.edges(v("g_tlink")), rounds=_ROUNDS)
+    return made.groupBy((F.col("src") % 10).alias("doc_part"), "rel", F.col("closure_round").cast("long").alias("closure_round")).agg(F.count("*").alias("links"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
 @query("tlink_anchor_flags", f"""WITH {_EDGES} SELECT l_orderkey, l_linenumber, l_extendedprice, src, dst, src <> dst AS anchor_consistency, CASE WHEN src = dst THEN 'self_link' END AS anchor_consistency_reason, suppressed OR src = dst AS suppressed,
@@ -129,36 +139,34 @@ def timex_same_value(v: Views) -> DataFrame:
     return tlinks.same_value_timexes(v("g_timex"))
 
 
-_TL09 = """p AS (SELECT e.doc_id, e.id AS event_id, t.id AS timex_id, abs(e.start_tok - t.start_tok) AS distance, row_number() OVER (PARTITION BY e.id ORDER BY abs(e.start_tok - t.start_tok), t.start_tok) AS rn FROM g_tevent e JOIN g_timex t ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx
-WHERE NOT e.low_confidence AND NOT e.merged AND e.pos IN ('NN','NNS','NNP') AND abs(e.start_tok - t.start_tok) <= 8)"""
+_TL09 = """p AS (SELECT e.doc_id, e.id AS event_id, t.id AS timex_id, min(abs(e.start_tok - t.start_tok)) AS distance FROM g_tevent e JOIN g_frame f ON f.doc_id = e.doc_id AND f.head_tok = e.start_tok AND f.framework = 'NOMBANK' JOIN g_timex t ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx
+WHERE NOT e.low_confidence AND NOT e.merged AND t.type IN ('DATE','TIME','SET') AND e.start_tok <> t.start_tok AND abs(e.start_tok - t.start_tok) <= 8 GROUP BY 1, 2, 3)"""
+
 
+def _nominal_events(v: Views) -> DataFrame:
+    heads = v("g_frame").where("framework = 'NOMBANK'").select("doc_id", F.col("head_tok").alias("start_tok")).distinct()
+    return v("g_tevent").join(heads, ["doc_id", "start_tok"], "left_semi")
 
-@query("event_sentence_timex", f"WITH {_TL09} SELECT doc_id, event_id, timex_id, distance, 'IS_INCLUDED' AS rel, CAST(0.6 AS DOUBLE) AS confidence FROM p WHERE rn = 1")
+
+@query("event_sentence_timex", f"WITH {_TL09} SELECT doc_id, event_id, timex_id, distance, 'IS_INCLUDED' AS rel, CAST(0.6 AS DOUBLE) AS confidence FROM p")
 def event_sentence_timex(v: Views) -> DataFrame:
-    """TL-09: nominal event and the nearest time expression of its sentence."""
-    return tlinks.nominal_in_sentence(v("g_tevent"), v("g_timex"))
+    """TL-09: events of nominal frames and the dates, times and sets of their sentence."""
+    return tlinks.nominal_in_sentence(_nominal_events(v), v("g_timex"))
 
 
-@query("event_unanchored", f"WITH {_TL09} SELECT doc_id, id AS event_id, concat('dct_', CAST(doc_id AS STRING)) AS timex_id, 'IS_INCLUDED' AS rel, CAST(0.55 AS DOUBLE) AS confidence FROM g_tevent WHERE NOT low_confidence AND NOT merged AND id NOT IN (SELECT event_id FROM p WHERE rn = 1)")
+@query("event_unanchored", f"WITH {_TL09} SELECT doc_id, id AS event_id, concat('dct_', CAST(doc_id AS STRING)) AS timex_id, 'IS_INCLUDED' AS rel, CAST(0.55 AS DOUBLE) AS confidence FROM g_tevent WHERE NOT low_confidence AND NOT merged AND NOT EXISTS (SELECT 1 FROM p WHERE p.event_id = g_tevent.id)")
 def event_unanchored(v: Views) -> DataFrame:
     """TL-20B: events left to the document's date."""
-    return tlinks.unanchored(v("g_tevent"), tlinks.nominal_in_sentence(v("g_tevent"), v("g_timex")))
+    return tlinks.unanchored(v("g_tevent"), tlinks.nominal_in_sentence(_nominal_events(v), v("g_timex")))
 
 
-@query("event_dct_relation", """SELECT doc_id, id, CASE WHEN tense = 'PRESENT' AND aspect = 'PROGRESSIVE' THEN 'IS_INCLUDED' WHEN tense = 'PAST' THEN 'BEFORE' WHEN tense = 'FUTURE' THEN 'AFTER' WHEN tense = 'PRESENT' THEN 'INCLUDES' END AS rel
-FROM g_tevent WHERE NOT low_confidence AND NOT merged AND pos = 'VBD' AND tense IN ('PAST','PRESENT','FUTURE')""")
+@query("event_dct_relation", """SELECT e.doc_id, e.id, CASE WHEN tense = 'FUTURE' THEN 'AFTER' WHEN tense = 'PRESENT' AND aspect = 'PROGRESSIVE' THEN 'IS_INCLUDED' WHEN tense = 'PAST' THEN 'BEFORE' WHEN tense = 'PRESENT' AND aspect = 'PERFECTIVE' THEN 'BEFORE' ELSE 'VAGUE' END AS rel, CAST(0.78 AS DOUBLE) AS confidence
+FROM g_tevent e JOIN g_token t ON t.doc_id = e.doc_id AND t.tok_index_doc = e.start_tok WHERE NOT low_confidence AND NOT merged AND t.pos NOT IN ('NNP','NNS','NN') AND tense IN ('PAST','PRESENT','FUTURE')""")
 def event_dct_relation(v: Views) -> DataFrame:
-    """TL-06: finite verbal events against the document's date."""
-    e = tlinks.usable(v("g_tevent")).where("pos = 'VBD' and tense in ('PAST', 'PRESENT', 'FUTURE')")
-    return e.select("doc_id", "id", tlinks.dct_relation(F.col("tense"), F.col("aspect")).alias("rel"))
-
-
-@query("next_main_event", """WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY start_tok) AS rn FROM g_tevent WHERE NOT low_confidence AND NOT merged AND pos LIKE 'VB%' AND tense IN ('PAST','PRESENT','FUTURE')) WHERE rn = 1),
-r AS (SELECT a.doc_id, a.sent_idx, a.id AS event_id, b.id AS next_id, CASE WHEN a.tense = 'PAST' AND b.tense = 'PAST' THEN 'BEFORE' WHEN a.tense = b.tense THEN 'SIMULTANEOUS' WHEN a.tense = 'PAST' OR b.tense = 'FUTURE' THEN 'BEFORE' END AS rel FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.sent_idx = a.sent_idx + 1)
-SELECT * FROM r WHERE rel IS NOT NULL""")
-def next_main_event(v: Views) -> DataFrame:
-    """TL-16: main events of neighbouring sentences."""
-    return tlinks.next_main_event(v("g_tevent"))
+    """TL-06: events on words other than nouns against the document's date."""
+    words = v("g_token").where("pos not in ('NNP', 'NNS', 'NN')").select("doc_id", F.col("tok_index_doc").alias("start_tok"))
+    e = tlinks.usable(v("g_tevent")).where("tense in ('PAST', 'PRESENT', 'FUTURE')").join(words, ["doc_id", "start_tok"])
+    return e.select("doc_id", "id", tlinks.dct_relation(F.col("tense"), F.col("aspect")).alias("rel"), F.lit(0.78).alias("confidence"))
 
 
 @query("duration_in_date", "SELECT d.doc_id, d.id AS duration_id, t.id AS date_id, abs(d.start_tok - t.start_tok) AS distance FROM g_timex d JOIN g_timex t ON d.doc_id = t.doc_id AND d.sent_idx = t.sent_idx WHERE d.type = 'DURATION' AND t.type = 'DATE' AND abs(d.start_tok - t.start_tok) <= 10")
@@ -173,11 +181,14 @@ def duration_fix(v: Views) -> DataFrame:
     return v("g_timex").where("type = 'DURATION'").select("doc_id", "id", F.col("value").alias("raw_value"), timeml.duration(F.col("value")).alias("value"))
 
 
-@query("iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso_compact, strftime(o_orderdate, '%Y-%m-%d') AS iso_slashed, strftime(o_orderdate, '%Y-%m-%d') AS iso_named FROM orders")
+_DATE_FORMS = {"compact": ("%Y%m%d", "yyyyMMdd"), "month_only": ("%Y%m", "yyyyMM"), "named": ("%-d %B %Y", "d MMMM yyyy"), "short": ("%b %-d, %Y", "MMM d, yyyy"), "month_year": ("%B %Y", "MMMM yyyy"), "year_month": ("%Y %b", "yyyy MMM"), "slashed": ("%d/%m/%Y", "dd/MM/yyyy")}
+_DATE_WANTS = {"month_only": "%Y-%m", "month_year": "%Y-%m", "year_month": "%Y-%m", "slashed": "%d/%m/%Y"}
+
+
+@query("iso_dates", "SELECT o_orderkey, " + ", ".join(f"strftime(o_orderdate, '{_DATE_WANTS.get(n, '%Y-%m-%d')}') AS iso_{n}" for n in _DATE_FORMS) + " FROM orders")
 def iso_dates(v: Views) -> DataFrame:
-    """FN-DATE: three spellings of order dates back to ISO."""
-    d = F.col("o_orderdate")
-    return v("orders").select("o_orderkey", timeml.iso_date(F.date_format(d, "yyyyMMdd")).alias("iso_compact"), timeml.iso_date(F.date_format(d, "dd/MM/yyyy")).alias("iso_slashed"), timeml.iso_date(F.date_format(d, "d MMMM yyyy")).alias("iso_named"))
+    """FN-DATE: spellings of order dates back to ISO; day/month/year stays as it is."""
+    return v("orders").select("o_orderkey", *(timeml.iso_date(F.date_format("o_orderdate", java)).alias(f"iso_{n}") for n, (_, java) in _DATE_FORMS.items()))
 
 
 # Fusion and provenance
@@ -275,7 +286,7 @@ def _spans5(v: Views) -> DataFrame:
     return v("g_tevent").select("doc_id", F.col("id").alias("span_id"), "start_tok", end.alias("end_tok"))
 
 
-@query("span_heads", f"""WITH {_SPANS5}, i AS (SELECT s.*, t.tok_index_doc, t.text, t.pos, d.head_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok LEFT JOIN g_dep d ON d.doc_id = t.doc_id AND d.dep_tok = t.tok_index_doc AND d.head_tok <> d.dep_tok),
+@query("span_heads", f"""WITH {_SPANS5}, i AS (SELECT s.*, t.tok_index_doc, t.text, t.pos, d.head_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.sent_idx = CAST(floor(s.start_tok / 20) AS INT) AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok LEFT JOIN g_dep d ON d.doc_id = t.doc_id AND d.dep_tok = t.tok_index_doc AND d.head_tok <> d.dep_tok),
 f AS (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY tok_index_doc) AS rn FROM i WHERE head_tok IS NULL OR head_tok < start_tok OR head_tok > end_tok)
 SELECT doc_id, span_id, start_tok, CAST(end_tok AS BIGINT) AS end_tok, tok_index_doc AS head_tok_index, text AS head, pos AS head_pos, CASE WHEN pos IN ('NNP','NNPS') THEN 'NAM' WHEN pos IN ('NN','NNS') THEN 'NOM' WHEN pos LIKE 'PRP%' THEN 'PRO' WHEN pos = 'CD' THEN 'PTV' ELSE 'OTHER' END AS syntactic_type FROM f WHERE rn = 1""")
 def span_heads(v: Views) -> DataFrame:
@@ -304,7 +315,7 @@ def event_argument_mentions(v: Views) -> DataFrame:
     return spans.dependent_mentions(v("g_token"), v("g_dep"), ["nsubj", "dobj", "nsubjpass"], _spans5(v))
 
 
-@query("trimmed_spans", f"""WITH {_SPANS5}, k AS (SELECT s.span_id, min(t.tok_index_doc) AS a, max(t.tok_index_doc) AS b FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok WHERE t.pos NOT IN ('DT','PRP') GROUP BY 1)
+@query("trimmed_spans", f"""WITH {_SPANS5}, k AS (SELECT s.span_id, min(t.tok_index_doc) AS a, max(t.tok_index_doc) AS b FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.sent_idx = CAST(floor(s.start_tok / 20) AS INT) AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok WHERE t.pos NOT IN ('DT','PRP') GROUP BY 1)
 SELECT s.doc_id, s.span_id, coalesce(k.a, s.start_tok) AS start_tok, CAST(coalesce(k.b, s.end_tok) AS BIGINT) AS end_tok FROM s LEFT JOIN k USING (span_id)""")
 def trimmed_spans(v: Views) -> DataFrame:
     """MEN-DET: spans without determiners at their ends."""
@@ -323,16 +334,16 @@ def frame_voice(v: Views) -> DataFrame:
     return v("g_frame_argument").groupBy("frame_id").agg(F.collect_set("role").alias("roles")).select("frame_id", scores.voice(F.col("roles")).alias("voice"))
 
 
-@query("frame_alignment", """SELECT a.doc_id, a.id AS verbal_id, b.id AS nominal_id, round(sqrt(a.confidence * b.confidence), 6) AS confidence FROM g_frame a JOIN g_frame b ON a.doc_id = b.doc_id AND lower(a.pred) = lower(b.pred) AND abs(a.head_tok - b.head_tok) <= 400 WHERE a.framework = 'PROPBANK' AND b.framework = 'NOMBANK'""")
+@query("frame_alignment", """SELECT a.doc_id, a.id AS verbal_id, b.id AS nominal_id, round(sqrt(a.confidence * b.confidence), 6) AS confidence FROM g_frame a JOIN g_frame b ON a.doc_id = b.doc_id AND lower(a.pred) = lower(b.pred) AND a.sent_idx - b.sent_idx BETWEEN -1 AND 1 AND abs(a.head_tok - b.head_tok) <= 5 WHERE a.framework = 'PROPBANK' AND b.framework = 'NOMBANK'""")
 def frame_alignment(v: Views) -> DataFrame:
     """ING-ALIGN: frames of two frameworks on one word."""
-    return enhance.aligned_frames(v("g_frame"), 400)
+    return enhance.aligned_frames(v("g_frame"))
 
 
-@query("event_polarity", """WITH n AS (SELECT DISTINCT f.doc_id, f.head_tok FROM g_frame f JOIN g_frame_argument a ON a.frame_id = f.id WHERE a.role = 'ARGM-NEG') SELECT e.doc_id, e.id, CASE WHEN n.head_tok IS NOT NULL THEN 'NEG' ELSE e.polarity END AS polarity FROM g_tevent e LEFT JOIN n ON n.doc_id = e.doc_id AND n.head_tok = e.start_tok""")
+@query("event_polarity", """WITH n AS (SELECT doc_id, head_tok AS tok FROM g_dep_words WHERE type = 'neg' AND head_tok <> dep_tok UNION SELECT doc_id, dep_tok FROM g_dep_words WHERE type = 'neg' AND head_tok <> dep_tok) SELECT e.doc_id, e.id, CASE WHEN n.tok IS NOT NULL THEN 'NEG' ELSE e.polarity END AS polarity FROM g_tevent e LEFT JOIN n ON n.doc_id = e.doc_id AND n.tok = e.start_tok""")
 def event_polarity(v: Views) -> DataFrame:
-    """MORPH-POL: negated events."""
-    return enhance.polarity(v("g_tevent"), v("g_frame_argument"), v("g_frame"))
+    """MORPH-POL: events beside a negation."""
+    return enhance.polarity(v("g_tevent"), v("g_dep_words"))
 
 
 @query("sentence_roots", "SELECT t.doc_id, t.sent_idx, t.tok_index_doc AS root_tok, t.text AS root_text, t.pos AS root_pos FROM g_token t JOIN g_dep d ON d.doc_id = t.doc_id AND d.dep_tok = t.tok_index_doc WHERE d.type = 'ROOT'")
@@ -361,7 +372,7 @@ def entity_salience(v: Views) -> DataFrame:
     return enhance.salience(v("g_mention"), fusion.entity(), v("g_tevent").groupBy("doc_id").agg(F.count("*").alias("events")))
 
 
-@query("coref_chain_quality", "SELECT doc_id, coalesce(kb_id, surface) AS entity, count(*) AS mentions, count(kb_id) AS anchored, CASE WHEN count(*) >= 3 AND count(kb_id) >= 1 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS quality FROM g_mention GROUP BY 1, 2")
+@query("coref_chain_quality", "SELECT doc_id, coalesce(kb_id, surface) AS entity, count(*) AS mentions, count(DISTINCT kb_id) AS anchored, CAST(CASE WHEN count(*) >= 5 AND count(kb_id) >= 1 THEN 0.92 WHEN count(*) >= 3 AND count(kb_id) >= 1 THEN 0.82 WHEN count(*) >= 2 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM g_mention GROUP BY 1, 2")
 def coref_chain_quality(v: Views) -> DataFrame:
     """GA-07: quality of mention chains."""
     return enhance.chain_quality(v("g_mention"), fusion.entity())

@@ -88,7 +88,7 @@ def temporal_argument_candidates(v: Views) -> DataFrame:
     return events.uncovered_arguments(v("g_frame_argument"), v("g_timex"))
 
 
-@query("timex_reconciled", f"WITH {_SPANS5} SELECT doc_id, span_id AS id, CASE WHEN EXISTS (SELECT 1 FROM g_timex t WHERE t.doc_id = s.doc_id AND t.start_tok <= s.end_tok AND s.start_tok <= t.end_tok) THEN 'confirmed' ELSE 'needs_review' END AS status FROM s")
+@query("timex_reconciled", f"WITH {_SPANS5} SELECT doc_id, span_id AS id, CASE WHEN EXISTS (SELECT 1 FROM g_timex t WHERE t.doc_id = s.doc_id AND t.sent_idx = CAST(floor(s.start_tok / 20) AS INT) AND t.start_tok <= s.end_tok AND s.start_tok <= t.end_tok) THEN 'confirmed' ELSE 'needs_review' END AS status FROM s")
 def timex_reconciled(v: Views) -> DataFrame:
     """TMP-RECON: candidate spans confirmed by a time expression."""
     return events.reconciled(_spans5(v).withColumnRenamed("span_id", "id"), v("g_timex"))
@@ -102,7 +102,7 @@ def argument_mentions(v: Views) -> DataFrame:
 
 
 @query("span_specificity", f"""WITH {_SPANS5}, r AS (SELECT s.doc_id, s.span_id, min(CASE WHEN lower(text) IN ('no','none','neither','nicht','kein') THEN 0 WHEN lower(text) IN ('the','this','that','these','those','der','die','das','la','le','el') THEN 1 WHEN lower(text) IN ('a','an','some','any','ein','eine','un','une','una') THEN 2 ELSE 3 END) AS k
-FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok GROUP BY 1, 2) SELECT doc_id, span_id, CASE k WHEN 0 THEN 'NEG' WHEN 1 THEN 'SPC' WHEN 2 THEN 'USP' ELSE 'GEN' END AS specificity FROM r""")
+FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.sent_idx = CAST(floor(s.start_tok / 20) AS INT) AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok GROUP BY 1, 2) SELECT doc_id, span_id, CASE k WHEN 0 THEN 'NEG' WHEN 1 THEN 'SPC' WHEN 2 THEN 'USP' ELSE 'GEN' END AS specificity FROM r""")
 def span_specificity(v: Views) -> DataFrame:
     """ENT-SPEC: specificity of spans."""
     return events.specificity(_spans5(v), v("g_token"))

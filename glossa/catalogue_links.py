@@ -9,7 +9,7 @@ from .functions import scores
 from .operators import linking, quality, rules, spans
 from .registry import Views, query
 
-_HEADS = f"""{_SPANS5}, si AS (SELECT s.*, t.tok_index_doc, t.pos, d.head_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok LEFT JOIN g_dep d ON d.doc_id = t.doc_id AND d.dep_tok = t.tok_index_doc AND d.head_tok <> d.dep_tok),
+_HEADS = f"""{_SPANS5}, si AS (SELECT s.*, t.tok_index_doc, t.pos, d.head_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.sent_idx = CAST(floor(s.start_tok / 20) AS INT) AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok LEFT JOIN g_dep d ON d.doc_id = t.doc_id AND d.dep_tok = t.tok_index_doc AND d.head_tok <> d.dep_tok),
 h AS (SELECT doc_id, span_id, min(tok_index_doc) AS head_tok FROM si WHERE head_tok IS NULL OR head_tok < start_tok OR head_tok > end_tok GROUP BY 1, 2)"""
 
 
@@ -73,7 +73,7 @@ def subject_object_triples(v: Views) -> DataFrame:
     return linking.triples(v("g_frame_argument"), v("g_frame"))
 
 
-@query("semantic_heads", f"""WITH {_SPANS5}, r AS (SELECT s.doc_id, s.span_id, t.tok_index_doc, CASE WHEN pos IN ('NN','NNS') THEN 0 WHEN pos = 'NNP' THEN 1 WHEN pos = 'PRP' THEN 2 ELSE 3 END AS rank, s.end_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok),
+@query("semantic_heads", f"""WITH {_SPANS5}, r AS (SELECT s.doc_id, s.span_id, t.tok_index_doc, CASE WHEN pos IN ('NN','NNS') THEN 0 WHEN pos = 'NNP' THEN 1 WHEN pos = 'PRP' THEN 2 ELSE 3 END AS rank, s.end_tok FROM s JOIN g_token t ON t.doc_id = s.doc_id AND t.sent_idx = CAST(floor(s.start_tok / 20) AS INT) AND t.tok_index_doc BETWEEN s.start_tok AND s.end_tok),
 o AS (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY rank, end_tok - tok_index_doc, tok_index_doc DESC) AS rn FROM r) SELECT doc_id, span_id, tok_index_doc AS semantic_head, rank FROM o WHERE rn = 1""")
 def semantic_heads(v: Views) -> DataFrame:
     """NOM-SEMHEAD: noun-preferred heads."""
@@ -110,18 +110,23 @@ def connective_links(v: Views) -> DataFrame:
     return rules.connective_links(v("g_tevent"), v("g_token"), {"the": "AFTER", "of": "BEFORE"})
 
 
-@query("dateline_links", """WITH d AS (SELECT doc_id, min_by(id, start_tok) AS timex_id FROM g_timex WHERE type = 'DATE' GROUP BY 1), e AS (SELECT doc_id, sent_idx, min_by(id, start_tok) AS event_id FROM g_tevent WHERE NOT low_confidence AND NOT merged AND sent_idx < 2 GROUP BY 1, 2)
-SELECT doc_id, event_id, timex_id, 'INCLUDES' AS rel, CAST(0.7 AS DOUBLE) AS confidence FROM e JOIN d USING (doc_id)""")
+@query("dateline_links", """WITH d AS (SELECT t.doc_id, arg_min(t.id, t.start_tok) AS timex_id, arg_min(t.end_tok, t.start_tok) AS line_end, any_value(left(t.value, 10)) AS day FROM g_timex_day t JOIN g_dct c ON c.doc_id = t.doc_id AND left(c.value, 10) = left(t.value, 10) WHERE t.type = 'DATE' GROUP BY 1),
+e AS (SELECT v.* FROM g_tevent v JOIN g_token k ON k.doc_id = v.doc_id AND k.tok_index_doc = v.start_tok JOIN g_dep r ON r.doc_id = v.doc_id AND r.dep_tok = v.start_tok AND r.head_tok = v.start_tok AND r.type = 'ROOT' WHERE NOT v.low_confidence AND NOT v.merged AND k.pos IN ('VBD','VBN','VBZ','VBP','VB','MD') AND v.start_tok <= 103 AND k.sent_idx <= 5),
+m AS (SELECT e.doc_id, e.id AS event_id, d.timex_id, EXISTS (SELECT 1 FROM g_dep s JOIN g_timex_day t ON t.doc_id = s.doc_id AND t.start_tok = s.dep_tok WHERE s.type = 'nsubj' AND s.doc_id = e.doc_id AND s.head_tok = e.start_tok AND t.type = 'DATE' AND left(t.value, 10) = d.day) AS same FROM e JOIN d ON d.doc_id = e.doc_id AND e.start_tok > d.line_end)
+SELECT doc_id, event_id, timex_id, 'timex_event' AS direction, CASE WHEN same THEN 'SIMULTANEOUS' ELSE 'INCLUDES' END AS rel, CAST(0.7 AS DOUBLE) AS confidence FROM m UNION ALL SELECT doc_id, event_id, timex_id, 'event_timex', CASE WHEN same THEN 'SIMULTANEOUS' ELSE 'IS_INCLUDED' END, CAST(0.7 AS DOUBLE) FROM m""")
 def dateline_links(v: Views) -> DataFrame:
-    """TL-22: lead events and the earliest date."""
-    return rules.dateline_links(v("g_tevent"), v("g_timex"))
+    """TL-22: root events of the first sentences and the dateline, both ways."""
+    return rules.dateline_links(v("g_tevent"), v("g_timex_day"), v("g_dct"), v("g_token"), v("g_dep"))
 
 
-@query("event_tense_from_auxiliaries", """WITH x AS (SELECT e.id, t.tok_index_doc, CASE lower(t.text) WHEN 'was' THEN 'PAST' WHEN 'is' THEN 'PRESENT' WHEN 'have' THEN 'PRESENT' END AS aux_tense FROM g_tevent e JOIN g_token t ON t.doc_id = e.doc_id AND t.sent_idx = e.sent_idx AND t.tok_index_doc BETWEEN e.start_tok - 2 AND e.start_tok - 1 WHERE lower(t.text) IN ('was','is','have')),
-b AS (SELECT id, arg_max(aux_tense, tok_index_doc) AS aux_tense FROM x GROUP BY 1) SELECT doc_id, e.id, coalesce(b.aux_tense, e.tense) AS tense FROM g_tevent e LEFT JOIN b ON b.id = e.id""")
+@query("event_tense_from_auxiliaries", """WITH x AS (SELECT doc_id, head_tok AS a, dep_tok AS b FROM g_dep_words WHERE type IN ('aux','auxpass') AND head_tok <> dep_tok), y AS (SELECT doc_id, a AS tok, b AS other FROM x UNION ALL SELECT doc_id, b, a FROM x),
+w AS (SELECT y.doc_id, y.tok, list(lower(t.text)) AS words FROM y JOIN g_token t ON t.doc_id = y.doc_id AND t.tok_index_doc = y.other GROUP BY 1, 2)
+SELECT e.doc_id, e.id, CASE WHEN w.words IS NULL THEN e.tense WHEN list_has_any(w.words, ['was','were','had','did','been']) THEN 'PAST' WHEN list_has_any(w.words, ['will','shall','would','could']) THEN 'FUTURE' ELSE coalesce(e.tense, 'PRESENT') END AS tense,
+CASE WHEN w.words IS NULL THEN e.aspect WHEN list_has_any(w.words, ['is','are','am','was','were','be','been']) AND k.text LIKE '%ing' THEN 'PROGRESSIVE' WHEN list_has_any(w.words, ['has','have','had']) THEN 'PERFECTIVE' ELSE coalesce(e.aspect, 'NONE') END AS aspect
+FROM g_tevent e JOIN g_token k ON k.doc_id = e.doc_id AND k.tok_index_doc = e.start_tok LEFT JOIN w ON w.doc_id = e.doc_id AND w.tok = e.start_tok""")
 def event_tense_from_auxiliaries(v: Views) -> DataFrame:
-    """MORPH-TENSE: tense from auxiliaries."""
-    return rules.aspect_from_auxiliaries(v("g_tevent"), v("g_token"), {"was": "PAST", "is": "PRESENT", "have": "PRESENT"})
+    """MORPH-TENSE: tense and aspect from auxiliaries."""
+    return rules.tense_and_aspect(v("g_tevent"), v("g_token"), v("g_dep_words"))
 
 
 # Relations, scorecards, runs

@@ -24,6 +24,7 @@ FROM (<TOK>) x WHERE text <> ''""",
  CASE WHEN tok_index_sent = 0 THEN 'ROOT' WHEN pos='DT' THEN 'det' WHEN pos='IN' THEN 'prep' WHEN pos='VBG' THEN 'pcomp'
   WHEN pos IN ('NN','NNS') AND tok_index_sent % 3 = 0 THEN 'dobj' WHEN pos IN ('NN','NNS') THEN 'pobj' WHEN pos='NNP' THEN 'appos' WHEN pos='PRP' THEN 'nsubj' ELSE 'advmod' END AS type
 FROM {g_token}""",
+    "g_dep_words": """SELECT doc_id, head_tok, dep_tok, CASE WHEN type = 'advmod' AND dep_tok % 7 = 0 THEN 'neg' WHEN type = 'advmod' AND dep_tok % 3 = 0 THEN 'aux' WHEN type = 'det' AND dep_tok % 4 = 0 THEN 'auxpass' ELSE type END AS type FROM {g_dep}""",
     "g_tevent": """SELECT doc_id, concat('e', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, tok_index_doc AS start_tok, tok_index_doc AS end_tok, sent_idx, lemma AS pred, pos,
  CASE tok_index_doc % 5 WHEN 0 THEN 'PAST' WHEN 1 THEN 'PRESENT' WHEN 2 THEN 'FUTURE' WHEN 3 THEN 'INFINITIVE' ELSE NULL END AS tense,
  CASE WHEN tok_index_doc % 7 = 0 THEN 'PROGRESSIVE' WHEN tok_index_doc % 11 = 0 THEN NULL ELSE 'NONE' END AS aspect,
@@ -34,6 +35,8 @@ FROM {g_token} WHERE pos='VBD' OR (pos='NN' AND tok_index_doc % 6 = 0)""",
  CASE tok_index_doc % 4 WHEN 0 THEN 'DATE' WHEN 1 THEN 'TIME' WHEN 2 THEN 'DURATION' ELSE 'SET' END AS type,
  CASE WHEN tok_index_doc % 4 = 2 THEN concat('PY', CAST(tok_index_doc % 9 AS STRING)) ELSE concat('2024-0', CAST(1 + tok_index_doc % 9 AS STRING)) END AS value
 FROM {g_token} WHERE pos='CD'""",
+    "g_timex_day": "SELECT doc_id, id, start_tok, end_tok, sent_idx, type, concat(value, '-10') AS value FROM {g_timex} WHERE type IN ('DATE', 'TIME')",
+    "g_dct": "SELECT DISTINCT doc_id, concat('2024-0', CAST(1 + doc_id % 9 AS STRING), '-10') AS value FROM {documents}",
     "g_frame": """SELECT doc_id, concat('f', CAST(doc_id AS STRING), '_', CAST(start_tok AS STRING)) AS id, start_tok AS head_tok, sent_idx, pred,
  CASE WHEN pos='VBD' THEN 'PROPBANK' ELSE 'NOMBANK' END AS framework, CAST((start_tok % 10) AS DOUBLE)/10 AS confidence
 FROM {g_tevent}""",
@@ -85,7 +88,7 @@ def with_views(sql: str) -> str:
                 need(VIEWS[name])
                 needed.append(name)
     need(sql)
-    ctes = [f"{name} AS ({_REF.sub(r'\1', VIEWS[name].replace('<TOK>', _TOK['duckdb']))})" for name in needed]
+    ctes = [f"{name} AS MATERIALIZED ({_REF.sub(r'\1', VIEWS[name].replace('<TOK>', _TOK['duckdb']))})" for name in needed]
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         ctes, body = [*ctes, body[5:].lstrip()], ""

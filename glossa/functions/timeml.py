@@ -31,18 +31,25 @@ def duration(value: Column) -> Column:
 
 
 def iso_date(value: Column) -> Column:
-    """Seven spellings of a date as ISO; anything else as it is.
+    """Spellings of a date as ISO, anything else as it is; null is empty.
 
-    2024-01-05, 2024-01, 2024, 20240105, 05/01/2024 (day first), 5 January 2024, January 5, 2024.
+    20240105, 202401, 2024011 (the last digit on its own), January 5 2024, 5 Jan 2024, January 2024,
+    2024 January; commas count as blanks, months may be shortened to three letters or ``sept``.
     """
-    v = F.trim(value)
-    lower = F.lower(v)
-    month = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("string"), 2, "0")
-    part = lambda p, i: F.regexp_extract(lower, p, i)
-    day_first, month_first = r"^([0-9]{1,2}) +([a-z]+),? +([0-9]{4})$", r"^([a-z]+) +([0-9]{1,2}),? +([0-9]{4})$"
-    named = lambda p, d, m: F.when(v.isNotNull() & lower.rlike(p) & part(p, m).isin(*MONTHS), F.concat(part(p, 3), F.lit("-"), month(part(p, m)), F.lit("-"), F.lpad(part(p, d), 2, "0")))
+    v = F.trim(F.coalesce(value, F.lit("")))
+    compact = F.trim(F.regexp_replace(F.regexp_replace(v, ",", " "), r"\s+", " "))
+    short = {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
+    numbers = {m: f"{i + 1:02d}" for i, m in enumerate(MONTHS)} | {m: f"{i:02d}" for m, i in short.items()}
+    month = lambda p, i: case_map(F.lower(F.regexp_extract(compact, p, i)), numbers)
+    part = lambda p, i: F.regexp_extract(compact, p, i)
+    day = lambda p, i: F.lpad(part(p, i), 2, "0")
+    mdy, dmy, my, ym = r"^([A-Za-z]+) ([0-9]{1,2}) ([0-9]{4})$", r"^([0-9]{1,2}) ([A-Za-z]+) ([0-9]{4})$", r"^([A-Za-z]+) ([0-9]{4})$", r"^([0-9]{4}) ([A-Za-z]+)$"
+    dash = F.lit("-")
     return F.coalesce(
-        F.when(v.rlike("^[0-9]{4}(-[0-9]{2}){0,2}$"), v),
         F.when(v.rlike("^[0-9]{8}$"), F.regexp_replace(v, "^(....)(..)(..)$", "$1-$2-$3")),
-        F.when(v.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.regexp_replace(v, "^(..)/(..)/(....)$", "$3-$2-$1")),
-        named(day_first, 1, 2), named(month_first, 2, 1), v)
+        F.when(v.rlike("^[0-9]{6}$"), F.regexp_replace(v, "^(....)(..)$", "$1-$2")),
+        F.when(v.rlike("^[0-9]{7}$"), F.regexp_replace(v, "^(....)(..)(.)$", "$1-$2-$3")),
+        F.when(compact.rlike(mdy), F.concat(part(mdy, 3), dash, month(mdy, 1), dash, day(mdy, 2))),
+        F.when(compact.rlike(dmy), F.concat(part(dmy, 3), dash, month(dmy, 2), dash, day(dmy, 1))),
+        F.when(compact.rlike(my), F.concat(part(my, 2), dash, month(my, 1))),
+        F.when(compact.rlike(ym), F.concat(part(ym, 1), dash, month(ym, 2))), v)

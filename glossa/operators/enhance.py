@@ -22,10 +22,10 @@ def salience(mentions: DataFrame, entity: Column, events_per_doc: DataFrame) ->
 
 
 def chain_quality(mentions: DataFrame, entity: Column) -> DataFrame:
-    """GA-07: how good a chain of mentions is, by its length and its anchored members."""
-    chain = mentions.groupBy("doc_id", entity.alias("entity")).agg(F.count("*").alias("mentions"), F.count("kb_id").alias("anchored"))
-    tier = F.when((F.col("mentions") >= 3) & (F.col("anchored") >= 1), "high").when((F.col("mentions") >= 2), "medium").otherwise("low")
-    return chain.withColumn("quality", tier)
+    """GA-07: confidence in a chain of mentions, by its length and the entities it is anchored at."""
+    chain = mentions.groupBy("doc_id", entity.alias("entity")).agg(F.count("*").alias("mentions"), F.countDistinct("kb_id").alias("anchored"))
+    n, known = F.col("mentions"), F.col("anchored") >= 1
+    return chain.withColumn("confidence", F.when((n >= 5) & known, 0.92).when((n >= 3) & known, 0.82).when(n >= 2, 0.7).otherwise(0.5))
 
 
 def sentence_roots(tokens: DataFrame, deps: DataFrame) -> DataFrame:
@@ -40,11 +40,11 @@ def noun_event_pos(events: DataFrame, tokens: DataFrame) -> DataFrame:
     return events.join(tok, ["doc_id", "start_tok"]).select("doc_id", "id", F.when(F.col("token_pos").startswith("NN"), "NOUN").otherwise(F.col("pos")).alias("pos"))
 
 
-def polarity(events: DataFrame, arguments: DataFrame, frames: DataFrame) -> DataFrame:
-    """MORPH-POL: an event whose frame has a negation argument is negative."""
-    negated = arguments.where("role = 'ARGM-NEG'").select(F.col("frame_id").alias("frame")).distinct()
-    heads = frames.join(negated, F.col("id") == F.col("frame"), "left_semi").select("doc_id", F.col("head_tok").alias("start_tok")).distinct().withColumn("negated", F.lit(True))
-    return events.join(heads, ["doc_id", "start_tok"], "left").select("doc_id", "id", F.when(F.col("negated"), "NEG").otherwise(F.col("polarity")).alias("polarity"))
+def polarity(events: DataFrame, deps: DataFrame) -> DataFrame:
+    """MORPH-POL: an event whose token has a negation beside it in the dependencies, either way, is negative."""
+    neg = deps.where("type = 'neg' and head_tok <> dep_tok")
+    ends = neg.select("doc_id", F.col("head_tok").alias("start_tok")).union(neg.select("doc_id", "dep_tok")).distinct().withColumn("negated", F.lit(True))
+    return events.join(ends, ["doc_id", "start_tok"], "left").select("doc_id", "id", F.when(F.col("negated"), "NEG").otherwise(F.col("polarity")).alias("polarity"))
 
 
 def aligned_frames(frames: DataFrame, at_most: int = 5) -> DataFrame:

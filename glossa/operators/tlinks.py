@@ -144,12 +144,15 @@ def same_value_timexes(timexes: DataFrame) -> DataFrame:
 
 
 def nominal_in_sentence(events: DataFrame, timexes: DataFrame, at_most: int = 8) -> DataFrame:
-    """TL-09: nominal event and the nearest time expression of its sentence -> IS_INCLUDED."""
-    e = usable(events).where(F.col("pos").isin("NN", "NNS", "NNP")).select("doc_id", "sent_idx", F.col("id").alias("event_id"), F.col("start_tok").alias("event_tok"))
-    t = timexes.select("doc_id", "sent_idx", F.col("id").alias("timex_id"), F.col("start_tok").alias("timex_tok"))
-    pairs = e.join(t, ["doc_id", "sent_idx"]).withColumn("distance", F.abs(F.col("event_tok") - F.col("timex_tok"))).where(F.col("distance") <= at_most)
-    best = top1(pairs, ["event_id"], F.col("distance"), F.col("timex_tok"))
-    return best.select("doc_id", "event_id", "timex_id", "distance", F.lit("IS_INCLUDED").alias("rel"), F.lit(0.6).alias("confidence"))
+    """TL-09: nominal event and every date, time and set of its sentence close by -> IS_INCLUDED.
+
+    ``events`` are those that nominal frames gave.  An untyped time expression counts as well.
+    """
+    e = usable(events).select("doc_id", "sent_idx", F.col("id").alias("event_id"), F.col("start_tok").alias("event_tok"))
+    t = timexes.where(F.coalesce("type", F.lit("")).isin("DATE", "TIME", "SET", "")).select("doc_id", "sent_idx", F.col("id").alias("timex_id"), F.col("start_tok").alias("timex_tok"))
+    distance = F.abs(F.col("event_tok") - F.col("timex_tok"))
+    near = e.join(t, ["doc_id", "sent_idx"]).where((F.col("event_tok") != F.col("timex_tok")) & (distance <= at_most))
+    return near.groupBy("doc_id", "event_id", "timex_id").agg(F.min(distance).alias("distance")).select("*", F.lit("IS_INCLUDED").alias("rel"), F.lit(0.6).alias("confidence"))
 
 
 def unanchored(events: DataFrame, anchored: DataFrame) -> DataFrame:
@@ -159,16 +162,9 @@ def unanchored(events: DataFrame, anchored: DataFrame) -> DataFrame:
 
 
 def dct_relation(tense: Column, aspect: Column) -> Column:
-    """TL-06: the relation of a finite verbal event to the document's date."""
-    return (F.when((tense == "PRESENT") & (aspect == "PROGRESSIVE"), "IS_INCLUDED").when(tense == "PAST", "BEFORE").when(tense == "FUTURE", "AFTER").when(tense == "PRESENT", "INCLUDES"))
-
-
-def next_main_event(events: DataFrame) -> DataFrame:
-    """TL-16: first finite event of a sentence and of the next one, related by their tenses."""
-    main = top1(usable(events).where(F.col("pos").startswith("VB") & F.col("tense").isin("PAST", "PRESENT", "FUTURE")), ["doc_id", "sent_idx"], F.col("start_tok"))
-    nxt = main.select("doc_id", (F.col("sent_idx") - 1).alias("sent_idx"), F.col("id").alias("next_id"), F.col("tense").alias("next_tense"))
-    rel = F.when((F.col("tense") == "PAST") & (F.col("next_tense") == "PAST"), "BEFORE").when(F.col("tense") == F.col("next_tense"), "SIMULTANEOUS").when((F.col("tense") == "PAST") | (F.col("next_tense") == "FUTURE"), "BEFORE")
-    return main.join(nxt, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", F.col("id").alias("event_id"), "next_id", rel.alias("rel")).where("rel is not null")
+    """TL-06: the relation of a verbal event to the document's date; a plain present says nothing."""
+    return (F.when(tense == "FUTURE", "AFTER").when((tense == "PRESENT") & (aspect == "PROGRESSIVE"), "IS_INCLUDED")
+            .when((tense == "PAST") | ((tense == "PRESENT") & (aspect == "PERFECTIVE")), "BEFORE").otherwise("VAGUE"))
 
 
 def duration_in_date(timexes: DataFrame, at_most: int = 10) -> DataFrame:

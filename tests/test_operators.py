@@ -18,11 +18,22 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("raw, iso", [("2024-01-05", "2024-01-05"), ("2024", "2024"), ("20240105", "2024-01-05"), ("05/01/2024", "2024-01-05"), ("5 January 2024", "2024-01-05"), ("January 5, 2024", "2024-01-05"), ("soon", "soon"), (None, None)])
+@pytest.mark.parametrize("raw, iso", [("2024-01-05", "2024-01-05"), ("2024", "2024"), ("20240105", "2024-01-05"), ("05/01/2024", "05/01/2024"), ("5 January 2024", "2024-01-05"), ("January 5, 2024", "2024-01-05"), ("Aug. 5 2007", "Aug. 5 2007"), ("Sept 5,  2007", "2007-09-05"), ("August 2007", "2007-08"), ("2007 aug", "2007-08"), ("200708", "2007-08"), ("2007081", "2007-08-1"), ("Foo 5 2007", "Foo 5 2007"), (" soon ", "soon"), (None, "")])
 def test_iso_date(spark, raw, iso):
     assert one(spark, timeml.iso_date(F.lit(raw).cast("string"))) == iso
 
 
+@pytest.mark.parametrize("tense, aspect, rel", [("PRESENT", "NONE", "VAGUE"), ("PRESENT", None, "VAGUE"), ("PRESENT", "PERFECTIVE", "BEFORE"), ("PRESENT", "PROGRESSIVE", "IS_INCLUDED"), ("PAST", "PROGRESSIVE", "BEFORE"), ("FUTURE", "PROGRESSIVE", "AFTER")])
+def test_relation_to_the_creation_date(spark, tense, aspect, rel):
+    assert one(spark, tlinks.dct_relation(F.lit(tense), F.lit(aspect).cast("string"))) == rel
+
+
+def test_nominal_events_link_all_near_expressions(spark):
+    e = spark.createDataFrame([(1, 0, "e", 5, False, False), (1, 0, "merged", 5, False, True)], "doc_id long, sent_idx int, id string, start_tok long, low_confidence boolean, merged boolean")
+    t = spark.createDataFrame([(1, 0, "near", 6, "DATE"), (1, 0, "far", 14, "DATE"), (1, 0, "edge", 13, "SET"), (1, 0, "span", 7, "DURATION"), (1, 1, "other", 6, "TIME")], "doc_id long, sent_idx int, id string, start_tok long, type string")
+    assert rows(tlinks.nominal_in_sentence(e, t).select("event_id", "timex_id", "distance")) == [("e", "edge", 8), ("e", "near", 1)]
+
+
 @pytest.mark.parametrize("raw, name", [("before", "BEFORE"), (" overlap ", "SIMULTANEOUS"), ("measure", "DURING"), ("", "VAGUE"), (None, "VAGUE"), ("odd", "VAGUE")])
 def test_relation_type(spark, raw, name):
     assert one(spark, timeml.relation_type(F.lit(raw).cast("string"))) == name
