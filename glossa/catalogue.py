@@ -102,11 +102,10 @@ def _closure(rounds: int) -> str:
 _ROUNDS = 3
 
 
-@query("tlink_identity_closure", f"WITH {_EDGES}, {_closure(_ROUNDS)} " + " UNION ALL ".join(f"SELECT doc_part, rel, CAST({k} AS BIGINT) AS closure_round, count(*) AS links, round(sum(confidence), 6) AS confidence FROM (SELECT src % 10 AS doc_part, rel, confidence FROM n{k}) GROUP BY 1, 2" for k in range(1, _ROUNDS + 1)))
+@query("tlink_identity_closure", f"""WITH {_EDGES}, {_closure(1)} SELECT src, dst, rel, confidence, CAST(1 AS BIGINT) AS closure_round FROM n1""")
 def tlink_identity_closure(v: Views) -> DataFrame:
-    """TL-CLOSURE: all rounds over all links, as counts; the links themselves come from the operator."""
-    made = tlinks.identity_closure(tlinks.edges(v("g_tlink")), rounds=_ROUNDS)
-    return made.groupBy((F.col("src") % 10).alias("doc_part"), "rel", F.col("closure_round").cast("long").alias("closure_round")).agg(F.count("*").alias("links"), F.round(F.sum("confidence"), 6).alias("confidence"))
+    """TL-CLOSURE, one round over a dense random graph; ``document_identity_closure`` runs all three over documents."""
+    return tlinks.identity_closure(tlinks.edges(v("g_tlink")), rounds=1).withColumn("closure_round", F.col("closure_round").cast("long"))
 
 
 @query("tlink_anchor_flags", f"""WITH {_EDGES} SELECT l_orderkey, l_linenumber, l_extendedprice, src, dst, src <> dst AS anchor_consistency, CASE WHEN src = dst THEN 'self_link' END AS anchor_consistency_reason, suppressed OR src = dst AS suppressed,

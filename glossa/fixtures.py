@@ -53,6 +53,21 @@ FROM {lineitem}""",
     "g_mention": """SELECT e.event_id AS id, e.user_id AS doc_id, concat('u', CAST(e.user_id % 50 AS STRING)) AS surface, e.event_type AS type,
  CASE WHEN e.event_id % 3 = 0 THEN concat('Q', CAST(e.user_id % 40 AS STRING)) ELSE NULL END AS kb_id, CAST(e.event_id % 12 AS INT) AS sent_idx, e.value/100 AS confidence
 FROM {events} e""",
+    "g_event_mention": """SELECT doc_id, concat('em_', id) AS id, id AS tevent_id, start_tok, CASE start_tok % 4 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'SUBORDINATE' WHEN 2 THEN 'COMPLEMENT' ELSE NULL END AS clause_type,
+ CASE start_tok % 3 WHEN 0 THEN 'LOCAL_SCOPE' WHEN 1 THEN 'TEMPORAL_SCOPE' ELSE NULL END AS scope_type, CASE start_tok % 5 WHEN 0 THEN 'ASSERTED' WHEN 1 THEN 'negated' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE 'REPORTED' END AS factuality,
+ CASE WHEN start_tok % 7 = 0 THEN NULL WHEN start_tok % 11 = 0 THEN ' ' ELSE 'event_enrichment' END AS factuality_source, CASE WHEN start_tok % 6 = 0 THEN NULL ELSE 0.7 END AS factuality_confidence,
+ CASE start_tok % 4 WHEN 0 THEN 'ASSERTED' WHEN 1 THEN NULL ELSE 'NEGATED' END AS event_factuality, start_tok % 13 = 0 AS conflict_flag, CASE WHEN start_tok % 9 = 0 THEN concat('r', CAST(start_tok AS STRING)) WHEN start_tok % 8 = 0 THEN '' ELSE NULL END AS external_ref
+FROM {g_tevent} WHERE NOT merged""",
+    "g_glink": """SELECT * FROM (SELECT doc_id, id AS src, lead(id) OVER (PARTITION BY doc_id, sent_idx ORDER BY start_tok) AS dst, CASE start_tok % 7 WHEN 0 THEN 'begin' WHEN 1 THEN 'End' WHEN 2 THEN 'continue' WHEN 3 THEN 'happen' ELSE pred END AS lemma,
+ CASE start_tok % 3 WHEN 0 THEN 'INITIATES' WHEN 1 THEN 'TERMINATES' ELSE NULL END AS rel_type FROM {g_tevent}) x WHERE dst IS NOT NULL""",
+    "g_elink": """SELECT * FROM (SELECT doc_id, id AS src, lead(id) OVER (PARTITION BY doc_id ORDER BY start_tok) AS dst, CASE start_tok % 5 WHEN 2 THEN 'BEFORE' WHEN 3 THEN 'INCLUDES' WHEN 4 THEN 'SIMULTANEOUS' ELSE 'IDENTITY' END AS rel_type,
+ CAST(start_tok % 10 AS DOUBLE) / 10 AS confidence, start_tok % 17 = 0 AS suppressed FROM {g_tevent}) x WHERE dst IS NOT NULL""",
+    "g_signal": "SELECT doc_id, CASE WHEN tok_index_doc % 9 = 0 THEN NULL ELSE text END AS text, tok_index_doc AS start_tok, CASE WHEN tok_index_doc % 14 = 0 THEN NULL ELSE tok_index_doc END AS end_tok FROM {g_token} WHERE pos = 'IN'",
+    "g_timex_mention": """SELECT CASE WHEN start_tok % 29 = 0 THEN NULL ELSE doc_id END AS doc_id, concat('tm_', id) AS id, CASE WHEN start_tok % 31 = 0 THEN NULL ELSE start_tok END AS start_tok, end_tok, CASE WHEN start_tok % 23 = 0 THEN 'none' ELSE id END AS refers_to,
+ CASE WHEN start_tok % 37 = 0 THEN ' t0' WHEN start_tok % 41 = 0 THEN 'dct' ELSE id END AS tid FROM {g_timex}""",
+    "g_timex_candidate": """SELECT a.id AS argument_id, CASE WHEN a.head_tok % 5 = 0 THEN NULL ELSE concat('t', CAST(a.doc_id AS STRING), '_', CAST(a.head_tok AS STRING)) END AS timex_id, CASE WHEN a.head_tok % 7 = 0 THEN '' ELSE '2024-01' END AS value FROM {g_frame_argument} a WHERE a.role = 'ARGM-TMP'""",
+    "g_entity_mention": """SELECT id, doc_id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 5 = 0 THEN '' ELSE 'SPC' END AS ent_class, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN ' ' ELSE 'ill' END AS entity_state, CASE WHEN id % 2 = 0 THEN ' ' ELSE ' ROLE' END AS state_type,
+ id % 10 = 0 AS numeric_label, id % 10 = 1 AS value_label, id % 20 = 1 AS value_tagged FROM {g_mention}""",
     "g_gold": "SELECT doc_id, id, start_tok, end_tok, tense FROM {g_tevent} WHERE NOT merged",
     "g_pred": """SELECT doc_id, id, CASE WHEN start_tok % 5 = 0 THEN start_tok + 1 ELSE start_tok END AS start_tok, CASE WHEN start_tok % 5 = 0 THEN end_tok + 1 ELSE end_tok END AS end_tok, tense
 FROM {g_tevent} WHERE start_tok % 11 <> 0""",
