@@ -99,7 +99,8 @@ def links(fps: DataFrame, max_bits: int = 4, inner: bool = False) -> DataFrame:
                 keys += _wiped(F.col("fp"), [parts[s]], 1000 * p + 100 * s, also, F.lit(p))
     else:
         keys = _wiped(F.col("fp"), parts, 0, zero, F.lit(0))
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.wiped", "k.rest")
+    # The planner takes the index to be as small as the table it is made from, so it may not be broadcast.
+    index = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.wiped", "k.rest").hint("merge")
     a, b = index.select(F.col("fp").alias("a"), "wiped", "rest"), index.select(F.col("fp").alias("b"), "wiped", "rest")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(-1)  # the first key that both have
