@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 #: Chunks whose ids a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 #: Characters that are tokenised at a time.
 _SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,8 +48,7 @@ class ChunkTokenizer:
             raise ValueError("ids are kept in 16 bits")
         self.ends = np.zeros(1 << 16, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _folded(text: str) -> str:
@@ -60,42 +59,34 @@ class ChunkTokenizer:
             return text
         return text if "<|" in text else text.lower()
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, runs: list[str]) -> None:
         """Ids of runs of lower-case letters: each is a word, so its last id is the next that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u2")
-        to = np.nonzero(self.ends[ids])[0] + 1
-        if len(to) != len(parts):
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u2")
+        to = 2 * (np.nonzero(self.ends[ids])[0] + 1)
+        if len(to) != len(runs):
             raise ValueError("the vocabulary has no word ends")
-        raw, at = ids.tobytes(), 0
-        for p, end in zip(parts, to.tolist()):
-            self.parts[p] = raw[2 * at:2 * end]
-            at = end
+        raw, to = ids.tobytes(), to.tolist()
+        self.known.update(zip(runs, (raw[at:end] for at, end in zip([0, *to], to))))
 
-    def _single(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            into[c] = np.array(e.ids, dtype="<u2").tobytes()
+    def _single(self, chunks: list[str]) -> None:
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
+            self.known[c] = np.array(e.ids, dtype="<u2").tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [self._folded(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known, parts = self.known, self.parts
+        known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
-        if len(parts) > _REMEMBERED:
-            parts.clear()
-            parts[""] = b""
+            known[""] = b""
         new = set().union(*chunks).difference(known)
-        plain = {}
-        for c in new:
-            if c.isascii() and c.isalpha():
-                plain[c] = (c.lower(), "")
-            elif m := self._PLAIN.fullmatch(c):
-                plain[c] = (m[1].lower(), m[2])
-        if runs := list({w for w, _ in plain.values()}.difference(parts)):
-            self._learn(runs)
-        self._single(list({t for _, t in plain.values()}.difference(parts)), parts)
-        self._single(list(new.difference(plain)), known)
-        for c, (w, t) in plain.items():
-            known[c] = parts[w] + parts[t]
+        runs = {c for c in new if c.isalpha() and c.isascii() and c.islower()}
+        mixed = {c: (m[1].lower(), m[2]) for c in new.difference(runs) if (m := self._PLAIN.fullmatch(c))}
+        runs.update(w for w, _ in mixed.values() if w not in known)
+        if runs:
+            self._learn(list(runs))
+        alone = {t for _, t in mixed.values()}.union(new).difference(mixed)
+        self._single(list(alone.difference(known)))
+        known.update([(c, known[w] + known[t]) for c, (w, t) in mixed.items()])
         return [np.frombuffer(b"".join(map(known.__getitem__, cs)), dtype="<u2") for cs in chunks]
 
 
