@@ -71,6 +71,17 @@ FROM {g_tevent} WHERE NOT merged""",
     "g_gold": "SELECT doc_id, id, start_tok, end_tok, tense FROM {g_tevent} WHERE NOT merged",
     "g_pred": """SELECT doc_id, id, CASE WHEN start_tok % 5 = 0 THEN start_tok + 1 ELSE start_tok END AS start_tok, CASE WHEN start_tok % 5 = 0 THEN end_tok + 1 ELSE end_tok END AS end_tok, tense
 FROM {g_tevent} WHERE start_tok % 11 <> 0""",
+    "g_lemma": """SELECT doc_id, sent_idx, tok_index_doc, pos, CASE tok_index_doc % 17 WHEN 0 THEN 'say' WHEN 1 THEN 'make' WHEN 2 THEN 'cause' WHEN 3 THEN 'allow' WHEN 4 THEN 'prevent' WHEN 5 THEN 'know' WHEN 6 THEN 'want' WHEN 7 THEN 'begin' WHEN 8 THEN 'remain' WHEN 9 THEN 'price' ELSE lemma END AS lemma FROM {g_token}""",
+    "g_place": "SELECT doc_id, tok_index_doc, CASE WHEN pos = 'IN' AND tok_index_doc % 4 <> 0 THEN 'in' ELSE lemma END AS lemma FROM {g_token}",
+    "g_dep_times": "SELECT doc_id, head_tok, dep_tok, CASE WHEN type = 'advmod' AND dep_tok % 3 = 0 THEN 'pobj' WHEN type = 'advmod' AND dep_tok % 3 = 1 THEN 'npadvmod' ELSE type END AS type FROM {g_dep}",
+    "g_timex_week": "SELECT doc_id, id, start_tok, end_tok, CASE WHEN start_tok % 2 = 0 THEN 'Last week' ELSE 'this week' END AS text, CASE WHEN start_tok % 5 = 0 THEN value ELSE '2024-W12' END AS value FROM {g_timex}",
+    "g_merge": "SELECT doc_id, id, merged, CASE WHEN merged THEN lead(id) OVER (PARTITION BY doc_id ORDER BY start_tok) END AS merged_into FROM {g_tevent}",
+    "g_link": """SELECT doc_id, id AS src, dst FROM (SELECT doc_id, id, start_tok, lead(id) OVER (PARTITION BY doc_id ORDER BY start_tok) AS dst FROM (SELECT doc_id, id, start_tok FROM {g_tevent} UNION ALL SELECT doc_id, id, start_tok FROM {g_timex}) u) x WHERE dst IS NOT NULL AND start_tok % 5 = 0""",
+    "g_relation": """SELECT * FROM (SELECT doc_id, kind AS src_kind, start_tok AS src_tok, lag(kind) OVER (PARTITION BY doc_id ORDER BY start_tok) AS dst_kind, lag(start_tok) OVER (PARTITION BY doc_id ORDER BY start_tok) AS dst_tok,
+ CASE start_tok % 7 WHEN 0 THEN 'before' WHEN 1 THEN 'AFTER' WHEN 2 THEN 'INCLUDES' WHEN 3 THEN 'BEGUN_BY' WHEN 4 THEN ' during' WHEN 5 THEN 'SIMULTANEOUS' ELSE NULL END AS rel_type FROM (SELECT doc_id, start_tok, 'event' AS kind FROM {g_tevent} UNION ALL SELECT doc_id, start_tok, 'timex' FROM {g_timex}) u) x WHERE dst_tok IS NOT NULL""",
+    "g_aligned": "SELECT concat('f', CAST(doc_id AS STRING), '_', CAST(head_tok AS STRING)) AS verb_frame, concat('f', CAST(doc_id AS STRING), '_', CAST(dep_tok AS STRING)) AS noun_frame FROM {g_dep} WHERE type = 'dobj'",
+    "g_syntax": "SELECT id, doc_id, CASE id % 5 WHEN 0 THEN 'pro' WHEN 1 THEN 'NOMINAL' WHEN 2 THEN 'nom' ELSE 'NAM' END AS syntactic_type FROM {g_mention}",
+    "g_coref": "SELECT src, dst FROM (SELECT id AS src, lead(id) OVER (PARTITION BY doc_id, type ORDER BY id) AS dst FROM {g_mention} WHERE kb_id IS NOT NULL) x WHERE dst IS NOT NULL",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")
