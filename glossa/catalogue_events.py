@@ -157,7 +157,7 @@ def endpoint_contract_violations(v: Views) -> DataFrame:
     e = v("g_tlink")
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("label", F.expr(_LABEL))
     pairs = [(a, b) for a in ("TEvent", "TIMEX") for b in ("TEvent", "TIMEX")]
-    return reports.endpoint_violations(e, nodes, e.sparkSession.createDataFrame(pairs, "source_label string, target_label string"), F.col("rule_id"))
+    return reports.endpoint_violations(e, nodes, pairs, F.col("rule_id"))
 
 
 @query("temporal_anchor_gaps", """WITH a AS (SELECT doc_id, id FROM g_tevent UNION SELECT doc_id, id FROM g_timex), l AS (SELECT id FROM g_tevent WHERE NOT low_confidence AND NOT merged UNION SELECT id FROM g_timex WHERE type = 'DATE'), p AS (SELECT doc_id, count(*) AS total_anchors, count(l.id) AS connected_anchor_count FROM a LEFT JOIN l ON l.id = a.id GROUP BY 1)

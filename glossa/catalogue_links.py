@@ -57,7 +57,7 @@ SELECT mention_id, label, score, CASE WHEN score < 0.3 THEN 'rejected' WHEN scor
 def kb_candidate_choice(v: Views) -> DataFrame:
     """ING-KBSCORE: every mention against five candidate names."""
     m, n = v("g_mention"), v("nation")
-    c = m.join(F.broadcast(n), F.col("n_nationkey") % 5 == F.col("id") % 5).select(F.col("id").alias("mention_id"), "surface", F.col("n_name").alias("label"))
+    c = m.join(n, F.col("n_nationkey") % 5 == F.col("id") % 5).select(F.col("id").alias("mention_id"), "surface", F.col("n_name").alias("label"))
     return linking.kb_scores(c)
 
 

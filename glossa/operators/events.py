@@ -25,7 +25,7 @@ def core_participants(arguments: DataFrame, frames: DataFrame, events: DataFrame
     a = arguments.where(F.col("role").isin(*roles)).select("doc_id", F.col("id").alias("argument_id"), "role", "frame_id")
     placed = a.join(frames.select(F.col("id").alias("frame_id"), F.col("head_tok").alias("frame_tok")), "frame_id")
     e = events.select("doc_id", F.col("id").alias("event_id"), F.col("start_tok").alias("event_tok"))
-    return nearest(placed, e, ["doc_id"], "frame_tok", "event_tok", at_most, F.col("event_tok")).select("doc_id", "argument_id", "role", "event_id", "distance")
+    return nearest(placed, e, ["doc_id"], ["argument_id", "frame_id"], "frame_tok", "event_tok", at_most, F.col("event_tok")).select("doc_id", "argument_id", "role", "event_id", "distance")
 
 
 def causal_links(arguments: DataFrame, frames: DataFrame, events: DataFrame) -> DataFrame:

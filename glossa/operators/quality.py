@@ -12,7 +12,7 @@ def checks(counts: DataFrame, minimum: dict[str, float] | None = None, maximum:
     """
     bounds = [(m, float(b), "minimum") for m, b in (minimum or {}).items()] + [(m, float(b), "maximum") for m, b in (maximum or {}).items()]
     frame = counts.sparkSession.createDataFrame(bounds, "label string, bound double, kind string")
-    joined = F.broadcast(frame).join(counts, F.col("label") == F.col("metric"), "left").withColumn("actual", F.coalesce("item_count", F.lit(0)).cast("double"))
+    joined = frame.join(counts, F.col("label") == F.col("metric"), "left").withColumn("actual", F.coalesce("item_count", F.lit(0)).cast("double"))
     return joined.select("label", "actual", "bound", "kind", F.when(F.col("kind") == "minimum", F.col("actual") >= F.col("bound")).otherwise(F.col("actual") <= F.col("bound")).alias("passed"))
 
 

@@ -13,18 +13,18 @@ def top1(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_pos: str, right_pos: str, at_most: int, *tie: Column) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], key: Sequence[str], left_pos: str, right_pos: str, at_most: int, *tie: Column) -> DataFrame:
     """For each left row the closest right row of the same keys within ``at_most`` positions (P-NEAREST).
 
     Positions are bucketed as wide as the limit, so that a hot key is spread over its buckets and a
-    left row meets three buckets at most.  ``right`` has no other columns in common with ``left``
-    but the keys; ``tie`` breaks equal distances.
+    left row meets three buckets at most.  ``key`` tells the left rows apart.  ``right`` has no other
+    columns in common with ``left`` but those of ``on``; ``tie`` breaks equal distances.
     """
     bucket = lambda c: F.floor(F.col(c) / max(1, at_most))
-    l = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bucket", F.explode(F.sequence(bucket(left_pos) - 1, bucket(left_pos) + 1)))  # noqa: E741
+    l = left.withColumn("_bucket", F.explode(F.sequence(bucket(left_pos) - 1, bucket(left_pos) + 1)))  # noqa: E741
     r = right.withColumn("_bucket", bucket(right_pos))
     met = l.join(r, [*on, "_bucket"]).withColumn("distance", F.abs(F.col(left_pos) - F.col(right_pos))).where(F.col("distance") <= at_most)
-    return top1(met, ["_row"], F.col("distance"), *tie).drop("_row", "_bucket")
+    return top1(met, [*on, *key], F.col("distance"), *tie).drop("_bucket")
 
 
 def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_pos: str, right_pos: str, at_most: int) -> DataFrame:

@@ -56,7 +56,7 @@ def test_nearest_against_brute_force(spark):
     rnd = random.Random(3)
     left = [(d, rnd.randrange(400), i) for i, d in enumerate(rnd.choices("ab", k=60))]
     right = [(d, rnd.randrange(400), 1000 + i) for i, d in enumerate(rnd.choices("ab", k=60))]
-    got = prims.nearest(spark.createDataFrame(left, "d string, x long, i long"), spark.createDataFrame(right, "d string, y long, j long"), ["d"], "x", "y", 9, F.col("j"))
+    got = prims.nearest(spark.createDataFrame(left, "d string, x long, i long"), spark.createDataFrame(right, "d string, y long, j long"), ["d"], ["i"], "x", "y", 9, F.col("j"))
     want = [(i, min((abs(x - y), j) for dd, y, j in right if dd == d and abs(x - y) <= 9)) for d, x, i in left if any(dd == d and abs(x - y) <= 9 for dd, y, _ in right)]
     assert rows(got.select("i", "distance", "j")) == sorted((i, a, j) for i, (a, j) in want)
 
