@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import labels
 from .operators import enrich, events
 from .registry import Views, query
 
@@ -162,3 +163,18 @@ def relation_keys(v: Views) -> DataFrame:
 def orphan_mentions(v: Views) -> DataFrame:
     """ENT-ORPHAN: pronouns and nominals by their coreferences."""
     return enrich.orphan_mentions(v("g_syntax"), v("g_coref"))
+
+
+@query("propbank_role_names", """SELECT role_name, is_core, is_modifier, count(*) AS arguments FROM (SELECT role_name, coalesce(role_name IN ('agent','patient','instrument','recipient','attribute','location'), false) AS is_core, coalesce(role_name IN ('temporal','locative','manner','purpose','cause'), false) AS is_modifier
+FROM (SELECT CASE role WHEN 'ARG0' THEN 'agent' WHEN 'ARG1' THEN 'patient' WHEN 'ARG2' THEN 'instrument' WHEN 'ARG3' THEN 'recipient' WHEN 'ARG4' THEN 'attribute' WHEN 'ARG5' THEN 'location' WHEN 'ARGM-TMP' THEN 'temporal' WHEN 'ARGM-LOC' THEN 'locative' WHEN 'ARGM-MNR' THEN 'manner' WHEN 'ARGM-PRP' THEN 'purpose' WHEN 'ARGM-CAU' THEN 'cause' END AS role_name FROM g_frame_argument) x) y GROUP BY 1, 2, 3""")
+def propbank_role_names(v: Views) -> DataFrame:
+    """FN-PROPROLE: arguments by the name of their role."""
+    named = v("g_frame_argument").select(labels.propbank_role(F.col("role")).alias("role_name"))
+    return named.groupBy("role_name", labels.is_core_role(F.col("role_name")).alias("is_core"), labels.is_modifier_role(F.col("role_name")).alias("is_modifier")).agg(F.count("*").alias("arguments"))
+
+
+@query("syntactic_types", """SELECT type, CASE type WHEN 'NOM' THEN 'NOMINAL' WHEN '' THEN 'NOMINAL' ELSE type END AS former_type, count(*) AS mentions FROM (SELECT CASE WHEN t = 'NOMINAL' THEN 'NOM' WHEN t = 'PROPER' THEN 'NAM' WHEN t = 'PRONOMINAL' THEN 'PRO' WHEN t IN ('NAM','NOM','PRO','PTV','PRE','HLS','CONJ','APP','ARC') THEN t ELSE '' END AS type FROM (SELECT upper(trim(syntactic_type)) AS t FROM g_syntax) x) y GROUP BY 1""")
+def syntactic_types(v: Views) -> DataFrame:
+    """FN-STYPENORM: mentions by syntactic type and its older name."""
+    kinds = v("g_syntax").groupBy(labels.syntactic_type(F.col("syntactic_type")).alias("type")).agg(F.count("*").alias("mentions"))
+    return kinds.select("type", labels.former_syntactic_type(F.col("type")).alias("former_type"), "mentions")

@@ -5,7 +5,7 @@ from glossa.operators import enrich
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,15 @@ def test_purge_preview_and_orphans(make):
     assert {r.rule_id: (r.purged, r.kept) for r in enrich.purge_counts(g).collect()} == {"inverse_consistency": (1, 0), "xml_e2e_seed": (1, 1), None: (0, 1)}
     m = make([(1, 1, "pro"), (2, 1, "nom"), (3, 1, "NAM")], "id long, doc_id long, syntactic_type string")
     assert rows(enrich.orphan_mentions(m, make([(7, 2)], "src long, dst long"))) == [(1, 1, False), (1, 2, True)]
+
+
+def test_labels(make):
+    from pyspark.sql import functions as F
+
+    from glossa.functions import labels
+
+    d = make([(1, " nominal", ["Entity", "TEvent"], "Motion", "Goal"), (2, "pro", ["TIMEX", "TEvent"], "Motion", "Owner"), (3, None, ["Signal"], None, "Goal"), (4, "x", None, "Possession", "Owner")], "i long, t string, l array<string>, f string, e string")
+    t = labels.syntactic_type(F.col("t"))
+    got = d.select("i", t, labels.former_syntactic_type(t), labels.node_kind(F.col("l")), labels.framenet_role(F.col("f"), F.col("e")))
+    assert rows(got) == [(1, "NOM", "NOMINAL", "event", "recipient"), (2, "PRO", "PRO", "timex", None), (3, "", "NOMINAL", None, None), (4, "", "NOMINAL", None, "agent")]
+    assert rows(make([(" gpe ",), ("Person",), ("date",), (None,)], "l string").select("l", labels.entity_class(F.col("l")))) == sorted([(" gpe ", "LOC"), ("Person", "PER"), ("date", "DATE"), (None, "")], key=repr)
