@@ -8,7 +8,7 @@ import importlib
 from pyspark import cloudpickle
 
 #: Modules whose functions run in tasks.
-_SHIPPED = ("chargram", "common", "decontam", "html", "packing", "simhash", "toxicity", "urls")
+_SHIPPED = ("chargram", "common", "decontam", "fptree", "html", "packing", "parttrie", "simhash", "toxicity", "urls")
 
 for _name in _SHIPPED:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

@@ -42,3 +42,34 @@ wh_ref AS (SELECT * FROM wr UNION ALL SELECT lang, '', 1 - sum(q) FROM wr GROUP
 {distance('wd', 'wh', f'n_words >= {limits.min_judged_words}', limits.max_word_distance)}
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(cd.far, false) AND NOT coalesce(wd.far, false) AS kept
 FROM base b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)"""
+
+
+DEDUP_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) AS i, count(*) OVER (PARTITION BY text) AS n, max(doc_id) OVER (PARTITION BY text) AS keep_id FROM t)
+SELECT doc_id, keep_id, n AS group_size, i = 1 AS kept, sha256(text) AS text_sha256 FROM r"""
+
+SEARCH_SQL = r"""WITH tk AS MATERIALIZED (SELECT doc_id, i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT doc_id, text, row_number() OVER () AS i FROM documents)),
+dn AS (SELECT i, any_value(doc_id) AS doc_id, count(*) AS n FROM tk GROUP BY i),
+g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM dn),
+f AS MATERIALIZED (SELECT i, t, count(*) AS tf FROM tk GROUP BY 1, 2),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY t, n_docs),
+s AS (SELECT item_id, dn.doc_id, f.i, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN dn ON dn.i = f.i, g GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+
+def codes_sql(entries: int = 256, rounds: int = 4, parts: int = 4) -> str:
+    """Codes of vectors: every part against every entry, round by round."""
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) AS i, vec_id, label, x, len(x) // {parts} AS d FROM (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)),
+pt AS MATERIALIZED (SELECT i, p, x[p * d + 1:(p + 1) * d] AS x FROM v, range({parts}) r(p)),
+b0 AS MATERIALIZED (SELECT p, i - 1 AS e, x FROM pt WHERE i <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT i, p, min(s).e AS e, min(s).s AS s, any_value(x) AS x FROM (SELECT pt.i, pt.p, pt.x, {{'s': CAST(list_sum(list_transform(list_zip(pt.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': b.e}} AS s FROM pt JOIN b{r} b USING (p)) GROUP BY i, p)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM (SELECT p, e, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""WITH {', '.join(steps)},
+c AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(s) AS BIGINT) AS error FROM a{rounds} GROUP BY i),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (i), h"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, oracle, packing, pii, quality, secrets, simhash, toxicity, urls
+from . import blocknames, chat, decontam, fptree, html, oracle, packing, parttrie, pii, quality, secrets, simhash, toxicity, urls
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -64,9 +64,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parttrie.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules, "op2_url_filter": op2_url_filter, "op3_pii": op3_pii, "op4_html_text": op4_html_text, "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash,
+    "op11_exact_dedup": op11_exact_dedup, "op12_vector_codes": op12_vector_codes, "op13_lexical_search": op13_lexical_search,
 }
 
 _CONTROL = r"(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\\)"
@@ -74,6 +87,9 @@ _CONTROL = r"(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\\)"
 #: DuckDB texts of the queries that SQL can express: no trained model, tokenizer, graph cut, simhash or match positions.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.quality_sql(),
+    "op11_exact_dedup": oracle.DEDUP_SQL,
+    "op12_vector_codes": oracle.codes_sql(),
+    "op13_lexical_search": oracle.SEARCH_SQL,
     "op5_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 o AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, 'start') AS before, lead(role) OVER w AS after FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
