@@ -82,6 +82,20 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
     "g_aligned": "SELECT concat('f', CAST(doc_id AS STRING), '_', CAST(head_tok AS STRING)) AS verb_frame, concat('f', CAST(doc_id AS STRING), '_', CAST(dep_tok AS STRING)) AS noun_frame FROM {g_dep} WHERE type = 'dobj'",
     "g_syntax": "SELECT id, doc_id, CASE id % 5 WHEN 0 THEN 'pro' WHEN 1 THEN 'NOMINAL' WHEN 2 THEN 'nom' ELSE 'NAM' END AS syntactic_type FROM {g_mention}",
     "g_coref": "SELECT src, dst FROM (SELECT id AS src, lead(id) OVER (PARTITION BY doc_id, type ORDER BY id) AS dst FROM {g_mention} WHERE kb_id IS NOT NULL) x WHERE dst IS NOT NULL",
+    "g_char": """SELECT doc_id, tok_index_doc, sent_idx, text, lemma, pos, start_char, start_char + length(text) AS end_char FROM (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY tok_index_doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM {g_token}) x""",
+    "g_ttk_event": """SELECT c.doc_id, c.tok_index_doc AS tok, concat('e', CAST(c.tok_index_doc AS STRING)) AS eid, CASE WHEN c.tok_index_doc % 11 = 0 THEN NULL ELSE concat('ei', CAST(c.tok_index_doc AS STRING)) END AS eiid, c.start_char - CASE WHEN c.tok_index_doc % 3 = 1 THEN 1 ELSE 0 END AS begin_char,
+ c.end_char + CASE c.tok_index_doc % 4 WHEN 0 THEN 9 WHEN 1 THEN -1 ELSE 0 END AS end_char, CASE WHEN c.tok_index_doc % 13 = 0 THEN 'was' WHEN c.tok_index_doc % 14 = 0 THEN 'statement' ELSE c.lemma END AS form, CASE WHEN c.tok_index_doc % 9 = 0 THEN 'JJ' ELSE c.pos END AS pos,
+ CASE WHEN c.tok_index_doc % 5 = 2 THEN 'past' WHEN c.tok_index_doc % 5 = 3 THEN 'odd' ELSE e.tense END AS tense, e.aspect, CASE WHEN c.tok_index_doc % 7 = 0 THEN NULL ELSE e.polarity END AS polarity FROM {g_tevent} e JOIN {g_char} c ON c.doc_id = e.doc_id AND c.tok_index_doc = e.start_tok""",
+    "g_ttk_timex": """SELECT c.doc_id, c.tok_index_doc AS tok, concat('t', CAST(c.tok_index_doc AS STRING)) AS tid, c.start_char AS begin_char, c.end_char + CASE WHEN c.tok_index_doc % 3 = 0 THEN 12 ELSE 0 END AS end_char, t.type, t.value, c.text, CASE WHEN c.tok_index_doc % 8 = 0 THEN 'CREATION_TIME' ELSE NULL END AS function_in_document FROM {g_timex} t JOIN {g_char} c ON c.doc_id = t.doc_id AND c.tok_index_doc = t.start_tok""",
+    "g_ttk_signal": "SELECT doc_id, tok_index_doc AS tok, CASE WHEN tok_index_doc % 5 = 0 THEN NULL ELSE concat('s', CAST(tok_index_doc AS STRING)) END AS sid, start_char AS begin_char, end_char - CASE WHEN tok_index_doc % 7 = 0 THEN 1 ELSE 0 END AS end_char, text FROM {g_char} WHERE pos = 'IN'",
+    "g_ttk_link": """SELECT doc_id, concat('l', CAST(tok AS STRING)) AS lid, kind, name, lead(kind) OVER w AS next_kind, lead(name) OVER w AS next_name, CASE tok % 6 WHEN 0 THEN 'BEFORE' WHEN 1 THEN 'IS_INCLUDED' WHEN 2 THEN 'DURING' WHEN 3 THEN 'measure' WHEN 4 THEN 'ENDS' ELSE 'SIMULTANEOUS' END AS rel_type
+ FROM (SELECT doc_id, tok, 'event' AS kind, coalesce(eiid, concat('e_', eid, '_', CAST(begin_char AS STRING))) AS name FROM {g_ttk_event} UNION ALL SELECT doc_id, tok, 'timex', tid FROM {g_ttk_timex}) x WHERE tok % 2 = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY tok, kind)""",
+    "g_ttk": """SELECT doc_id, concat('<ttk>', string_agg(x, ''), '</ttk>') AS xml FROM (
+ SELECT doc_id, concat('<EVENT eid="', eid, '"', CASE WHEN eiid IS NULL THEN '' ELSE concat(' eiid="', eiid, '"') END, ' begin="', CAST(begin_char AS STRING), '" end="', CAST(end_char AS STRING), '" form="', replace(replace(replace(replace(form, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '" pos="', pos, '" tense="', coalesce(tense, ''), '" aspect="', coalesce(aspect, ''), '" polarity="', coalesce(polarity, ''), '"/>') AS x FROM {g_ttk_event}
+ UNION ALL SELECT doc_id, concat('<ns:TIMEX3 tid="', tid, '" begin="', CAST(begin_char AS STRING), '" end="', CAST(end_char AS STRING), '" type="', type, '" value="', value, '"', CASE WHEN function_in_document IS NULL THEN '' ELSE concat(' functionInDocument="', function_in_document, '"') END, '>', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</ns:TIMEX3>') FROM {g_ttk_timex}
+ UNION ALL SELECT doc_id, concat('<SIGNAL', CASE WHEN sid IS NULL THEN '' ELSE concat(' sid="', sid, '"') END, ' begin="', CAST(begin_char AS STRING), '" end="', CAST(end_char AS STRING), '">', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</SIGNAL>') FROM {g_ttk_signal}
+ UNION ALL SELECT doc_id, concat('<TLINK lid="', lid, '" relType="', rel_type, '" ', CASE kind WHEN 'event' THEN 'eventInstanceID' ELSE 'timeID' END, '="', name, '" ', CASE next_kind WHEN 'event' THEN 'relatedToEventInstance' ELSE 'relatedToTime' END, '="', next_name, '"/>') FROM {g_ttk_link} WHERE next_name IS NOT NULL
+ UNION ALL SELECT doc_id, concat('<GLINK relType="', rel_type, '" sourceEventInstance="', name, '" relatedToEventInstance="', next_name, '"/>') FROM {g_ttk_link} WHERE kind = 'event' AND next_kind = 'event') y GROUP BY doc_id""",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")

@@ -40,6 +40,19 @@ def span_tokens(spans: DataFrame, tokens: DataFrame, doc: str = "doc_id", start:
     return spans.withColumn(tok, F.explode(F.sequence(F.col(start), F.col(end)))).join(tokens, [doc, tok])
 
 
+def enclosed_tokens(spans: DataFrame, tokens: DataFrame, on: Sequence[str], key: Sequence[str], width: int = 64) -> DataFrame:
+    """``spans`` (start_char, end_char) with start_tok and end_tok, the first and last token wholly inside (P-JOIN-RANGE).
+
+    Characters are put into buckets of ``width``, so the join is by equality and a long document is
+    spread; a span meets the buckets it reaches into.  Spans without a token have nulls.
+    """
+    keys = [*on, *key]
+    cut = spans.where("end_char >= start_char").select(*keys, F.col("start_char").alias("_from"), F.col("end_char").alias("_to"), F.explode(F.sequence(F.floor(F.col("start_char") / width), F.floor(F.col("end_char") / width))).alias("_bucket"))
+    t = tokens.select(*on, F.floor(F.col("start_char") / width).alias("_bucket"), "start_char", "end_char", "tok_index_doc")
+    inside = cut.join(t, [*on, "_bucket"]).where("start_char >= _from AND end_char <= _to").groupBy(*keys).agg(F.min("tok_index_doc").alias("start_tok"), F.max("tok_index_doc").alias("end_tok"))
+    return spans.join(inside, keys, "left")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], policy: str, confidence: str = "confidence") -> DataFrame:
     """Merge rows by key (P-UPSERT).
 
