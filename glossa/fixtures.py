@@ -96,6 +96,13 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
  UNION ALL SELECT doc_id, concat('<SIGNAL', CASE WHEN sid IS NULL THEN '' ELSE concat(' sid="', sid, '"') END, ' begin="', CAST(begin_char AS STRING), '" end="', CAST(end_char AS STRING), '">', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</SIGNAL>') FROM {g_ttk_signal}
  UNION ALL SELECT doc_id, concat('<TLINK lid="', lid, '" relType="', rel_type, '" ', CASE kind WHEN 'event' THEN 'eventInstanceID' ELSE 'timeID' END, '="', name, '" ', CASE next_kind WHEN 'event' THEN 'relatedToEventInstance' ELSE 'relatedToTime' END, '="', next_name, '"/>') FROM {g_ttk_link} WHERE next_name IS NOT NULL
  UNION ALL SELECT doc_id, concat('<GLINK relType="', rel_type, '" sourceEventInstance="', name, '" relatedToEventInstance="', next_name, '"/>') FROM {g_ttk_link} WHERE kind = 'event' AND next_kind = 'event') y GROUP BY doc_id""",
+    "g_frame_kind": """SELECT doc_id, id, head_tok, pred, framework, confidence, CASE head_tok % 4 WHEN 0 THEN '01' WHEN 1 THEN '02' ELSE NULL END AS sense, confidence AS sense_conf, head_tok % 23 = 0 AS provisional, head_tok % 6 = 5 AS is_light_verb_host FROM {g_frame}""",
+    "g_align": """SELECT verb_frame AS canonical, noun_frame AS secondary FROM {g_aligned} UNION SELECT canonical, secondary FROM (SELECT id AS canonical, lead(id) OVER (PARTITION BY doc_id, sent_idx ORDER BY head_tok) AS secondary, head_tok FROM {g_frame}) x WHERE secondary IS NOT NULL AND head_tok % 5 <> 0
+ UNION SELECT secondary, canonical FROM (SELECT id AS canonical, lead(id) OVER (PARTITION BY doc_id, sent_idx ORDER BY head_tok) AS secondary, head_tok FROM {g_frame}) x WHERE secondary IS NOT NULL AND head_tok % 9 = 4""",
+    "g_event_field": """SELECT id, doc_id, start_tok, CASE WHEN start_tok % 4 = 0 THEN NULL ELSE polarity END AS polarity, CASE start_tok % 5 WHEN 0 THEN 'spacy' WHEN 1 THEN ' TTK ' WHEN 2 THEN 'refinement' ELSE NULL END AS polarity_source, CASE WHEN start_tok % 3 = 0 THEN NULL ELSE CAST(start_tok % 10 AS DOUBLE) / 10 END AS polarity_confidence FROM {g_tevent}""",
+    "g_said_field": """SELECT id AS event_id, CASE start_tok % 6 WHEN 0 THEN 'NEG' WHEN 1 THEN 'POS' WHEN 2 THEN NULL ELSE polarity END AS polarity FROM {g_tevent} UNION ALL SELECT id, 'neg' FROM {g_tevent} WHERE start_tok % 7 = 0""",
+    "g_particle": "SELECT doc_id, sent_idx, tok_index_doc, text, lemma, CASE WHEN pos = 'IN' THEN 'RP' ELSE pos END AS pos FROM {g_token}",
+    "g_dep_wide": "SELECT doc_id, head_tok, dep_tok, CASE WHEN dep_tok > head_tok THEN 'prt' ELSE 'amod' END AS type FROM (SELECT doc_id, head_tok, dep_tok FROM {g_dep} WHERE type IN ('prep', 'advmod') UNION ALL SELECT doc_id, dep_tok + 2, dep_tok FROM {g_dep} WHERE type = 'det') x WHERE head_tok <> dep_tok",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")
@@ -130,7 +137,6 @@ def with_views(sql: str) -> str:
     need(sql)
     ctes = [f"{name} AS MATERIALIZED ({_REF.sub(r'\1', VIEWS[name].replace('<TOK>', _TOK['duckdb']))})" for name in needed]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        ctes, body = [*ctes, body[5:].lstrip()], ""
-        return "WITH " + ", ".join(ctes)
+    if own := re.match(r"WITH (RECURSIVE )?", body, re.IGNORECASE):
+        return f"WITH {(own[1] or '').upper()}" + ", ".join([*ctes, body[own.end():].lstrip()])
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
