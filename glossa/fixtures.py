@@ -103,6 +103,10 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
     "g_said_field": """SELECT id AS event_id, CASE start_tok % 6 WHEN 0 THEN 'NEG' WHEN 1 THEN 'POS' WHEN 2 THEN NULL ELSE polarity END AS polarity FROM {g_tevent} UNION ALL SELECT id, 'neg' FROM {g_tevent} WHERE start_tok % 7 = 0""",
     "g_particle": "SELECT doc_id, sent_idx, tok_index_doc, text, lemma, CASE WHEN pos = 'IN' THEN 'RP' ELSE pos END AS pos FROM {g_token}",
     "g_dep_wide": "SELECT doc_id, head_tok, dep_tok, CASE WHEN dep_tok > head_tok THEN 'prt' ELSE 'amod' END AS type FROM (SELECT doc_id, head_tok, dep_tok FROM {g_dep} WHERE type IN ('prep', 'advmod') UNION ALL SELECT doc_id, dep_tok + 2, dep_tok FROM {g_dep} WHERE type = 'det') x WHERE head_tok <> dep_tok",
+    "g_token_nom": "SELECT t.doc_id, t.sent_idx, t.tok_index_doc, t.text, l.lemma, CASE WHEN t.tok_index_doc % 16 = 0 THEN ',' ELSE t.pos END AS pos FROM {g_token} t JOIN {g_lemma} l ON l.doc_id = t.doc_id AND l.tok_index_doc = t.tok_index_doc",
+    "g_dep_nom": """SELECT doc_id, tok_index_doc - CASE WHEN tok_index_sent % 4 = 0 THEN tok_index_sent ELSE 1 END AS head_tok, tok_index_doc AS dep_tok, CASE WHEN pos = 'DT' THEN 'det' WHEN pos IN ('NN', 'NNS', 'NNP') THEN CASE tok_index_doc % 3 WHEN 0 THEN 'appos' WHEN 1 THEN 'conj' ELSE 'attr' END ELSE 'dep' END AS type FROM {g_token}""",
+    "g_nom_entity": "SELECT DISTINCT concat('n', text) AS id, CASE WHEN length(text) % 2 = 0 THEN 'NOMINAL' ELSE 'NAM' END AS syntactic_type, text, text AS head, CAST(NULL AS BIGINT) AS head_tok FROM {g_token}",
+    "g_nom_argument": "SELECT doc_id, id, CASE WHEN head_tok % 5 = 0 THEN NULL ELSE head END AS text, head, CASE WHEN head_tok % 7 = 0 THEN NULL ELSE head_tok END AS head_tok, head_tok AS start_tok, head_tok + head_tok % 3 AS end_tok, concat('n', head) AS entity_id FROM {g_frame_argument} WHERE head_tok % 4 <> 0",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")
