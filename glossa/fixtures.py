@@ -107,6 +107,14 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
     "g_dep_nom": """SELECT doc_id, tok_index_doc - CASE WHEN tok_index_sent % 4 = 0 THEN tok_index_sent ELSE 1 END AS head_tok, tok_index_doc AS dep_tok, CASE WHEN pos = 'DT' THEN 'det' WHEN pos IN ('NN', 'NNS', 'NNP') THEN CASE tok_index_doc % 3 WHEN 0 THEN 'appos' WHEN 1 THEN 'conj' ELSE 'attr' END ELSE 'dep' END AS type FROM {g_token}""",
     "g_nom_entity": "SELECT DISTINCT concat('n', text) AS id, CASE WHEN length(text) % 2 = 0 THEN 'NOMINAL' ELSE 'NAM' END AS syntactic_type, text, text AS head, CAST(NULL AS BIGINT) AS head_tok FROM {g_token}",
     "g_nom_argument": "SELECT doc_id, id, CASE WHEN head_tok % 5 = 0 THEN NULL ELSE head END AS text, head, CASE WHEN head_tok % 7 = 0 THEN NULL ELSE head_tok END AS head_tok, head_tok AS start_tok, head_tok + head_tok % 3 AS end_tok, concat('n', head) AS entity_id FROM {g_frame_argument} WHERE head_tok % 4 <> 0",
+    "g_eval_gold": """SELECT doc_id * 100000 + sent_idx AS doc_id, 'event' AS kind, start_tok, start_tok + start_tok % 3 AS end_tok, concat('tense=', coalesce(tense, 'NONE')) AS attr FROM {g_tevent} UNION ALL SELECT doc_id * 100000 + sent_idx, 'timex', start_tok, start_tok + start_tok % 2, concat('type=', type) FROM {g_timex}
+ UNION ALL SELECT doc_id * 100000 + sent_idx, 'entity', tok_index_doc, tok_index_doc + CASE WHEN tok_index_doc % 5 = 0 THEN 6 ELSE tok_index_doc % 3 END, CASE WHEN tok_index_doc % 5 = 0 THEN 'syntactic_type=CONJ' ELSE 'syntactic_type=NAM' END FROM {g_token} WHERE pos IN ('NNP', 'NNS')""",
+    "g_eval_pred": """SELECT doc_id, kind, CASE WHEN start_tok % 5 = 1 THEN start_tok + 1 ELSE start_tok END AS start_tok, CASE WHEN start_tok % 4 = 1 THEN end_tok + 2 ELSE end_tok + CASE WHEN start_tok % 5 = 1 THEN 1 ELSE 0 END END AS end_tok, CASE WHEN start_tok % 7 = 0 THEN concat(attr, 'X') ELSE attr END AS attr FROM {g_eval_gold} WHERE start_tok % 6 <> 2 AND NOT attr LIKE '%CONJ'
+ UNION ALL SELECT doc_id, kind, start_tok - 1, end_tok, attr FROM {g_eval_gold} WHERE start_tok % 9 = 4""",
+    "g_eval_gold_rel": """SELECT doc_id, kind, source_kind, ss, se, target_kind, ts, te, attr FROM (SELECT doc_id, CASE WHEN start_tok % 4 = 3 THEN 'glink' ELSE 'tlink' END AS kind, kind AS source_kind, start_tok AS ss, end_tok AS se, lead(kind) OVER w AS target_kind, lead(start_tok) OVER w AS ts, lead(end_tok) OVER w AS te,
+ CASE start_tok % 5 WHEN 0 THEN 'reltype=BEFORE' WHEN 1 THEN 'reltype=includes' WHEN 2 THEN 'reltype=AFTER' WHEN 3 THEN 'reltype=SIMULTANEOUS' ELSE 'reltype=ENDS' END AS attr FROM {g_eval_gold} WHERE kind <> 'entity' WINDOW w AS (PARTITION BY doc_id ORDER BY start_tok, kind)) x WHERE ts IS NOT NULL""",
+    "g_eval_pred_rel": """SELECT doc_id, kind, source_kind, CASE WHEN ss % 6 = 1 THEN ss + 1 ELSE ss END AS ss, CASE WHEN ss % 6 = 1 THEN se + 1 ELSE se END AS se, target_kind, ts, te, CASE WHEN ts % 4 = 1 THEN 'reltype=IDENTITY' ELSE attr END AS attr FROM {g_eval_gold_rel} WHERE ss % 8 <> 5
+ UNION ALL SELECT doc_id, kind, target_kind, ts, te, source_kind, ss, se, CASE attr WHEN 'reltype=BEFORE' THEN 'reltype=AFTER' ELSE attr END FROM {g_eval_gold_rel} WHERE ss % 7 = 3""",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")
