@@ -66,6 +66,11 @@ class Memo:
             cls._held = held = (name, key, make())
         return held[2]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop what an operator that ran before in this worker remembered."""
+        cls._held = None
+
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))

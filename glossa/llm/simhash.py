@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, discard, materialise, sized, text_key, text_or_empty
+from .common import LOWER, UPPER, Memo, discard, materialise, sized, text_key, text_or_empty
 from .components import connected_components
 
 BITS = 64
@@ -177,21 +177,16 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of hashes."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 20) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 28, small: int = 100) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles are similar, by the smallest id.
 
     Sets of shingles with a Jaccard similarity of at least ``similarity`` are linked: of each set the
     rarest shingles, as many as it may lack in a similar one and one more, are its keys, and similar
     sets share a key.  A pair is looked at only if what follows the key in both sets is enough, which
-    holds for the first key that a similar pair shares, and if their fingerprints differ in at most
-    ``max_bits`` bits (at a similarity of 0.8 the mean is 10 and the deviation 3; unlike texts differ
-    in 32).  Pairs are verified by their whole texts: each text against the one it shares most keys
+    holds for the first key that a similar pair shares.  Pairs of sets of ``small`` shingles and more
+    are also held against their fingerprints, which may differ in ``max_bits`` bits: at a similarity
+    of 0.8 and 100 shingles the mean is 10 and one pair in ten million differs in more than 28.
+    Smaller sets are all looked at.  Pairs are verified by the whole sets of their texts, each made once: each text against the one it shares most keys
     with, then against the least of each key, and what that leaves in different groups pair by pair.  Nulls, empty texts, repeated rows
     and empty tables are treated as in ``near_duplicates``.
     """
@@ -200,6 +195,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("struct<digest: string, fp: long, size: int, keys: array<long>>")
     def mark(batch: pd.Series) -> pd.DataFrame:
+        Memo.forget()
         (seen, often), rows = shared.value, []
         for t in batch:
             own = shingles_of(t, shingle_words)
@@ -230,25 +226,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def may(a: str, a_at: str, a_fp: str, b: str, b_at: str, b_fp: str) -> Column:
         """Whether two sets may be similar by their sizes, what follows a key in both, and their fingerprints."""
         both = (F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-6
-        return (F.least(a, b) >= least_common(F.greatest(a, b), similarity)) & (F.least(F.col(a) - F.col(a_at), F.col(b) - F.col(b_at)) >= both) & (F.bit_count(F.col(a_fp).bitwiseXOR(F.col(b_fp))) <= max_bits)
+        return (F.least(a, b) >= least_common(F.greatest(a, b), similarity)) & (F.least(F.col(a) - F.col(a_at), F.col(b) - F.col(b_at)) >= both) & ((F.least(a, b) < small) | (F.bit_count(F.col(a_fp).bitwiseXOR(F.col(b_fp))) <= max_bits))
 
-    @F.pandas_udf("boolean")
-    def alike_texts(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, held, of_held = [], None, None
-        for x, y in zip(a, b):
-            if y != held or of_held is None:
-                held, of_held = y, shingles_of(y, shingle_words)
-            out.append(similarity_of(shingles_of(x, shingle_words), of_held) >= similarity - 1e-9)
-        return pd.Series(out, dtype="bool")
+    @F.pandas_udf("array<long>")
+    def shingled(batch: pd.Series) -> pd.Series:
+        Memo.forget()
+        return pd.Series([shingles_of(t, shingle_words) for t in batch], dtype="object")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of nodes (a, b) that are similar."""
         pairs = materialise(pairs.distinct())
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
         keys = sized(materialise(wanted.join(nodes, F.col("wanted") == F.col("node")).select("node", F.col("text_key").alias("wanted_key"))), _IDS)
-        held = materialise(texts.join(keys, text_key() == F.col("wanted_key")).select("node", "text").dropDuplicates(["node"]))
-        side = lambda x: held.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
-        found = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(alike_texts("a_text", "b_text")).select("a", "b"))
+        held = materialise(texts.join(keys, text_key() == F.col("wanted_key")).select("node", "text").dropDuplicates(["node"]).select("node", shingled("text").alias("set")))
+        side = lambda x: held.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
+        # The sets of a pair meet once, and what they share is counted beside the join.
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        least = similarity - 1e-9
+        similar = common * (1 + least) >= (F.size("a_set") + F.size("b_set")) * least
+        found = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"))
         discard(held, pairs)
         return found
 

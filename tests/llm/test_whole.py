@@ -71,6 +71,16 @@ def test_no_near_copy_is_missed(spark):
     assert [got[i] for i in range(len(texts))] == similar_groups(texts)
 
 
+def test_thousands_of_short_pairs_at_the_limit_are_linked(spark):
+    rnd = random.Random(17)
+    texts = []
+    for i in range(2500):  # four shingles of five are the same
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(9 if i % 2 else 19)]
+        texts += [" ".join(words), " ".join(words[:-1] if i % 2 else words[:-3])]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_long_texts_are_compared_whole(spark):
     rnd = random.Random(15)
     vocabulary = [f"w{i}" for i in range(3000)]
