@@ -139,7 +139,7 @@ def timex_same_value(v: Views) -> DataFrame:
 
 
 _TL09 = """p AS (SELECT e.doc_id, e.id AS event_id, t.id AS timex_id, min(abs(e.start_tok - t.start_tok)) AS distance FROM g_tevent e JOIN g_frame f ON f.doc_id = e.doc_id AND f.head_tok = e.start_tok AND f.framework = 'NOMBANK' JOIN g_timex t ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx
-WHERE NOT e.low_confidence AND NOT e.merged AND t.type IN ('DATE','TIME','SET') AND e.start_tok <> t.start_tok AND abs(e.start_tok - t.start_tok) <= 8 GROUP BY 1, 2, 3)"""
+WHERE NOT e.low_confidence AND NOT e.merged AND coalesce(e.is_timeml_core, true) AND t.type IN ('DATE','TIME','SET') AND e.start_tok <> t.start_tok AND abs(e.start_tok - t.start_tok) <= 8 GROUP BY 1, 2, 3)"""
 
 
 def _nominal_events(v: Views) -> DataFrame:
@@ -153,14 +153,14 @@ def event_sentence_timex(v: Views) -> DataFrame:
     return tlinks.nominal_in_sentence(_nominal_events(v), v("g_timex"))
 
 
-@query("event_unanchored", f"WITH {_TL09} SELECT doc_id, id AS event_id, concat('dct_', CAST(doc_id AS STRING)) AS timex_id, 'IS_INCLUDED' AS rel, CAST(0.55 AS DOUBLE) AS confidence FROM g_tevent WHERE NOT low_confidence AND NOT merged AND NOT EXISTS (SELECT 1 FROM p WHERE p.event_id = g_tevent.id)")
+@query("event_unanchored", f"WITH {_TL09} SELECT doc_id, id AS event_id, concat('dct_', CAST(doc_id AS STRING)) AS timex_id, 'IS_INCLUDED' AS rel, CAST(0.55 AS DOUBLE) AS confidence FROM g_tevent WHERE NOT low_confidence AND NOT merged AND coalesce(is_timeml_core, true) AND NOT EXISTS (SELECT 1 FROM p WHERE p.event_id = g_tevent.id)")
 def event_unanchored(v: Views) -> DataFrame:
     """TL-20B: events left to the document's date."""
     return tlinks.unanchored(v("g_tevent"), tlinks.nominal_in_sentence(_nominal_events(v), v("g_timex")))
 
 
 @query("event_dct_relation", """SELECT e.doc_id, e.id, CASE WHEN tense = 'FUTURE' THEN 'AFTER' WHEN tense = 'PRESENT' AND aspect = 'PROGRESSIVE' THEN 'IS_INCLUDED' WHEN tense = 'PAST' THEN 'BEFORE' WHEN tense = 'PRESENT' AND aspect = 'PERFECTIVE' THEN 'BEFORE' ELSE 'VAGUE' END AS rel, CAST(0.78 AS DOUBLE) AS confidence
-FROM g_tevent e JOIN g_token t ON t.doc_id = e.doc_id AND t.tok_index_doc = e.start_tok WHERE NOT low_confidence AND NOT merged AND t.pos NOT IN ('NNP','NNS','NN') AND tense IN ('PAST','PRESENT','FUTURE')""")
+FROM g_tevent e JOIN g_token t ON t.doc_id = e.doc_id AND t.tok_index_doc = e.start_tok WHERE NOT low_confidence AND NOT merged AND coalesce(is_timeml_core, true) AND t.pos NOT IN ('NNP','NNS','NN') AND tense IN ('PAST','PRESENT','FUTURE')""")
 def event_dct_relation(v: Views) -> DataFrame:
     """TL-06: events on words other than nouns against the document's date."""
     words = v("g_token").where("pos not in ('NNP', 'NNS', 'NN')").select("doc_id", F.col("tok_index_doc").alias("start_tok"))

@@ -19,7 +19,7 @@ _CORE = f"NOT ((m.pos LIKE 'VB%' AND m.pred IN {_in(enrich.WEAK_VERBS)}) OR (m.p
 _MENTIONS = "m AS (SELECT e.doc_id, e.id AS event_id, e.start_tok, l.lemma AS pred, e.pos, e.tense, e.aspect FROM g_tevent e JOIN g_lemma l ON l.doc_id = e.doc_id AND l.tok_index_doc = e.start_tok)"
 _DESCRIBED = "u AS (SELECT DISTINCT e.doc_id, u.frame_id, e.id AS event_id FROM (SELECT doc_id, id AS frame_id, head_tok FROM g_frame UNION ALL SELECT doc_id, frame_id, head_tok FROM g_frame_argument) u JOIN g_tevent e ON e.doc_id = u.doc_id AND e.start_tok = u.head_tok)"
 _FREE = "NOT EXISTS (SELECT 1 FROM g_link k WHERE k.src = e.id AND k.dst = t.id) AND NOT EXISTS (SELECT 1 FROM g_link k WHERE k.src = t.id AND k.dst = e.id)"
-_USABLE = "NOT e.low_confidence AND NOT e.merged"
+_USABLE = "NOT e.low_confidence AND NOT e.merged AND coalesce(e.is_timeml_core, true)"
 _BOTH = "SELECT doc_id, event_id, timex_id, 'event_timex' AS direction, 'IS_INCLUDED' AS rel, CAST({0} AS DOUBLE) AS confidence FROM p UNION ALL SELECT doc_id, event_id, timex_id, 'timex_event', 'INCLUDES', CAST({0} AS DOUBLE) FROM p"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import _SPANS5, _spans5
 from .functions import scores
-from .operators import events, reports
+from .operators import events, reports, tlinks
 from .plans import prims
 from .registry import Views, query
 
@@ -111,12 +111,12 @@ def span_specificity(v: Views) -> DataFrame:
 @query("preposition_timex", """SELECT e.doc_id, e.id AS event_id, t.id AS timex_id, p.text AS preposition, CASE WHEN t.type = 'DURATION' AND lower(p.text) = 'for' AND e.tense IN ('PAST','PRESENT') THEN 'MEASURE' WHEN t.type = 'DATE' AND lower(p.text) = 'since' THEN 'BEGUN_BY' WHEN t.type = 'DURATION' AND lower(p.text) IN ('in','during') THEN 'IS_INCLUDED'
 WHEN t.type = 'DATE' AND lower(p.text) IN ('by','until') AND e.tense = 'PAST' THEN 'ENDED_BY' WHEN t.type IN ('DATE','TIME') AND lower(p.text) = 'by' THEN 'BEFORE' WHEN t.type IN ('TIME','DATE','DURATION') AND lower(p.text) = 'before' THEN 'BEFORE' WHEN t.type IN ('TIME','DATE','DURATION') AND lower(p.text) = 'after' THEN 'AFTER'
 WHEN t.type = 'TIME' AND lower(p.text) = 'at' THEN 'SIMULTANEOUS' WHEN t.type IN ('TIME','DATE','DURATION') AND lower(p.text) IN ('on','in') THEN 'IS_INCLUDED' ELSE 'VAGUE' END AS rel
-FROM g_timex t JOIN g_token p ON p.doc_id = t.doc_id AND p.tok_index_doc = t.start_tok - 1 JOIN g_tevent e ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx AND e.start_tok < t.start_tok WHERE NOT e.low_confidence AND NOT e.merged AND t.start_tok <= 150""")
+FROM g_timex t JOIN g_token p ON p.doc_id = t.doc_id AND p.tok_index_doc = t.start_tok - 1 JOIN g_tevent e ON e.doc_id = t.doc_id AND e.sent_idx = t.sent_idx AND e.start_tok < t.start_tok WHERE NOT e.low_confidence AND NOT e.merged AND coalesce(e.is_timeml_core, true) AND t.start_tok <= 150""")
 def preposition_timex(v: Views) -> DataFrame:
     """TL-05: events before a time expression, by the word in front of it."""
     t = v("g_timex").where("start_tok <= 150").select("doc_id", "sent_idx", F.col("id").alias("timex_id"), "type", F.col("start_tok").alias("timex_tok"), (F.col("start_tok") - 1).alias("tok_index_doc"))
     p = t.join(v("g_token").select("doc_id", "tok_index_doc", F.col("text").alias("preposition")), ["doc_id", "tok_index_doc"])
-    e = v("g_tevent").where("not low_confidence and not merged").select("doc_id", "sent_idx", F.col("id").alias("event_id"), "start_tok", "tense")
+    e = tlinks.usable(v("g_tevent")).select("doc_id", "sent_idx", F.col("id").alias("event_id"), "start_tok", "tense")
     return p.join(e, ["doc_id", "sent_idx"]).where("start_tok < timex_tok").select("doc_id", "event_id", "timex_id", "preposition", events.preposition_timex_relation(F.col("preposition"), F.col("type"), F.col("tense")).alias("rel"))
 
 

@@ -90,19 +90,19 @@ def nominal_profiles(v: Views) -> DataFrame:
 # Further rules
 
 @query("argument_timex", """SELECT a.doc_id, e.id AS event_id, t.id AS timex_id, 'IS_INCLUDED' AS rel, CAST(0.88 AS DOUBLE) AS confidence FROM g_frame_argument a JOIN g_timex t ON t.doc_id = a.doc_id AND t.start_tok = a.head_tok JOIN g_frame f ON f.id = a.frame_id JOIN g_tevent e ON e.doc_id = f.doc_id AND e.start_tok = f.head_tok
-WHERE a.role = 'ARGM-TMP' AND NOT e.low_confidence AND NOT e.merged AND t.start_tok > e.start_tok AND t.start_tok - e.start_tok <= 15 GROUP BY 1, 2, 3""")
+WHERE a.role = 'ARGM-TMP' AND NOT e.low_confidence AND NOT e.merged AND coalesce(e.is_timeml_core, true) AND t.start_tok > e.start_tok AND t.start_tok - e.start_tok <= 15 GROUP BY 1, 2, 3""")
 def argument_timex(v: Views) -> DataFrame:
     """TL-04: events included in the time expression of their temporal argument."""
     return rules.argument_timex(v("g_tevent"), v("g_frame"), v("g_frame_argument"), v("g_timex"))
 
 
-@query("dependent_timex", "SELECT d.doc_id, e.id AS event_id, t.id AS timex_id, d.type AS via, 'IS_INCLUDED' AS rel FROM g_dep d JOIN g_tevent e ON e.doc_id = d.doc_id AND e.start_tok = d.head_tok JOIN g_timex t ON t.doc_id = d.doc_id AND t.start_tok = d.dep_tok WHERE d.head_tok <> d.dep_tok AND NOT e.low_confidence AND NOT e.merged")
+@query("dependent_timex", "SELECT d.doc_id, e.id AS event_id, t.id AS timex_id, d.type AS via, 'IS_INCLUDED' AS rel FROM g_dep d JOIN g_tevent e ON e.doc_id = d.doc_id AND e.start_tok = d.head_tok JOIN g_timex t ON t.doc_id = d.doc_id AND t.start_tok = d.dep_tok WHERE d.head_tok <> d.dep_tok AND NOT e.low_confidence AND NOT e.merged AND coalesce(e.is_timeml_core, true)")
 def dependent_timex(v: Views) -> DataFrame:
     """TL-15: time expressions that depend on events."""
     return rules.dependent_timex(v("g_tevent"), v("g_dep"), v("g_timex"))
 
 
-@query("connective_links", """WITH m AS (SELECT doc_id, sent_idx, tok_index_doc AS tok, CASE lower(text) WHEN 'the' THEN 'AFTER' WHEN 'of' THEN 'BEFORE' END AS rel FROM g_token WHERE lower(text) IN ('the','of')), e AS (SELECT * FROM g_tevent WHERE NOT low_confidence AND NOT merged),
+@query("connective_links", """WITH m AS (SELECT doc_id, sent_idx, tok_index_doc AS tok, CASE lower(text) WHEN 'the' THEN 'AFTER' WHEN 'of' THEN 'BEFORE' END AS rel FROM g_token WHERE lower(text) IN ('the','of')), e AS (SELECT * FROM g_tevent WHERE NOT low_confidence AND NOT merged AND coalesce(is_timeml_core, true)),
 b AS (SELECT m.doc_id, m.tok, m.rel, arg_max(e.id, e.start_tok) AS first_id, max(e.start_tok) AS bt FROM m JOIN e ON e.doc_id = m.doc_id AND e.sent_idx = m.sent_idx AND e.start_tok < m.tok GROUP BY 1, 2, 3), a AS (SELECT m.doc_id, m.tok, arg_min(e.id, e.start_tok) AS second_id, min(e.start_tok) AS at FROM m JOIN e ON e.doc_id = m.doc_id AND e.sent_idx = m.sent_idx AND e.start_tok > m.tok GROUP BY 1, 2)
 SELECT doc_id, first_id, second_id, rel, tok AS signal_tok FROM b JOIN a USING (doc_id, tok) WHERE tok - bt <= 8 AND a.at - tok <= 8""")
 def connective_links(v: Views) -> DataFrame:
@@ -111,7 +111,7 @@ def connective_links(v: Views) -> DataFrame:
 
 
 @query("dateline_links", """WITH d AS (SELECT t.doc_id, arg_min(t.id, t.start_tok) AS timex_id, arg_min(t.end_tok, t.start_tok) AS line_end, any_value(left(t.value, 10)) AS day FROM g_timex_day t JOIN g_dct c ON c.doc_id = t.doc_id AND left(c.value, 10) = left(t.value, 10) WHERE t.type = 'DATE' GROUP BY 1),
-e AS (SELECT v.* FROM g_tevent v JOIN g_token k ON k.doc_id = v.doc_id AND k.tok_index_doc = v.start_tok JOIN g_dep r ON r.doc_id = v.doc_id AND r.dep_tok = v.start_tok AND r.head_tok = v.start_tok AND r.type = 'ROOT' WHERE NOT v.low_confidence AND NOT v.merged AND k.pos IN ('VBD','VBN','VBZ','VBP','VB','MD') AND v.start_tok <= 103 AND k.sent_idx <= 5),
+e AS (SELECT v.* FROM g_tevent v JOIN g_token k ON k.doc_id = v.doc_id AND k.tok_index_doc = v.start_tok JOIN g_dep r ON r.doc_id = v.doc_id AND r.dep_tok = v.start_tok AND r.head_tok = v.start_tok AND r.type = 'ROOT' WHERE NOT v.low_confidence AND NOT v.merged AND coalesce(v.is_timeml_core, true) AND k.pos IN ('VBD','VBN','VBZ','VBP','VB','MD') AND v.start_tok <= 103 AND k.sent_idx <= 5),
 m AS (SELECT e.doc_id, e.id AS event_id, d.timex_id, EXISTS (SELECT 1 FROM g_dep s JOIN g_timex_day t ON t.doc_id = s.doc_id AND t.start_tok = s.dep_tok WHERE s.type = 'nsubj' AND s.doc_id = e.doc_id AND s.head_tok = e.start_tok AND t.type = 'DATE' AND left(t.value, 10) = d.day) AS same FROM e JOIN d ON d.doc_id = e.doc_id AND e.start_tok > d.line_end)
 SELECT doc_id, event_id, timex_id, 'timex_event' AS direction, CASE WHEN same THEN 'SIMULTANEOUS' ELSE 'INCLUDES' END AS rel, CAST(0.7 AS DOUBLE) AS confidence FROM m UNION ALL SELECT doc_id, event_id, timex_id, 'event_timex', CASE WHEN same THEN 'SIMULTANEOUS' ELSE 'IS_INCLUDED' END, CAST(0.7 AS DOUBLE) FROM m""")
 def dateline_links(v: Views) -> DataFrame:

@@ -107,13 +107,13 @@ def _lemmas(name: str) -> str:
 
 
 @query("glink_bridge", f"""WITH g AS (SELECT *, CASE WHEN lower(lemma) IN ({_lemmas('BEGUN_BY')}) THEN 'BEGUN_BY' WHEN lower(lemma) IN ({_lemmas('ENDED_BY')}) THEN 'ENDED_BY' WHEN lower(lemma) IN ({_lemmas('INCLUDES')}) THEN 'INCLUDES' WHEN lower(lemma) IN ({_lemmas('SIMULTANEOUS')}) THEN 'SIMULTANEOUS' END AS rel FROM g_glink)
-SELECT DISTINCT g.doc_id, CASE WHEN rel IN ('BEGUN_BY','ENDED_BY') THEN dst ELSE src END AS first_id, CASE WHEN rel IN ('BEGUN_BY','ENDED_BY') THEN src ELSE dst END AS second_id, rel, CAST(0.88 AS DOUBLE) AS confidence FROM g JOIN g_tevent a ON a.id = src JOIN g_tevent b ON b.id = dst WHERE rel IS NOT NULL AND NOT a.low_confidence AND NOT a.merged AND NOT b.low_confidence AND NOT b.merged""")
+SELECT DISTINCT g.doc_id, CASE WHEN rel IN ('BEGUN_BY','ENDED_BY') THEN dst ELSE src END AS first_id, CASE WHEN rel IN ('BEGUN_BY','ENDED_BY') THEN src ELSE dst END AS second_id, rel, CAST(0.88 AS DOUBLE) AS confidence FROM g JOIN g_tevent a ON a.id = src JOIN g_tevent b ON b.id = dst WHERE rel IS NOT NULL AND NOT a.low_confidence AND NOT a.merged AND coalesce(a.is_timeml_core, true) AND NOT b.low_confidence AND NOT b.merged AND coalesce(b.is_timeml_core, true)""")
 def glink_bridge(v: Views) -> DataFrame:
     """TL-12: temporal links from aspectual ones."""
     return rules.aspectual_bridge(v("g_tevent"), v("g_glink"))
 
 
-_CANDIDATES = "SELECT DISTINCT e.doc_id, e.id AS event_id, c.timex_id, 'IS_INCLUDED' AS rel, CAST({0} AS DOUBLE) AS confidence FROM g_timex_candidate c JOIN g_frame_argument a ON a.id = c.argument_id AND a.role = 'ARGM-TMP' JOIN g_frame f ON f.id = a.frame_id JOIN g_tevent e ON e.doc_id = f.doc_id AND e.start_tok = f.head_tok WHERE NOT e.low_confidence AND NOT e.merged AND coalesce(c.value, '') <> '' AND c.timex_id IS NOT NULL"
+_CANDIDATES = "SELECT DISTINCT e.doc_id, e.id AS event_id, c.timex_id, 'IS_INCLUDED' AS rel, CAST({0} AS DOUBLE) AS confidence FROM g_timex_candidate c JOIN g_frame_argument a ON a.id = c.argument_id AND a.role = 'ARGM-TMP' JOIN g_frame f ON f.id = a.frame_id JOIN g_tevent e ON e.doc_id = f.doc_id AND e.start_tok = f.head_tok WHERE NOT e.low_confidence AND NOT e.merged AND coalesce(e.is_timeml_core, true) AND coalesce(c.value, '') <> '' AND c.timex_id IS NOT NULL"
 
 
 @query("nominal_candidate_links", _CANDIDATES.format("0.58") + " AND f.framework = 'NOMBANK'")

@@ -29,7 +29,7 @@ FROM {g_token}""",
  CASE tok_index_doc % 5 WHEN 0 THEN 'PAST' WHEN 1 THEN 'PRESENT' WHEN 2 THEN 'FUTURE' WHEN 3 THEN 'INFINITIVE' ELSE NULL END AS tense,
  CASE WHEN tok_index_doc % 7 = 0 THEN 'PROGRESSIVE' WHEN tok_index_doc % 11 = 0 THEN NULL ELSE 'NONE' END AS aspect,
  CASE WHEN tok_index_doc % 13 = 0 THEN 'NEG' ELSE 'POS' END AS polarity,
- tok_index_doc % 17 = 0 AS low_confidence, tok_index_doc % 19 = 0 AS merged
+ tok_index_doc % 17 = 0 AS low_confidence, tok_index_doc % 19 = 0 AS merged, CASE tok_index_doc % 15 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS is_timeml_core
 FROM {g_token} WHERE pos='VBD' OR (pos='NN' AND tok_index_doc % 6 = 0)""",
     "g_timex": """SELECT doc_id, concat('t', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, tok_index_doc AS start_tok, tok_index_doc AS end_tok, sent_idx,
  CASE tok_index_doc % 4 WHEN 0 THEN 'DATE' WHEN 1 THEN 'TIME' WHEN 2 THEN 'DURATION' ELSE 'SET' END AS type,

@@ -129,8 +129,12 @@ def compose(e: DataFrame, first: str, second: str, result: str) -> DataFrame:
 
 
 def usable(events: DataFrame) -> DataFrame:
-    """The endpoint guard of the rules: not low in confidence, not merged into another event."""
-    return events.where(~F.col("low_confidence") & ~F.col("merged"))
+    """The endpoint guard of the rules: of the core, not low in confidence, not merged into another event.
+
+    An event of which one of these is not known passes, and so do all where the column is missing.
+    """
+    says = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in events.columns else F.lit(default)
+    return events.where(says("is_timeml_core", True) & ~says("low_confidence", False) & ~says("merged", False))
 
 
 def same_value_timexes(timexes: DataFrame) -> DataFrame:
