@@ -115,6 +115,11 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
  CASE start_tok % 5 WHEN 0 THEN 'reltype=BEFORE' WHEN 1 THEN 'reltype=includes' WHEN 2 THEN 'reltype=AFTER' WHEN 3 THEN 'reltype=SIMULTANEOUS' ELSE 'reltype=ENDS' END AS attr FROM {g_eval_gold} WHERE kind <> 'entity' WINDOW w AS (PARTITION BY doc_id ORDER BY start_tok, kind)) x WHERE ts IS NOT NULL""",
     "g_eval_pred_rel": """SELECT doc_id, kind, source_kind, CASE WHEN ss % 6 = 1 THEN ss + 1 ELSE ss END AS ss, CASE WHEN ss % 6 = 1 THEN se + 1 ELSE se END AS se, target_kind, ts, te, CASE WHEN ts % 4 = 1 THEN 'reltype=IDENTITY' ELSE attr END AS attr FROM {g_eval_gold_rel} WHERE ss % 8 <> 5
  UNION ALL SELECT doc_id, kind, target_kind, ts, te, source_kind, ss, se, CASE attr WHEN 'reltype=BEFORE' THEN 'reltype=AFTER' ELSE attr END FROM {g_eval_gold_rel} WHERE ss % 7 = 3""",
+    "g_frame_token": "SELECT doc_id, id AS frame_id, head_tok AS tok FROM {g_frame} UNION SELECT doc_id, id, head_tok + 1 FROM {g_frame}",
+    "g_time_argument": """SELECT a.doc_id, a.id, a.frame_id, a.role, a.head_tok, CASE CAST(floor(a.head_tok / 6) AS INT) % 8 WHEN 0 THEN 'after' WHEN 1 THEN 'before' WHEN 2 THEN 'following' WHEN 3 THEN 'Since' WHEN 4 THEN 'while' WHEN 5 THEN 'upon' ELSE NULL END AS signal, CASE WHEN a.head_tok % 4 <> 1 THEN n.text ELSE a.head END AS complement, CASE WHEN a.head_tok % 5 <> 0 THEN 'EVENTIVE' ELSE 'NOM' END AS syntactic_type
+ FROM {g_frame_argument} a LEFT JOIN {g_token} n ON n.doc_id = a.doc_id AND n.tok_index_doc = a.head_tok + 1""",
+    "g_time_argument_token": "SELECT a.id AS argument_id, a.doc_id, t.tok_index_doc AS tok, t.text, CASE WHEN t.tok_index_doc % 5 < 3 THEN 'VBG' ELSE t.pos END AS pos FROM (SELECT id, doc_id, head_tok AS tok FROM {g_frame_argument} UNION ALL SELECT id, doc_id, head_tok + 1 FROM {g_frame_argument} UNION ALL SELECT id, doc_id, head_tok + 2 FROM {g_frame_argument}) a JOIN {g_token} t ON t.doc_id = a.doc_id AND t.tok_index_doc = a.tok",
+    "g_time_signal": "SELECT doc_id, tok_index_doc AS start_tok, tok_index_doc AS end_tok, CASE tok_index_doc % 7 WHEN 0 THEN 'When' WHEN 1 THEN 'until' WHEN 2 THEN 'prior' WHEN 3 THEN 'after' WHEN 4 THEN NULL ELSE 'of' END AS text FROM {g_token} WHERE pos IN ('IN', 'DT', 'JJ')",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")
