@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ BITS = 64
 #: Shingles that are hashed and counted at a time, so that a very long text takes little memory.
 _BATCH = 1 << 14
 _SEED = 42
+#: Texts of an Arrow batch that are looked at together.
+_ROWS = 512
 #: Rows of a table of one long that are broadcast at most.
 _IDS = 500_000
 #: Fingerprints from which keys take in more bits.
@@ -142,6 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few texts and sets beside Arrow's own."""
+    for b in batches:
+        for low in range(0, b.num_rows, _ROWS):
+            yield b.slice(low, _ROWS)
+
+
 def shingles_of(text: str | None, shingle_words: int) -> np.ndarray:
     """The sorted hashes of the distinct word shingles."""
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(UPPER, LOWER)))
@@ -193,22 +203,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle_words))
 
-    @F.pandas_udf("struct<digest: string, fp: long, size: int, keys: array<long>>")
-    def mark(batch: pd.Series) -> pd.DataFrame:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.forget()
-        (seen, often), rows = shared.value, []
-        for t in batch:
-            own = shingles_of(t, shingle_words)
-            keep = len(own) - least_common(len(own), similarity) + 1 if len(own) else 0
-            if len(seen):
-                at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
-                order = np.lexsort((own, np.where(seen[at] == own, often[at], 0)))
-            else:
-                order = np.arange(len(own))
-            rows.append((xxhash.xxh3_128_hexdigest(own.tobytes(), _SEED), majority_bits(own), len(own), own[order[:keep]]))
-        return pd.DataFrame(rows, columns=["digest", "fp", "size", "keys"])
-
-    marked = materialise(texts.select("doc_id", text_key().alias("text_key"), mark(F.col("text")).alias("m")).select("doc_id", "text_key", "m.*"))
+        seen, often = shared.value
+        for b in _slices(batches):
+            rows = []
+            for t in b["text"]:
+                own = shingles_of(t.as_py(), shingle_words)
+                keep = len(own) - least_common(len(own), similarity) + 1 if len(own) else 0
+                if len(seen):
+                    at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+                    order = np.lexsort((own, np.where(seen[at] == own, often[at], 0)))
+                else:
+                    order = np.arange(len(own))
+                rows.append((xxhash.xxh3_128_hexdigest(own.tobytes(), _SEED), majority_bits(own), len(own), own[order[:keep]]))
+            digest, fp, size, keys = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "digest", "fp", "size", "keys"])
+
+    marked = materialise(texts.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(mark, f"doc_id {dict(texts.dtypes)['doc_id']}, text_key string, digest string, fp long, size int, keys array<long>"))
     # Equal sets are one node; its number is short, and stable because it is written down.
     sets = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "text_key", "fp", "size", "keys"))
@@ -228,17 +240,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = (F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-6
         return (F.least(a, b) >= least_common(F.greatest(a, b), similarity)) & (F.least(F.col(a) - F.col(a_at), F.col(b) - F.col(b_at)) >= both) & ((F.least(a, b) < small) | (F.bit_count(F.col(a_fp).bitwiseXOR(F.col(b_fp))) <= max_bits))
 
-    @F.pandas_udf("array<long>")
-    def shingled(batch: pd.Series) -> pd.Series:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.forget()
-        return pd.Series([shingles_of(t, shingle_words) for t in batch], dtype="object")
+        for b in _slices(batches):
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([shingles_of(t.as_py(), shingle_words) for t in b["text"]], pa.list_(pa.int64()))], ["node", "set"])
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of nodes (a, b) that are similar."""
         pairs = materialise(pairs.distinct())
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
         keys = sized(materialise(wanted.join(nodes, F.col("wanted") == F.col("node")).select("node", F.col("text_key").alias("wanted_key"))), _IDS)
-        held = materialise(texts.join(keys, text_key() == F.col("wanted_key")).select("node", "text").dropDuplicates(["node"]).select("node", shingled("text").alias("set")))
+        held = materialise(texts.join(keys, text_key() == F.col("wanted_key")).select("node", "text").dropDuplicates(["node"]).mapInArrow(shingled, "node long, set array<long>"))
         side = lambda x: held.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
         # The sets of a pair meet once, and what they share is counted beside the join.
         common = F.size(F.array_intersect("a_set", "b_set"))
