@@ -120,6 +120,18 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
  FROM {g_frame_argument} a LEFT JOIN {g_token} n ON n.doc_id = a.doc_id AND n.tok_index_doc = a.head_tok + 1""",
     "g_time_argument_token": "SELECT a.id AS argument_id, a.doc_id, t.tok_index_doc AS tok, t.text, CASE WHEN t.tok_index_doc % 5 < 3 THEN 'VBG' ELSE t.pos END AS pos FROM (SELECT id, doc_id, head_tok AS tok FROM {g_frame_argument} UNION ALL SELECT id, doc_id, head_tok + 1 FROM {g_frame_argument} UNION ALL SELECT id, doc_id, head_tok + 2 FROM {g_frame_argument}) a JOIN {g_token} t ON t.doc_id = a.doc_id AND t.tok_index_doc = a.tok",
     "g_time_signal": "SELECT doc_id, tok_index_doc AS start_tok, tok_index_doc AS end_tok, CASE tok_index_doc % 7 WHEN 0 THEN 'When' WHEN 1 THEN 'until' WHEN 2 THEN 'prior' WHEN 3 THEN 'after' WHEN 4 THEN NULL ELSE 'of' END AS text FROM {g_token} WHERE pos IN ('IN', 'DT', 'JJ')",
+    "g_dep_family": "SELECT doc_id, head_tok, dep_tok, CASE WHEN type IN ('appos', 'conj', 'attr') AND dep_tok % 4 = 3 THEN 'nsubj' ELSE type END AS type FROM {g_dep_nom}",
+    "g_sag_node": "SELECT doc_id, id, pred AS label FROM {g_frame} WHERE head_tok % 31 <> 0 UNION ALL SELECT doc_id, id, head FROM {g_frame_argument} WHERE head_tok % 37 <> 0",
+    "g_sag_edge": """SELECT doc_id, frame_id AS src, id AS dst, role FROM {g_frame_argument} UNION ALL SELECT a.doc_id, a.id, f.id, 'IS' FROM {g_frame_argument} a JOIN {g_frame} f ON f.doc_id = a.doc_id AND f.head_tok = a.head_tok
+ UNION ALL SELECT doc_id, id, frame_id, 'BACK' FROM {g_frame_argument} WHERE doc_id % 3 = 0 AND head_tok % 29 = 0""",
+    "g_sag_wanted": "SELECT doc_id, start_id, end_id FROM (SELECT doc_id, id AS start_id, lead(id) OVER (PARTITION BY doc_id, sent_idx ORDER BY head_tok) AS end_id FROM {g_frame}) x WHERE end_id IS NOT NULL",
+    "g_rival": """SELECT doc_id, concat('s', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, tok_index_doc AS head_tok, CASE tok_index_doc % 4 WHEN 0 THEN 'DATE' WHEN 1 THEN 'CARDINAL' WHEN 2 THEN 'PERSON' ELSE 'TIME' END AS type, 'spacy' AS source, CAST(NULL AS STRING) AS kb_id, CASE WHEN tok_index_doc % 7 = 0 THEN 0.5 ELSE NULL END AS score, false AS is_mention FROM {g_token} WHERE pos = 'CD' AND tok_index_doc % 11 <> 0
+ UNION ALL SELECT doc_id, concat('d', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)), tok_index_doc, CASE tok_index_doc % 4 WHEN 0 THEN 'DATE' WHEN 1 THEN 'CARDINAL' WHEN 2 THEN 'PERSON' ELSE 'MONEY' END, 'dbpedia', CASE WHEN tok_index_doc % 3 = 0 THEN concat('Q', CAST(tok_index_doc AS STRING)) ELSE NULL END, 0.25, true FROM {g_token} WHERE pos = 'CD' AND tok_index_doc % 2 = 0
+ UNION ALL SELECT doc_id, concat('e', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)), tok_index_doc, 'DATE', NULL, concat('R', CAST(tok_index_doc AS STRING)), 0.75, NULL FROM {g_token} WHERE pos = 'CD' AND tok_index_doc % 4 = 0 AND tok_index_doc % 5 <> 0""",
+    "g_rival_link": "SELECT id, concat('E', CAST(head_tok % 10 AS STRING)) AS entity_id FROM {g_rival} WHERE head_tok % 3 <> 1",
+    "g_bare_entity": """SELECT doc_id, concat('b', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, tok_index_doc AS start_tok, tok_index_doc + tok_index_doc % 4 AS end_tok, CASE WHEN tok_index_doc % 5 = 0 THEN text ELSE NULL END AS head, CASE WHEN tok_index_doc % 10 = 0 THEN tok_index_doc ELSE NULL END AS head_tok FROM {g_token} WHERE pos = 'NNP'""",
+    "g_metric": """SELECT event_type AS metric, user_id % 2 AS side, CAST(count(*) AS DOUBLE) AS value FROM {events} WHERE event_id % 7 < 5 + user_id % 2 GROUP BY 1, 2 UNION ALL SELECT concat('same_', event_type), s.side, CAST(count(*) AS DOUBLE) FROM {events} CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) s GROUP BY 1, 2
+ UNION ALL SELECT concat('only_', event_type), 1, CAST(count(*) AS DOUBLE) FROM {events} GROUP BY 1""",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")
