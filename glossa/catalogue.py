@@ -357,11 +357,11 @@ def event_noun_pos(v: Views) -> DataFrame:
     return enhance.noun_event_pos(v("g_tevent"), v("g_token"))
 
 
-@query("event_low_confidence", """SELECT e.doc_id, e.id, e.low_confidence OR (f.head_tok IS NULL AND e.start_tok % 10 / 10.0 < 0.6) AS low_confidence, CASE WHEN f.head_tok IS NULL AND e.start_tok % 10 / 10.0 < 0.6 THEN CAST(e.start_tok % 10 AS DOUBLE) / 10 * 0.5 ELSE CAST(e.start_tok % 10 AS DOUBLE) / 10 END AS confidence
-FROM g_tevent e LEFT JOIN (SELECT DISTINCT doc_id, head_tok FROM g_frame WHERE framework = 'PROPBANK') f ON f.doc_id = e.doc_id AND f.head_tok = e.start_tok""")
+@query("event_low_confidence", """WITH x AS (SELECT e.doc_id, e.id, e.low_confidence AS was, CAST(e.start_tok % 10 AS DOUBLE) / 10 AS confidence, f.head_tok IS NULL AND e.start_tok % 10 < 6 AND NOT e.low_confidence AS low
+FROM g_tevent e LEFT JOIN (SELECT DISTINCT doc_id, head_tok FROM g_frame WHERE framework IN ('PROPBANK','NOMBANK') AND head_tok % 4 <> 1) f ON f.doc_id = e.doc_id AND f.head_tok = e.start_tok) SELECT doc_id, id, was OR low AS low_confidence, CASE WHEN low THEN confidence * 0.5 ELSE confidence END AS confidence FROM x""")
 def event_low_confidence(v: Views) -> DataFrame:
-    """GA-02A: events without a verbal frame lose confidence."""
-    return enhance.low_confidence_without_frame(v("g_tevent"), v("g_frame").where("framework = 'PROPBANK'"), (F.col("start_tok") % 10).cast("double") / 10)
+    """GA-02A: events without a frame lose confidence; every fourth token stands for one without."""
+    return enhance.low_confidence_without_frame(v("g_tevent"), v("g_frame").where("head_tok % 4 <> 1"), (F.col("start_tok") % 10).cast("double") / 10)
 
 
 @query("entity_salience", """WITH m AS (SELECT doc_id, coalesce(kb_id, surface) AS entity, count(DISTINCT id) AS mentions FROM g_mention GROUP BY 1, 2), e AS (SELECT doc_id, count(*) AS events FROM g_tevent GROUP BY 1)

@@ -132,6 +132,14 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
     "g_bare_entity": """SELECT doc_id, concat('b', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, tok_index_doc AS start_tok, tok_index_doc + tok_index_doc % 4 AS end_tok, CASE WHEN tok_index_doc % 5 = 0 THEN text ELSE NULL END AS head, CASE WHEN tok_index_doc % 10 = 0 THEN tok_index_doc ELSE NULL END AS head_tok FROM {g_token} WHERE pos = 'NNP'""",
     "g_metric": """SELECT event_type AS metric, user_id % 2 AS side, CAST(count(*) AS DOUBLE) AS value FROM {events} WHERE event_id % 7 < 5 + user_id % 2 GROUP BY 1, 2 UNION ALL SELECT concat('same_', event_type), s.side, CAST(count(*) AS DOUBLE) FROM {events} CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) s GROUP BY 1, 2
  UNION ALL SELECT concat('only_', event_type), 1, CAST(count(*) AS DOUBLE) FROM {events} GROUP BY 1""",
+    "g_attr_mention": """SELECT doc_id, concat('em_', id) AS id, id AS event_id, start_tok, CASE start_tok % 9 WHEN 0 THEN 'JJ' WHEN 1 THEN 'VERB' ELSE pos END AS pos, CASE start_tok % 13 WHEN 0 THEN 'will go' WHEN 1 THEN NULL ELSE pred END AS form, CASE WHEN start_tok % 4 = 0 THEN 'Fear' ELSE pred END AS pred,
+ CASE start_tok % 11 WHEN 0 THEN 'might' WHEN 1 THEN 'would' WHEN 2 THEN 'will' WHEN 3 THEN 'must' ELSE NULL END AS modality, CASE WHEN start_tok % 10 = 4 THEN 'PRESPART' ELSE tense END AS tense, CASE start_tok % 6 WHEN 0 THEN NULL WHEN 1 THEN 'odd' WHEN 2 THEN 'HABITUAL' ELSE aspect END AS aspect, CASE WHEN start_tok % 5 = 0 THEN NULL ELSE polarity END AS polarity,
+ CASE WHEN start_tok % 12 = 0 THEN 'UNCERTAIN' ELSE NULL END AS certainty, CASE WHEN start_tok % 10 = 1 THEN 'UNDERSPECIFIED' ELSE NULL END AS time, CASE WHEN start_tok % 17 = 3 THEN 'REPORTED_SPEECH' ELSE NULL END AS special_cases, CASE WHEN start_tok % 14 = 0 THEN 'COMPLEMENT' ELSE NULL END AS clause_type, CAST(NULL AS STRING) AS scope_type FROM {g_tevent}""",
+    "g_attr_event": "SELECT id, doc_id, CASE WHEN start_tok % 7 = 1 THEN 'PERFECTIVE' ELSE aspect END AS aspect, CASE WHEN start_tok % 10 = 5 THEN NULL ELSE polarity END AS polarity, CASE WHEN start_tok % 3 = 0 THEN 'NON_FUTURE' ELSE NULL END AS time FROM {g_tevent}",
+    "g_attr_frame": "SELECT id AS frame_id, concat('em_e', substr(id, 2, 100)) AS mention_id FROM {g_frame} WHERE head_tok % 8 <> 0",
+    "g_attr_argument": "SELECT frame_id, CASE WHEN head_tok % 11 = 0 THEN 'ARGM-DSP' WHEN head_tok % 13 = 0 THEN 'ARGM-ADV' ELSE role END AS role, CASE head_tok % 7 WHEN 0 THEN 'Before' WHEN 1 THEN 'if' WHEN 2 THEN NULL ELSE head END AS head FROM {g_frame_argument}",
+    "g_attr_token": "SELECT doc_id, sent_idx, tok_index_doc, CASE tok_index_doc % 6 WHEN 0 THEN 'to' WHEN 1 THEN 'add' WHEN 2 THEN 'be' WHEN 3 THEN 'That' ELSE lemma END AS lemma, CASE WHEN pos = 'IN' THEN 'TO' WHEN pos = 'VBD' AND tok_index_doc % 2 = 0 THEN 'VBG' ELSE pos END AS pos FROM {g_token}",
+    "g_step_link": "SELECT doc_id, src, dst, rel_type, CASE rel_type WHEN 'BEFORE' THEN 'xml_e2e_seed' WHEN 'INCLUDES' THEN 'case6_dct_anchor' WHEN 'IDENTITY' THEN 'ga01_included_before' ELSE 'other' END AS rule_id, confidence FROM {g_elink} UNION ALL SELECT doc_id, dst, src, 'AFTER', NULL, confidence FROM {g_elink} WHERE rel_type = 'BEFORE' UNION ALL SELECT doc_id, src, dst, 'IS_INCLUDED', 'inverse_consistency', confidence FROM {g_elink} WHERE rel_type = 'IDENTITY'",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")

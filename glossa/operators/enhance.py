@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 
 def low_confidence_without_frame(events: DataFrame, frames: DataFrame, confidence: Column, limit: float = 0.6) -> DataFrame:
-    """GA-02A: events below the limit that no frame heads are marked and halved."""
-    framed = frames.select("doc_id", F.col("head_tok").alias("start_tok")).distinct().withColumn("framed", F.lit(True))
+    """GA-02A: events below the limit that no verbal or nominal frame heads are marked and halved, unless they are marked already."""
+    framed = frames.where("framework IN ('PROPBANK', 'NOMBANK')").select("doc_id", F.col("head_tok").alias("start_tok")).distinct().withColumn("framed", F.lit(True))
     joined = events.withColumn("confidence", confidence).join(framed, ["doc_id", "start_tok"], "left")
-    low = F.col("framed").isNull() & (F.col("confidence") < limit)
-    return joined.select("doc_id", "id", (F.col("low_confidence") | low).alias("low_confidence"), F.when(low, F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"))
+    low = F.col("framed").isNull() & (F.coalesce("confidence", F.lit(1.0)) < limit) & ~F.coalesce("low_confidence", F.lit(False))
+    return joined.select("doc_id", "id", (F.coalesce("low_confidence", F.lit(False)) | low).alias("low_confidence"), F.when(low, F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def salience(mentions: DataFrame, entity: Column, events_per_doc: DataFrame) -> DataFrame:
