@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +56,11 @@ def _word_counts(sample: DataFrame) -> pd.DataFrame:
 
 
 def _features(text: Column, shared: Broadcast) -> Column:
-    @F.pandas_udf("array<double>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = chargram.LikelihoodRatio.of(shared.value)
         for texts in batches:
-            yield pd.Series([model.features(t or "") for t in texts])
+            yield pa.array([model.features(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
     return of(text)
 
 
@@ -111,11 +112,12 @@ def score(text: Column, model: ToxicityModel) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model.ratio.state)
     numbers = (model.centre, model.scale, model.weights)
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # A batch stays in Arrow's form; one text at a time becomes a string.
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = ToxicityModel(chargram.LikelihoodRatio.of(shared.value), *numbers)
         for texts in batches:
-            yield pd.Series(m.scores(np.array([m.ratio.features(t or "") for t in texts]).reshape(len(texts), _FEATURES)))
+            yield pa.array(m.scores(np.array([m.ratio.features(t.as_py() or "") for t in texts]).reshape(len(texts), _FEATURES)), pa.float64())
     return of(text)
 
 
