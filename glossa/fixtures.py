@@ -140,6 +140,15 @@ FROM {g_tevent} WHERE start_tok % 11 <> 0""",
     "g_attr_argument": "SELECT frame_id, CASE WHEN head_tok % 11 = 0 THEN 'ARGM-DSP' WHEN head_tok % 13 = 0 THEN 'ARGM-ADV' ELSE role END AS role, CASE head_tok % 7 WHEN 0 THEN 'Before' WHEN 1 THEN 'if' WHEN 2 THEN NULL ELSE head END AS head FROM {g_frame_argument}",
     "g_attr_token": "SELECT doc_id, sent_idx, tok_index_doc, CASE tok_index_doc % 6 WHEN 0 THEN 'to' WHEN 1 THEN 'add' WHEN 2 THEN 'be' WHEN 3 THEN 'That' ELSE lemma END AS lemma, CASE WHEN pos = 'IN' THEN 'TO' WHEN pos = 'VBD' AND tok_index_doc % 2 = 0 THEN 'VBG' ELSE pos END AS pos FROM {g_token}",
     "g_step_link": "SELECT doc_id, src, dst, rel_type, CASE rel_type WHEN 'BEFORE' THEN 'xml_e2e_seed' WHEN 'INCLUDES' THEN 'case6_dct_anchor' WHEN 'IDENTITY' THEN 'ga01_included_before' ELSE 'other' END AS rule_id, confidence FROM {g_elink} UNION ALL SELECT doc_id, dst, src, 'AFTER', NULL, confidence FROM {g_elink} WHERE rel_type = 'BEFORE' UNION ALL SELECT doc_id, src, dst, 'IS_INCLUDED', 'inverse_consistency', confidence FROM {g_elink} WHERE rel_type = 'IDENTITY'",
+    "g_parse": """SELECT c.doc_id, c.sent_idx, c.tok_index_doc, c.start_char AS idx, c.text, c.lemma, c.pos AS tag, 'X' AS pos, d.type AS dep, d.head_tok AS head, length(c.text) < 3 AS is_stop, c.tok_index_doc % 12 = 5 AS is_punct, c.tok_index_doc % 17 = 6 AS is_space FROM {g_char} c JOIN {g_dep} d ON d.doc_id = c.doc_id AND d.dep_tok = c.tok_index_doc""",
+    "g_parse_chunk": "SELECT doc_id, tok_index_doc AS start_tok, tok_index_doc + 1 + tok_index_doc % 3 AS end_tok, tok_index_doc AS root, CASE WHEN tok_index_doc % 4 = 0 THEN '' ELSE 'NP' END AS label, concat('chunk ', text) AS text FROM {g_token} WHERE pos IN ('NN', 'NNP', 'PRP')",
+    "g_parse_span": """SELECT doc_id, tok_index_doc AS start_tok, tok_index_doc + 1 + CASE WHEN tok_index_doc % 10 < 6 THEN 1 ELSE 0 END AS end_tok, tok_index_doc AS root, CASE tok_index_doc % 7 WHEN 0 THEN 'MONEY' WHEN 1 THEN 'DATE' WHEN 2 THEN 'GPE' WHEN 3 THEN 'PERSON' WHEN 4 THEN 'TIME' WHEN 5 THEN 'CARDINAL' ELSE 'ORG' END AS label, text,
+ CASE WHEN tok_index_doc % 3 = 0 THEN concat('Q', CAST(tok_index_doc AS STRING)) ELSE '' END AS kb_id, 0.5 AS score FROM {g_token} WHERE tok_index_doc % 4 = 1""",
+    "g_ent_argument": """SELECT a.doc_id, a.id, a.role, a.head_tok, CASE WHEN a.head_tok % 5 = 0 THEN 'PRP' ELSE a.head_pos END AS head_pos, a.head, CASE a.head_tok % 4 WHEN 0 THEN 'PRO' WHEN 1 THEN NULL ELSE 'NOMINAL' END AS syntactic_type, CASE WHEN a.head_tok % 3 = 0 THEN a.head_tok + 1 ELSE NULL END AS complement_tok, concat('c', a.head) AS complement, concat('The ', a.head, '!') AS complement_text,
+ CASE WHEN a.head_tok % 7 = 0 THEN NULL ELSE a.head_tok - 1 END AS start_tok, CASE WHEN a.head_tok % 7 = 0 THEN NULL ELSE a.head_tok + 1 END AS end_tok FROM {g_frame_argument} a""",
+    "g_ent_named": "SELECT doc_id, concat('n', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, CASE tok_index_doc % 5 WHEN 0 THEN 'MONEY' WHEN 1 THEN 'PERCENT' ELSE 'ORG' END AS type, tok_index_doc AS head_tok, tok_index_doc - 1 AS start_tok, tok_index_doc + 1 AS end_tok FROM {g_token} WHERE pos IN ('CD', 'NNP')",
+    "g_ent_link": "SELECT a.id AS argument_id, n.id AS target_id, CASE WHEN a.head_tok % 6 = 0 THEN 'Entity' ELSE 'NamedEntity' END AS target_kind FROM {g_ent_argument} a JOIN {g_ent_named} n ON n.doc_id = a.doc_id AND n.head_tok = a.head_tok UNION ALL SELECT id, concat('ev', id), 'TEvent' FROM {g_ent_argument} WHERE head_tok % 9 = 0",
+    "g_ent_coref": "SELECT doc_id, concat('m', CAST(doc_id AS STRING), '_', CAST(tok_index_doc AS STRING)) AS id, tok_index_doc AS head_tok, concat('x', CAST(doc_id AS STRING), '_', CAST(tok_index_doc - 10 - tok_index_doc % 2 AS STRING)) AS antecedent_id, tok_index_doc - 10 - tok_index_doc % 2 AS antecedent_tok FROM {g_token} WHERE tok_index_doc % 5 = 0 AND tok_index_doc > 10",
     "g_phase_run": """SELECT event_id AS id, event_type AS phase, date_trunc('hour', ts) AS hour, value AS duration, user_id AS doc_id, event_id % 9 = 0 AS failed FROM {events}""",
 }
 _REF = re.compile(r"\{(\w+)\}")

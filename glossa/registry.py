@@ -51,6 +51,6 @@ def get(name: str) -> Query:
 
 
 def load_all() -> dict[str, Query]:
-    from . import catalogue, catalogue_annotator, catalogue_assertions, catalogue_attributes, catalogue_enrich, catalogue_events, catalogue_links, catalogue_merging, catalogue_nominals, catalogue_refine, catalogue_reports, catalogue_scores, catalogue_signals  # noqa: F401
+    from . import catalogue, catalogue_annotator, catalogue_assertions, catalogue_attributes, catalogue_enrich, catalogue_entities, catalogue_events, catalogue_links, catalogue_merging, catalogue_nominals, catalogue_refine, catalogue_reports, catalogue_scores, catalogue_signals  # noqa: F401
 
     return REGISTRY
