@@ -12,68 +12,81 @@ from .tlinks import usable
 
 # Word lists of the rules.
 WEAK_VERBS = (
-    "be is was are were been being have has had having do does did done doing become becomes became becoming remain remains remained remaining "
-    "seem seems seemed seeming look looks looked looking appear appears appeared appearing continue continues continued continuing "
-    "indicate indicates indicated indicating accord accords accorded according follow follows followed following say says said saying "
-    "tell tells told telling report reports reported reporting suggest suggests suggested suggesting state states stated stating "
-    "think thinks thought thinking find finds found finding expect expects expected expecting believe believes believed believing "
-    "know knows knew known knowing consider considers considered considering").split()
+    "be", "is", "was", "are", "were", "been", "being", "have", "has", "had", "having", "do", "does", "did", "done", "doing", "become", "becomes",
+    "became", "becoming", "remain", "remains", "remained", "remaining", "seem", "seems", "seemed", "seeming", "look", "looks", "looked", "looking",
+    "appear", "appears", "appeared", "appearing", "continue", "continues", "continued", "continuing", "indicate", "indicates", "indicated", "indicating",
+    "accord", "accords", "accorded", "according", "follow", "follows", "followed", "following", "say", "says", "said", "saying", "tell", "tells", "told",
+    "telling", "report", "reports", "reported", "reporting", "suggest", "suggests", "suggested", "suggesting", "state", "states", "stated", "stating",
+    "think", "thinks", "thought", "thinking", "find", "finds", "found", "finding", "expect", "expects", "expected", "expecting", "believe", "believes",
+    "believed", "believing", "know", "knows", "knew", "known", "knowing", "consider", "considers", "considered", "considering",
+)
 WEAK_NOUNS = (
-    "market markets index indexes indices inflation power powers job jobs number numbers system systems value values price prices "
-    "percent percentage percentages share shares fund funds point points level levels rate rates record records economy economies growth "
-    "month months year years day days week weeks exchange exchanges").split()
-LIGHT_VERBS = "make take have give do cause hold set get keep put leave find bring".split()
-REPORTING_VERBS = "report say state announce note tell reveal".split()
+    "market", "markets", "index", "indexes", "indices", "inflation", "power", "powers", "job", "jobs", "number", "numbers", "system", "systems", "value",
+    "values", "price", "prices", "percent", "percentage", "percentages", "share", "shares", "fund", "funds", "point", "points", "level", "levels", "rate",
+    "rates", "record", "records", "economy", "economies", "growth", "month", "months", "year", "years", "day", "days", "week", "weeks", "exchange",
+    "exchanges",
+)
+LIGHT_VERBS = ("make", "take", "have", "give", "do", "cause", "hold", "set", "get", "keep", "put", "leave", "find", "bring")
+REPORTING_VERBS = ("report", "say", "state", "announce", "note", "tell", "reveal")
 CAUSAL = {
-    "CAUSE": (0.63, "cause lead trigger result produce generate create bring force make drive prompt spur give yield induce provoke spark precipitate contribute stem".split()),
-    "ENABLE": (0.58, "allow enable permit let support help facilitate encourage ensure guarantee provide offer".split()),
-    "PREVENT": (0.60, "prevent stop block ban prohibit restrict limit hinder hamper impede obstruct avoid deter".split()),
+    "CAUSE": (0.63, (
+        "cause", "lead", "trigger", "result", "produce", "generate", "create", "bring", "force", "make", "drive", "prompt", "spur", "give", "yield", "induce",
+        "provoke", "spark", "precipitate", "contribute", "stem",
+    )),
+    "ENABLE": (0.58, ("allow", "enable", "permit", "let", "support", "help", "facilitate", "encourage", "ensure", "guarantee", "provide", "offer")),
+    "PREVENT": (0.60, ("prevent", "stop", "block", "ban", "prohibit", "restrict", "limit", "hinder", "hamper", "impede", "obstruct", "avoid", "deter")),
 }
 SUBORDINATING = {
     "EVIDENTIAL": (0.62, (
-        "say report announce state note claim tell confirm deny insist warn suggest argue mention indicate reveal predict promise propose assert "
-        "allege acknowledge admit emphasize stress observe reiterate repeat respond reply counter think believe expect assume consider suppose "
-        "suspect guess conclude speculate estimate").split()),
-    "FACTIVE": (0.68, "know realize discover notice find learn understand recognize remember recall establish prove determine".split()),
-    "MODAL": (0.60, "want hope plan intend decide attempt try seek need wish fail manage agree refuse".split()),
+        "say", "report", "announce", "state", "note", "claim", "tell", "confirm", "deny", "insist", "warn", "suggest", "argue", "mention", "indicate",
+        "reveal", "predict", "promise", "propose", "assert", "allege", "acknowledge", "admit", "emphasize", "stress", "observe", "reiterate", "repeat",
+        "respond", "reply", "counter", "think", "believe", "expect", "assume", "consider", "suppose", "suspect", "guess", "conclude", "speculate", "estimate",
+    )),
+    "FACTIVE": (0.68, ("know", "realize", "discover", "notice", "find", "learn", "understand", "recognize", "remember", "recall", "establish", "prove", "determine")),
+    "MODAL": (0.60, ("want", "hope", "plan", "intend", "decide", "attempt", "try", "seek", "need", "wish", "fail", "manage", "agree", "refuse")),
 }
 FRAME_CLASSES = {
     "REPORTING": (
-        "say announce report tell claim declare state note indicate reveal predict promise propose assert allege acknowledge admit emphasize "
-        "stress confirm deny insist warn suggest argue mention observe reiterate respond reply counter").split(),
-    "I_STATE": "know believe think feel understand assume realize discover notice find learn establish prove determine remember recall".split(),
-    "I_ACTION": "want hope plan intend decide attempt try seek need wish fail manage agree refuse".split(),
-    "ASPECTUAL": "begin start continue end finish stop cease resume complete".split(),
-    "STATE": "be have remain become exist stay seem appear look".split(),
+        "say", "announce", "report", "tell", "claim", "declare", "state", "note", "indicate", "reveal", "predict", "promise", "propose", "assert", "allege",
+        "acknowledge", "admit", "emphasize", "stress", "confirm", "deny", "insist", "warn", "suggest", "argue", "mention", "observe", "reiterate", "respond",
+        "reply", "counter",
+    ),
+    "I_STATE": (
+        "know", "believe", "think", "feel", "understand", "assume", "realize", "discover", "notice", "find", "learn", "establish", "prove", "determine",
+        "remember", "recall",
+    ),
+    "I_ACTION": ("want", "hope", "plan", "intend", "decide", "attempt", "try", "seek", "need", "wish", "fail", "manage", "agree", "refuse"),
+    "ASPECTUAL": ("begin", "start", "continue", "end", "finish", "stop", "cease", "resume", "complete"),
+    "STATE": ("be", "have", "remain", "become", "exist", "stay", "seem", "appear", "look"),
 }
-TIME_DEPENDENCIES = "nmod nmod:poss compound tmod nummod advmod obl obl:tmod nmod:tmod npadvmod".split()
+TIME_DEPENDENCIES = ("nmod", "nmod:poss", "compound", "tmod", "nummod", "advmod", "obl", "obl:tmod", "nmod:tmod", "npadvmod")
 PURGED_RULES = ("case6_dct_anchor", "transitive_closure", "inverse_consistency", "case17a_timex_same_value")
 SEED_RULE, SEED_TYPES = "xml_e2e_seed", ("BEFORE", "AFTER", "VAGUE")
 INVERSES = {"BEFORE": "AFTER", "IBEFORE": "IAFTER", "INCLUDES": "IS_INCLUDED", "BEGINS": "BEGUN_BY", "ENDS": "ENDED_BY", "DURING": "DURING_INV"}
 
 
-def is_core(pred: Column, pos: Column) -> Column:
+def is_core(pred: Column, pos: Column, verbs: Sequence[str] = WEAK_VERBS, nouns: Sequence[str] = WEAK_NOUNS) -> Column:
     """EV-CORE: false where the first word of the predicate is on the list of its part of speech."""
     first = F.split(F.lower(F.coalesce(pred, F.lit(""))), " ")[0]
     p = F.coalesce(pos, F.lit(""))
-    return ~((p.startswith("VB") & first.isin(WEAK_VERBS)) | (p.startswith("NN") & first.isin(WEAK_NOUNS)))
+    return ~((p.startswith("VB") & first.isin(list(verbs))) | (p.startswith("NN") & first.isin(list(nouns))))
 
 
-def core_events(mentions: DataFrame) -> DataFrame:
+def core_events(mentions: DataFrame, verbs: Sequence[str] = WEAK_VERBS, nouns: Sequence[str] = WEAK_NOUNS) -> DataFrame:
     """EV-CORE: an event is core if one of its mentions (doc_id, event_id, pred, pos) is."""
-    return mentions.groupBy("doc_id", "event_id").agg(F.bool_or(is_core(F.col("pred"), F.col("pos"))).alias("is_core"))
+    return mentions.groupBy("doc_id", "event_id").agg(F.bool_or(is_core(F.col("pred"), F.col("pos"), verbs, nouns)).alias("is_core"))
 
 
-def light_verbs(mentions: DataFrame, deps: DataFrame, lemmas: DataFrame) -> DataFrame:
+def light_verbs(mentions: DataFrame, deps: DataFrame, lemmas: DataFrame, words: Sequence[str] = LIGHT_VERBS, verbs: Sequence[str] = WEAK_VERBS, nouns: Sequence[str] = WEAK_NOUNS) -> DataFrame:
     """EV-LIGHT: events of light verbs go into the core event that is their object.
 
     ``mentions`` has doc_id, event_id, start_tok, pred, pos, tense and aspect.  The object takes the
     verb's tense and aspect where it has none.
     """
     d = deps.where("type in ('dobj', 'obj', 'pobj') and head_tok <> dep_tok").select("doc_id", F.col("head_tok").alias("verb_tok"), F.col("dep_tok").alias("noun_tok"))
-    light = lemmas.where(F.lower("lemma").isin(LIGHT_VERBS)).select("doc_id", F.col("tok_index_doc").alias("verb_tok"))
+    light = lemmas.where(F.lower("lemma").isin(list(words))).select("doc_id", F.col("tok_index_doc").alias("verb_tok"))
     side = lambda df, name: df.select("doc_id", F.col("start_tok").alias(f"{name}_tok"), F.col("event_id").alias(f"{name}_id"), F.col("tense").alias(f"{name}_tense"), F.col("aspect").alias(f"{name}_aspect"))
-    core = mentions.where(is_core(F.col("pred"), F.col("pos")))
+    core = mentions.where(is_core(F.col("pred"), F.col("pos"), verbs, nouns))
     met = d.join(light, ["doc_id", "verb_tok"]).join(side(mentions, "verb"), ["doc_id", "verb_tok"]).join(side(core, "noun"), ["doc_id", "noun_tok"])
     return met.select("doc_id", F.col("verb_id").alias("event_id"), F.col("noun_id").alias("merged_into"), F.coalesce("noun_tense", "verb_tense").alias("tense"), F.coalesce("noun_aspect", "verb_aspect").alias("aspect"))
 
@@ -112,7 +125,7 @@ def predicate_links(frames: DataFrame, arguments: DataFrame, argument_tokens: Da
     return near.groupBy("doc_id", "event_id", "sub_id").agg(first).select("doc_id", "event_id", "sub_id", "k.link_type", "k.confidence")
 
 
-def event_class(frames: DataFrame, described: DataFrame, events: DataFrame) -> DataFrame:
+def event_class(frames: DataFrame, described: DataFrame, events: DataFrame, classes: Mapping[str, Sequence[str]] = FRAME_CLASSES) -> DataFrame:
     """GA-03: the class of events without one, from the first sense of a frame's predicate.
 
     Of several frames the first by name counts; other frames give OCCURRENCE.
@@ -120,7 +133,7 @@ def event_class(frames: DataFrame, described: DataFrame, events: DataFrame) -> D
     named = described.join(frames.where("frame is not null").select(F.col("id").alias("frame_id"), "frame"), "frame_id")
     bare = events.where("class is null").select("doc_id", F.col("id").alias("event_id"))
     value = F.lit("OCCURRENCE")
-    for name, words in FRAME_CLASSES.items():
+    for name, words in classes.items():
         value = F.when(F.col("frame").isin([f"{w}.01" for w in words]), name).otherwise(value)
     return named.join(bare, ["doc_id", "event_id"]).groupBy("doc_id", "event_id").agg(F.min("frame").alias("frame")).select("doc_id", "event_id", value.alias("event_class"))
 
@@ -160,7 +173,7 @@ def _linked(pairs: DataFrame, rel: str, confidence: float) -> DataFrame:
 
 def governing_timex(events: DataFrame, deps: DataFrame, timexes: DataFrame, links: DataFrame) -> DataFrame:
     """TL-20A: a date, set or time that governs an event includes it, where the two are not linked."""
-    turned = deps.where(F.col("type").isin(TIME_DEPENDENCIES)).select("doc_id", F.col("dep_tok").alias("head_tok"), F.col("head_tok").alias("dep_tok"), "type")
+    turned = deps.where(F.col("type").isin(list(TIME_DEPENDENCIES))).select("doc_id", F.col("dep_tok").alias("head_tok"), F.col("head_tok").alias("dep_tok"), "type")
     met = _below(usable(events), turned, timexes.where("type in ('DATE', 'SET', 'TIME')"), TIME_DEPENDENCIES)
     return _linked(unlinked(met, links, "event_id", "timex_id"), "INCLUDES", 0.75)
 
@@ -195,7 +208,7 @@ def nominal_preposition_timex(events: DataFrame, deps: DataFrame, tokens: DataFr
 
 def reporting_dateline(events: DataFrame, timexes: DataFrame, dct: DataFrame, lemmas: DataFrame, links: DataFrame, last_token: int = 103) -> DataFrame:
     """TL-25: finite reporting verbs behind the dateline, in the lead of a document, lie in its day; both directions."""
-    said = lemmas.where(F.lower("lemma").isin(REPORTING_VERBS) & F.col("pos").isin("VBD", "VBZ", "VBP", "VB")).select("doc_id", F.col("tok_index_doc").alias("start_tok"))
+    said = lemmas.where(F.lower("lemma").isin(list(REPORTING_VERBS)) & F.col("pos").isin("VBD", "VBZ", "VBP", "VB")).select("doc_id", F.col("tok_index_doc").alias("start_tok"))
     e = events.where(F.col("start_tok") <= last_token).select("doc_id", "start_tok", F.col("id").alias("event_id")).join(said, ["doc_id", "start_tok"])
     met = e.join(dateline(timexes, dct), "doc_id").where("start_tok > line_end")
     return _both_ways(unlinked(met, links, "event_id", "timex_id"), "IS_INCLUDED", "INCLUDES", 0.68)

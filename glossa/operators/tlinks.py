@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeml
+from ..plans.pointers import components
 from ..plans.prims import case_map, top1
 
 
@@ -176,3 +177,20 @@ def duration_in_date(timexes: DataFrame, at_most: int = 10) -> DataFrame:
     d = timexes.where("type = 'DURATION'").select("doc_id", "sent_idx", F.col("id").alias("duration_id"), F.col("start_tok").alias("a"))
     t = timexes.where("type = 'DATE'").select("doc_id", "sent_idx", F.col("id").alias("date_id"), F.col("start_tok").alias("b"))
     return d.join(t, ["doc_id", "sent_idx"]).where(F.abs(F.col("a") - F.col("b")) <= at_most).select("doc_id", "duration_id", "date_id", F.abs(F.col("a") - F.col("b")).alias("distance"))
+
+
+def identity_classes(e: DataFrame) -> DataFrame:
+    """TL-CLOSURE: (node, representative) of all ends of live IDENTITY links, whatever their direction."""
+    same = live(e).where("rel = 'IDENTITY'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return components(same).select("node", F.col("root").alias("representative"))
+
+
+def class_links(e: DataFrame, classes: DataFrame) -> DataFrame:
+    """TL-CLOSURE between classes: (src, dst, rel, confidence, links): live links with their ends at representatives.
+
+    Whatever holds between two members holds between all, so this is the closure without a row for
+    each pair of members; links within a class are left out.
+    """
+    at = lambda df, c: df.join(classes.select(F.col("node").alias(c), "representative"), c, "left").withColumn(c, F.coalesce("representative", c)).drop("representative")
+    moved = at(at(live(e).where("rel <> 'IDENTITY'").select("src", "dst", "rel", "confidence"), "src"), "dst")
+    return moved.where("src <> dst").groupBy("src", "dst", "rel").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.count("*").alias("links"))

@@ -38,3 +38,24 @@ def heads(pointers: DataFrame) -> DataFrame:
         open_before = still
     round_trip = state.where("NOT done").select(F.col("id").alias("at"), F.col("best.id").alias("_head"))
     return state.join(round_trip, "at", "left").select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("_head")).alias("head"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every end of ``links`` (a, b); root is the smallest node that can be reached.
+
+    Every round each class takes the smallest class that a link joins it to, and roots follow their
+    pointers, so that rounds grow with the logarithm of a class, not with its length.  A hub costs its
+    links, as minima are taken before the shuffle.
+    """
+    pairs = links.where("a <> b").select("a", "b")
+    both = checkpointed(pairs.union(pairs.select("b", "a")).distinct())
+    state = checkpointed(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node")))
+    while True:
+        near = both.join(state.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("m"))
+        to = state.join(near, "node", "left").groupBy("root").agg(F.min(F.least("root", F.coalesce("m", "root"))).alias("to"))
+        further = to.select(F.col("root").alias("to"), F.col("to").alias("next"))
+        jump = to.join(further, "to", "left").select("root", F.coalesce("next", "to").alias("new"))
+        state = checkpointed(state.join(jump, "root").select("node", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.select("node", "root")
+        state = state.select("node", "root")

@@ -124,3 +124,20 @@ def test_mentions_and_their_bounds(make):
     deps = make([(1, 0, 1, "prt"), (1, 4, 3, "compound"), (1, 4, 2, "amod"), (1, 5, 9, "prt")], "doc_id long, head_tok long, dep_tok long, type string")
     got = merging.event_bounds(events, deps, tokens)
     assert rows(got.select("id", "start_tok", "end_tok", "pred")) == [("e0", 0, 1, "Drag down"), ("e4", 2, 4, "big car bombs"), ("e5", 5, 5, "p5"), ("old", 6, 6, "x")]
+
+
+def test_components_against_union_find(make):
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 290)] + [(400, 400 + i) for i in range(1, 30)] + [(500, 500)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.node: r.root for r in pointers.components(make(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert pointers.components(make([], "a long, b long")).collect() == []
