@@ -123,3 +123,17 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     rows = [(1, a), (2, a), (2, b), (7, c), (7, b + " end"), (7, c), (None, c), (None, "one text"), (None, "one text"), (None, "another")]
     left = corpus_pipeline.near_duplicates_out(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, a), (2, b), (7, c), (None, "one text"), (None, "another")]))
+
+
+def test_the_pipeline_runs_whole_and_over_nothing(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, sf_dir).cache()
+    ids = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
+    assert 0 < len(ids) < docs.count() and ids <= {r.doc_id for r in docs.select("doc_id").collect()}
+    whole = pieces.groupBy("doc_id", "doc_tokens").sum("length").collect()
+    assert all(r["doc_tokens"] == r["sum(length)"] for r in whole)
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
