@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as files in the folder of spark.checkpoint.dir; one is made only where none is set."""
+    """``df`` as files in the folder of spark.checkpoint.dir; one is made only in local mode, where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossa-"))
     return df.checkpoint()
 
 
