@@ -187,7 +187,16 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 28, small: int = 100) -> DataFrame:
+def parity_bits(hashes: np.ndarray) -> int:
+    """Bit i is the parity of the hashes that are i modulo 64, as a signed long.
+
+    Two sets differ in at least as many members as their parities differ in bits.
+    """
+    odd = np.bincount((hashes.view(np.uint64) % BITS).astype(np.int64), minlength=BITS) & 1
+    return int.from_bytes(np.packbits(odd.astype(bool)).tobytes(), "big", signed=True)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 28, small: int = 100, near_bits: int = 4) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles are similar, by the smallest id.
 
     Sets of shingles with a Jaccard similarity of at least ``similarity`` are linked: of each set the
@@ -196,7 +205,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds for the first key that a similar pair shares.  Pairs of sets of ``small`` shingles and more
     are also held against their fingerprints, which may differ in ``max_bits`` bits: at a similarity
     of 0.8 and 100 shingles the mean is 10 and one pair in ten million differs in more than 28.
-    Smaller sets are all looked at.  Pairs are verified by the whole sets of their texts, each made once: each text against the one it shares most keys
+    Of smaller sets all are looked at whose parities differ in no more bits than similar sets have
+    members apart, which loses none.  First of all come the pairs that the index of deletion variants
+    finds within ``near_bits`` bits; what it leaves in different groups is left to the keys.  Pairs are verified by the whole sets of their texts, each made once: each text against the one it shares most keys
     with, then against the least of each key, and what that leaves in different groups pair by pair.  Nulls, empty texts, repeated rows
     and empty tables are treated as in ``near_duplicates``.
     """
@@ -216,14 +227,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     order = np.lexsort((own, np.where(seen[at] == own, often[at], 0)))
                 else:
                     order = np.arange(len(own))
-                rows.append((xxhash.xxh3_128_hexdigest(own.tobytes(), _SEED), majority_bits(own), len(own), own[order[:keep]]))
-            digest, fp, size, keys = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "digest", "fp", "size", "keys"])
+                rows.append((xxhash.xxh3_128_hexdigest(own.tobytes(), _SEED), majority_bits(own), parity_bits(own), len(own), own[order[:keep]]))
+            digest, fp, parity, size, keys = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(parity, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "digest", "fp", "parity", "size", "keys"])
 
-    marked = materialise(texts.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(mark, f"doc_id {dict(texts.dtypes)['doc_id']}, text_key string, digest string, fp long, size int, keys array<long>"))
+    marked = materialise(texts.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(mark, f"doc_id {dict(texts.dtypes)['doc_id']}, text_key string, digest string, fp long, parity long, size int, keys array<long>"))
     # Equal sets are one node; its number is short, and stable because it is written down.
-    sets = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "text_key", "fp", "size", "keys"))
+    sets = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.min("parity").alias("parity"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "text_key", "fp", "parity", "size", "keys"))
     rows = materialise(marked.select("doc_id", "digest"))
     discard(marked)
     shared.unpersist()
@@ -231,14 +242,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")
     hubs = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by(packed, "node").alias("packed")).where("n > 1")
                        .select(F.col("key").alias("hub_key"), "hub", F.shiftright("packed", 32).cast("int").alias("hub_size"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hub_at")))
-    fp_of = lambda x: nodes.select(F.col("node").alias(f"{x}_of_fp"), F.col("fp").alias(f"{x}_fp"))
+    fp_of = lambda x: nodes.select(F.col("node").alias(f"{x}_of_fp"), F.struct("fp", "parity").alias(f"{x}_fp"))
     shared_keys = keyed.join(hubs, F.col("key") == F.col("hub_key")).drop("hub_key")
     members = materialise(shared_keys.join(fp_of("node"), F.col("node") == F.col("node_of_fp")).drop("node_of_fp").join(fp_of("hub"), F.col("hub") == F.col("hub_of_fp")).drop("hub_of_fp"))
 
     def may(a: str, a_at: str, a_fp: str, b: str, b_at: str, b_fp: str) -> Column:
-        """Whether two sets may be similar by their sizes, what follows a key in both, and their fingerprints."""
+        """Whether two sets may be similar by their sizes, what follows a key in both, their parities and fingerprints."""
         both = (F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-6
-        return (F.least(a, b) >= least_common(F.greatest(a, b), similarity)) & (F.least(F.col(a) - F.col(a_at), F.col(b) - F.col(b_at)) >= both) & ((F.least(a, b) < small) | (F.bit_count(F.col(a_fp).bitwiseXOR(F.col(b_fp))) <= max_bits))
+        apart = (F.col(a) + F.col(b)) * ((1 - similarity) / (1 + similarity)) + 1e-6  # members that only one of two similar sets has, at most
+        differing = lambda bits: F.bit_count(F.col(f"{a_fp}.{bits}").bitwiseXOR(F.col(f"{b_fp}.{bits}")))
+        return ((F.least(a, b) >= least_common(F.greatest(a, b), similarity)) & (F.least(F.col(a) - F.col(a_at), F.col(b) - F.col(b_at)) >= both)
+                & (differing("parity") <= apart) & ((F.least(a, b) < small) | (differing("fp") <= max_bits)))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.forget()
@@ -257,7 +271,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         least = similarity - 1e-9
         similar = common * (1 + least) >= (F.size("a_set") + F.size("b_set")) * least
         found = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"))
-        discard(held, pairs)
+        discard(held, pairs, keys)
         return found
 
     def still_open(found: DataFrame) -> DataFrame:
@@ -265,22 +279,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = connected_components(found).withColumnRenamed("node", "linked")
         rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "size", "at", "node_fp", "hub", "hub_size", "hub_at", "hub_fp", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy(F.col("key").alias("open_key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("open_key")
-        return materialise(rooted.join(several, F.col("key") == F.col("open_key"), "left_semi"))
+        left = materialise(rooted.join(several, F.col("key") == F.col("open_key"), "left_semi"))
+        discard(roots)
+        return left
 
     to_hub = members.where((F.col("node") != F.col("hub")) & may("size", "at", "node_fp", "hub_size", "hub_at", "hub_fp"))
     best = to_hub.groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", "n").alias("hub"))
-    found = alike(best.select(F.col("hub").alias("b"), F.col("node").alias("a")))
+    # Sets whose fingerprints are equal or linked by the index meet by the least set of each fingerprint.
+    by_fp = materialise(nodes.groupBy(F.col("fp").alias("at_fp")).agg(F.min("node").alias("at_node")))
+    near = links(by_fp.select(F.col("at_fp").alias("fp")), near_bits, by_fp.count() > _MANY)
+    end = lambda x: by_fp.select(F.col("at_fp").alias(x), F.col("at_node").alias(f"{x}_node"))
+    near = near.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same = nodes.join(by_fp, F.col("fp") == F.col("at_fp")).where("node <> at_node").select(F.col("node").alias("a"), F.col("at_node").alias("b"))
+    found = alike(near.union(same).union(best.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     open_ = still_open(found)
     roots_of = open_.select(F.col("node").alias("hub_node"), F.col("root").alias("hub_root")).distinct()
     apart = open_.join(roots_of, F.col("hub") == F.col("hub_node")).where((F.col("root") != F.col("hub_root")) & may("size", "at", "node_fp", "hub_size", "hub_at", "hub_fp"))
-    found = found.union(alike(apart.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    first, more = found, alike(apart.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    found = first.union(more)
+    discard(open_)
     open_ = still_open(found)
     groups = open_.select("key", "root").distinct()
     crossed = groups.select("key", F.col("root").alias("a_root")).join(groups.select("key", F.col("root").alias("b_root")), "key").where("a_root < b_root")
     side = lambda x: open_.select("key", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"), F.col("node_fp").alias(f"{x}_fp"))
     rest = crossed.join(side("a"), ["key", "a_root"]).join(side("b"), ["key", "b_root"]).where(may("a_size", "a_at", "a_fp", "b_size", "b_at", "b_fp")).select("a", "b")
-    roots = connected_components(found.union(alike(rest)))
+    last = alike(rest)
+    roots = connected_components(found.union(last))
     linked = nodes.select("node", "digest", "least").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_digest = linked.join(by_root, "root").select(F.col("digest").alias("of_digest"), "component_id")
-    return rows.join(by_digest, F.col("digest") == F.col("of_digest")).select("doc_id", "component_id")
+    named = materialise(rows.join(by_digest, F.col("digest") == F.col("of_digest")).select("doc_id", "component_id"))
+    discard(rows, nodes, hubs, members, by_fp, open_, first, more, last, roots)
+    return named
