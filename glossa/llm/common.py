@@ -5,6 +5,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ class Memo:
     def take(cls, name: str, key: object, make: Callable[[], object]) -> object:
         held = cls.__dict__.get("_held")
         if held is None or held[:2] != (name, key):
-            cls._held = None
+            cls.forget()
             cls._held = held = (name, key, make())
         return held[2]
 
@@ -73,6 +74,7 @@ class Memo:
     def forget(cls) -> None:
         """Drop what an operator that ran before in this worker remembered."""
         cls._held = None
+        pa.default_memory_pool().release_unused()
 
 
 def text_or_empty(text: str = "text") -> Column:
