@@ -1,4 +1,6 @@
 """Windows and joins within documents move no tokens."""
+from pyspark.sql import functions as F
+
 from glossa import fixtures
 
 
@@ -17,3 +19,18 @@ def test_tokens_lie_by_document(spark, sf_dir):
         assert _moves(met) == []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_parts_of_large_tables_stay_apart(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(fixtures, "_PART_BYTES", 16 << 10)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = fixtures.Loader(spark, sf_dir)
+        n = fixtures.parts(v("documents"))
+        assert n > 8
+        assert v("g_token").select(F.spark_partition_id()).distinct().count() > n // 2
+        met = v("g_char").join(v("g_dep").withColumnRenamed("dep_tok", "tok_index_doc"), ["doc_id", "tok_index_doc"])
+        assert all("hashpartitioning(doc_id#" in line and f", {n}), REPARTITION_BY_NUM" in line for line in _moves(met))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
