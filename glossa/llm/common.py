@@ -1,6 +1,7 @@
 """Column helpers that several operators share."""
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -75,6 +76,9 @@ class Memo:
         """Drop what an operator that ran before in this worker remembered."""
         cls._held = None
         pa.default_memory_pool().release_unused()
+        # What was freed goes back to the system, where the C library can.
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def text_or_empty(text: str = "text") -> Column:

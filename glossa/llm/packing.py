@@ -9,9 +9,11 @@ in a row and cut into full bins and a last run, which is cut into powers of two:
 """
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,14 @@ class ChunkTokenizer:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        # A task has one core: threads of the library would add their own memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # Runs of lower-case letters are words already: the patterns and normal forms would find nothing to do.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
@@ -61,7 +69,7 @@ class ChunkTokenizer:
 
     def _learn(self, runs: list[str]) -> None:
         """Ids of runs of lower-case letters: each is a word, so its last id is the next that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u2")
+        ids = np.array(self.words.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u2")
         to = 2 * (np.nonzero(self.ends[ids])[0] + 1)
         if len(to) != len(runs):
             raise ValueError("the vocabulary has no word ends")
@@ -76,8 +84,8 @@ class ChunkTokenizer:
         chunks = [self._folded(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > _REMEMBERED:
-            known.clear()
-            known[""] = b""
+            # What came first is what recurs most.
+            known = self.known = dict(islice(known.items(), _REMEMBERED // 2))
         new = set().union(*chunks).difference(known)
         runs = {c for c in new if c.isalpha() and c.isascii() and c.islower()}
         mixed = {c: (m[1].lower(), m[2]) for c in new.difference(runs) if (m := self._PLAIN.fullmatch(c))}

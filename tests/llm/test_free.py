@@ -76,6 +76,22 @@ def test_components_of_a_chain_a_star_and_nothing(spark):
 
 # Packing
 
+def test_tokens_are_those_of_whole_texts_when_chunks_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_REMEMBERED", 20)
+    whole, tokens = Tokenizer.from_file(queries.tokenizer_path()), packing.ChunkTokenizer(queries.tokenizer_path())
+    often = "the quick brown fox straße Éçü naïve, ÿes! don't"
+    for i in range(30):
+        texts = [*(t or "" for t in ODD), f"{often} w{i} {chr(97 + i % 26) * (i + 1)}, Ünder{'x' * i}"]
+        assert [ids.tolist() for ids in tokens(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(tokens.known) < 100
+    before = tokens.known["quick"]
+    tokens([" ".join(f"{'z' * j}" for j in range(1, 40))])
+    tokens(["new"])
+    assert tokens.known["quick"] is before
+
+
 def test_packing_is_whole_and_full(spark, sf_dir):
     from tokenizers import Tokenizer
 
