@@ -34,3 +34,15 @@ def test_parts_of_large_tables_stay_apart(spark, sf_dir, monkeypatch):
         assert all("hashpartitioning(doc_id#" in line and f", {n}), REPARTITION_BY_NUM" in line for line in _moves(met))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_bounds_read_no_mention_twice(spark, sf_dir):
+    from glossa import registry
+
+    plan = registry.get("event_bounds").run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode(split") <= 7
+
+
+def test_tags_are_looked_up(spark, sf_dir):
+    plan = fixtures.Loader(spark, sf_dir)("g_token").where("pos = 'CD'")._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN" not in plan
