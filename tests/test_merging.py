@@ -141,3 +141,19 @@ def test_components_against_union_find(make):
     got = {r.node: r.root for r in pointers.components(make(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert pointers.components(make([], "a long, b long")).collect() == []
+
+
+def test_many_short_cycles_take_few_rounds(make, monkeypatch):
+    tables = []
+    monkeypatch.setattr(pointers, "checkpointed", lambda df, f=pointers.checkpointed: tables.append(f(df)) or tables[-1])
+    to = {i: i + 1 if i % 3 < 2 else i - 2 for i in range(3000)}
+    got = pointers.heads(make([(i, t, -i) for i, t in to.items()], "id long, to long, order long"))
+    assert {r.id: r.head for r in got.collect()} == {i: i - i % 3 + 2 for i in to}
+    assert len(tables) <= 6
+
+
+def test_merges_split_texts_before_they_follow_pointers(spark, sf_dir):
+    from glossa import registry
+
+    for name in ("event_merges", "merged_events", "redirected_references"):
+        assert "posexplode" not in registry.get(name).run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
