@@ -174,3 +174,10 @@ def test_assignment_is_the_greedy_choice(make):
     order = F.struct("w", "a", "b")
     got = assigned(make([(*p, weight[p]) for p in pairs], "g long, a string, b string, w int"), ["g"], "a", "b", order, order)
     assert set(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("name", ["nominal_family_mentions", "wider_appositions", "wider_conjunctions"])
+def test_nominal_rules_read_texts_no_more_than_once_a_table(spark, sf_dir, name):
+    from glossa import registry
+
+    assert "posexplode" not in registry.get(name).run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
