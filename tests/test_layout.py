@@ -46,3 +46,12 @@ def test_bounds_read_no_mention_twice(spark, sf_dir):
 def test_tags_are_looked_up(spark, sf_dir):
     plan = fixtures.Loader(spark, sf_dir)("g_token").where("pos = 'CD'")._jdf.queryExecution().executedPlan().toString()
     assert "CASE WHEN" not in plan
+
+
+def test_views_that_are_read_often_are_tables(spark, sf_dir):
+    from glossa import registry
+
+    for name, view in (("phase_assertions", "g_frame"), ("identity_class_links", "g_elink")):
+        v = fixtures.Loader(spark, sf_dir)
+        registry.get(name).build(v)
+        assert "posexplode" not in v(view)._jdf.queryExecution().executedPlan().toString()
